@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -170,19 +171,26 @@ def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in formats])
 
 
-def highlight(text: Column, terms: Sequence[str], fragment_size: int, fragments: int) -> Column:
-    """Up to ``fragments`` pieces of ``text`` holding query terms, these wrapped in ``<em>``.
+def query_terms(query: str) -> list[str]:
+    """The analyzer of :func:`tokens` for a query given as an argument."""
+    return re.findall(r"\w+", query.lower())
+
+
+def hit_pattern(terms: Column) -> Column:
+    """Regular expression finding any of an array of analyzed terms as a whole word."""
+    return F.concat(
+        F.lit(f"(?i)(?<![{WORD_CHARS}])("),
+        F.array_join(F.array_distinct(terms), "|"),
+        F.lit(f")(?![{WORD_CHARS}])"),
+    )
+
+
+def highlight(text: Column, pattern: Column, fragment_size: int, fragments: int) -> Column:
+    """Up to ``fragments`` pieces of ``text`` where ``pattern`` hits, hits wrapped in ``<em>``.
 
     Pieces end at white space after at most ``fragment_size`` characters (longer only for a
     longer word); pieces with more hits come first, then earlier ones.
     """
-    if not terms:
-        return F.array().cast("array<string>")
-    hit = (
-        f"(?i)(?<![{WORD_CHARS}])("
-        + "|".join(sorted(set(terms), key=lambda t: (-len(t), t)))
-        + f")(?![{WORD_CHARS}])"
-    )
     piece = rf"\S(?:.{{0,{max(fragment_size - 2, 0)}}}\S)?(?!\S)|\S+"
     pieces = F.regexp_extract_all(
         F.regexp_replace(plain_spaces(F.coalesce(text, F.lit(""))), " +", " "),
@@ -192,11 +200,8 @@ def highlight(text: Column, terms: Sequence[str], fragment_size: int, fragments:
     scored = F.transform(
         pieces,
         lambda p, i: F.struct(
-            (-F.regexp_count(p, F.lit(hit))).alias("k"), i.alias("i"), p.alias("p")
+            (-F.regexp_count(p, pattern)).alias("k"), i.alias("i"), p.alias("p")
         ),
     )
-    best = let(
-        F.sort_array(F.filter(scored, lambda s: s["k"] < 0)),
-        lambda s: F.slice(s, 1, fragments),
-    )
-    return F.transform(best, lambda s: F.regexp_replace(s["p"], hit, "<em>$1</em>"))
+    best = F.slice(F.sort_array(F.filter(scored, lambda s: s["k"] < 0)), 1, fragments)
+    return F.transform(best, lambda s: F.regexp_replace(s["p"], pattern, F.lit("<em>$1</em>")))
