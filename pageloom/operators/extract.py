@@ -139,6 +139,12 @@ def _first_text(selectors: Sequence[str], separator: str) -> list[str]:
     return [_first(s, _filled(node_text("e", separator))) for s in selectors]
 
 
+def first_text_over(selector: str, size: int, separator: str = "") -> str:
+    """Text of the first match if longer than ``size``, else null."""
+    long = f"case when length(v) > {int(size)} then v end"
+    return _first(selector, _let("v", node_text("e", separator), long))
+
+
 def main_content(
     selectors: Sequence[str] = config.CONTENT_SELECTORS, separator: str = ""
 ) -> Column:
@@ -146,10 +152,7 @@ def main_content(
     joined by spaces; else a body over 200; else null."""
 
     def long_text(selector: str) -> str:
-        return _first(
-            selector,
-            _let("v", node_text("e", separator), "case when length(v) > 200 then v end"),
-        )
+        return first_text_over(selector, 200, separator)
 
     paragraphs = f"transform({select_nodes('p')}, p -> {node_text('p', separator)})"
     return _coalesce(

@@ -76,20 +76,18 @@ def crawl(
     one-page order. URLs without a page count towards ``max_pages`` and may be queued again.
     Each round is written to the shared folder before the next is planned.
     """
-    spark = seeds.sparkSession
     fetchable = pages.select("url").distinct()
     found = cut(links.select("src_url", "dst_url").distinct())
     frontier = cut(seeds.groupBy("url").agg(F.max("priority").alias("priority")))
-    rounds = [spark.createDataFrame([], "url string, round int, priority int")]
+    rounds: list[DataFrame] = []
     taken, number = 0, 0
     while max_pages is None or taken < max_pages:
         left = None if max_pages is None else max_pages - taken
         size = left if batch is None else batch if left is None else min(batch, left)
         picked = frontier if size is None else cut(next_urls(frontier, size))
-        count = picked.count()
-        if not count:
+        if picked.isEmpty():
             break
-        taken += count
+        taken += 0 if max_pages is None else picked.count()
         # A page appears in the rounds once: what is reached leaves the candidates for good.
         got = cut(
             picked.join(fetchable, "url", "left_semi").select(
@@ -112,7 +110,7 @@ def crawl(
         empty = frontier.limit(0)
         frontier = cut(add_urls(empty if rest is None else rest, added.distinct(), crawled))
         number += 1
-    return reduce(DataFrame.unionByName, rounds)
+    return reduce(DataFrame.unionByName, rounds or [seeds.select("url", F.lit(0).alias("round"), F.col("priority").cast("int")).limit(0)])
 
 
 def rate_limit_delay(

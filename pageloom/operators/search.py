@@ -30,6 +30,10 @@ def _saturation(tf: Column, dl: Column, avg_dl: Column) -> Column:
     return tf / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / avg_dl))
 
 
+def _occurrences(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda token: token == term))
+
+
 def filters(
     author: str | None = None,
     tags: Sequence[str] | None = None,
@@ -73,7 +77,7 @@ def scan_scores(
             *keep,
             *[F.size(f"_{f}").alias(f"_{f}_dl") for f in fields],
             *[
-                F.size(F.filter(f"_{f}", lambda w, t=t: w == t)).alias(f"_{f}_{i}")
+                _occurrences(f"_{f}", t).alias(f"_{f}_{i}")
                 for f in fields
                 for i, t in enumerate(distinct)
             ],

@@ -69,16 +69,10 @@ def accepted(
     if not parts:
         return batch.limit(0)
     chosen = reduce(DataFrame.unionByName, parts).select(
-        F.col("url").alias("_url"),
-        F.col("content_hash").alias("_hash"),
-        F.col("place").alias("_place"),
+        F.col("url").alias("_url"), F.col("place").alias("_first")
     )
     full = batch.withColumn("_place", place).join(
-        chosen,
-        (F.col("url") == F.col("_url"))
-        & F.col("content_hash").eqNullSafe(F.col("_hash"))
-        & (F.col("_place") == chosen["_place"]),
-        "left_semi",
+        chosen, (F.col("url") == F.col("_url")) & (F.col("_place") == F.col("_first")), "left_semi"
     )
     # Rows alike in every key are one insert and refusals of it.
     return full.drop("_place").dropDuplicates(keys)
