@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +14,7 @@ from pageloom.session import cut
 # Tokens ordered by their exact frequency: at most this many, so the table sent to every executor
 # stays under about 20 MB whatever the data (an 8-byte hash and an 8-byte count each).
 COMMON_TOKENS = 1_000_000
+SIGNATURE = 16  # 64-bit words; a power of two
 _EPSILON = 1e-9
 
 
@@ -34,31 +37,67 @@ def exact_dedup(
 
 
 def _prefix_entries(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(token, id, size)`` for the rarest words of each set.
+    """``(token, id, size, short)`` for the rarest words of each set.
 
     Two sets reach the threshold only if they share a word among the first
-    ``size - ceil(threshold * size) + 1`` of each, in any order of words common to both. Rare
-    words first keeps the groups small. Only words that are frequent need their exact place:
+    ``size - ceil(threshold * size) + 1`` of each, in any order of words common to both; and of
+    the smaller set it is among its first ``size - ceil(2 threshold / (1 + threshold) * size) +
+    1``, marked ``short``. Rare words first keeps the groups small. Only words that are frequent need their exact place:
     those with a count of at least total / COMMON_TOKENS, of which there cannot be more than
     COMMON_TOKENS. All others come before them, in hash order.
     """
-    words = sets.select("id", "size", F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("token"))
+    # Moving the arrays of a set once by its id lets the ranking below work in place.
+    words = (
+        sets.select("id", "size", "hashes")
+        .repartition("id")
+        .select("id", "size", F.explode("hashes").alias("token"))
+    )
     least = sets.agg((F.sum("size") / COMMON_TOKENS).alias("n")).scalar()
     common = (
-        words.groupBy("token")
+        sets.select(F.explode("hashes").alias("token"))
+        .groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"))
         .where((F.col("df") > 1) & (F.col("df") >= least))
     )
     length = F.col("size") - F.ceil(F.col("size") * threshold - _EPSILON) + 1
+    both = 2 * threshold / (1 + threshold)
+    short = F.col("size") - F.ceil(F.col("size") * both - _EPSILON) + 1
     rarest = W.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "token")
     return (
         words.join(F.broadcast(common), "token", "left")
         .withColumn("_n", F.row_number().over(rarest))
         .where(F.col("_n") <= length)
-        .select("token", "id", "size")
+        .select("token", "id", "size", (F.col("_n") <= short).alias("short"))
     )
 
 
+def _in_word(number: int) -> Callable[[Column], Column]:
+    return lambda h: h.bitwiseAND(F.lit(SIGNATURE - 1).cast("bigint")) == number
+
+
+def _signature(hashes: Column) -> Column:
+    """``SIGNATURE`` 64-bit words with, for each bit, the parity of the tokens hashed to it.
+
+    A bit that differs between two sets needs a token that only one of them has, so the number of
+    differing bits never exceeds the size of their symmetric difference.
+    """
+    words = [
+        F.aggregate(
+            F.filter(hashes, _in_word(number)),
+            F.lit(0).cast("bigint"),
+            lambda acc, h: acc.bitwiseXOR(
+                F.call_function(
+                    "shiftleft",
+                    F.lit(1).cast("bigint"),
+                    F.shiftrightunsigned(h, 58).cast("int"),
+                )
+            ),
+        )
+        for number in range(SIGNATURE)
+    ]
+    return F.array(*words)
+
+
 def near_duplicates(
     docs: DataFrame, key: str, text: str, threshold: float = 0.8, window: int = 64
 ) -> DataFrame:
@@ -73,15 +112,22 @@ def near_duplicates(
     of copies are done at once; sets without a partner yet go on, in growing steps, until every
     group is exhausted.
     """
-    words = docs.select(F.col(key).alias("id"), word_set(F.col(text)).alias("words")).where(
-        F.size("words") > 0
-    )
+    # A generator drops empty sets, since a filter on the set would compute it once more.
+    filled = F.filter(F.array(word_set(F.col(text))), lambda w: F.size(w) > 0)
+    words = docs.select(F.col(key).alias("id"), F.explode(filled).alias("words"))
     keyed = words.withColumn("set_key", F.md5(F.array_join("words", " ")))
     first = W.partitionBy("set_key").orderBy("id")
     sets = cut(
         keyed.withColumn("_n", F.row_number().over(first))
         .where(F.col("_n") == 1)
-        .select("set_key", "id", "words", F.size("words").alias("size"))
+        .select(
+            "set_key",
+            "id",
+            "words",
+            F.size("words").alias("size"),
+            F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
+        )
+        .withColumn("signature", _signature(F.col("hashes")))
     )
     best = _first_partners(sets, threshold, window)
     resolved = sets.select("set_key", F.col("id").alias("first_id")).join(
@@ -125,13 +171,15 @@ def _first_partners(sets: DataFrame, threshold: float, window: int) -> DataFrame
             )
         order = W.partitionBy("token").orderBy("id")
         leaders = cut(
-            ahead.select("token", "id", "size")
+            ahead.select("token", "id", "size", "short")
             .withColumn("_n", F.row_number().over(order))
             .where(F.col("_n") <= window)
         )
-        near = (F.col("l.size") >= F.col("p.size") * threshold - _EPSILON) & (
-            F.col("p.size") >= F.col("l.size") * threshold - _EPSILON
+        small, large = F.least("l.size", "p.size"), F.greatest("l.size", "p.size")
+        placed = ((F.col("l.size") == small) & F.col("l.short")) | (
+            (F.col("p.size") == small) & F.col("p.short")
         )
+        near = (small >= large * threshold - _EPSILON) & placed
         candidates = (
             pending.alias("p")
             .join(leaders.alias("l"), "token")
@@ -160,12 +208,32 @@ def _first_partners(sets: DataFrame, threshold: float, window: int) -> DataFrame
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    mine = sets.select("id", F.col("words").alias("a"))
-    theirs = sets.select(F.col("id").alias("partner"), F.col("words").alias("b"))
-    similarity: Column = word_set_similarity(F.col("a"), F.col("b"))
+    """Candidates that reach the threshold. Signatures, a hundred bytes a set, first rule out most
+    others; only for the rest are the words fetched and compared."""
+
+    def paired(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side, name in (("id", "a"), ("partner", "b")):
+            facts = sets.select(
+                F.col("id").alias(side), F.struct(*columns).alias(name)
+            )
+            pairs = pairs.join(facts, side)
+        return pairs
+
+    apart = F.aggregate(
+        F.zip_with("a.signature", "b.signature", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda total, bits: total + bits,
+    )
+    # Similarity t leaves at most (1 - t) / (1 + t) of both sizes outside the intersection.
+    allowed = (F.col("a.size") + F.col("b.size")) * ((1 - threshold) / (1 + threshold))
+    likely = (
+        paired(candidates, "size", "signature")
+        .where(apart <= allowed + _EPSILON)
+        .select("id", "partner")
+    )
+    similarity = word_set_similarity(F.col("a.words"), F.col("b.words"))
     return (
-        candidates.join(mine, "id")
-        .join(theirs, "partner")
-        .select("id", "partner", similarity.alias("similarity"))
+        paired(likely, "words")
+        .select("id", "partner", F.explode(F.array(similarity)).alias("similarity"))
         .where(F.col("similarity") >= F.lit(threshold))
     )

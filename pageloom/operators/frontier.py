@@ -76,41 +76,44 @@ def crawl(
     one-page order. URLs without a page count towards ``max_pages`` and may be queued again.
     Each round is written to the shared folder before the next is planned.
     """
-    fetchable = pages.select("url").distinct()
+    fetchable = cut(pages.select("url").distinct())
     found = cut(links.select("src_url", "dst_url").distinct())
-    frontier = cut(seeds.groupBy("url").agg(F.max("priority").alias("priority")))
-    rounds: list[DataFrame] = []
+    frontier = cut(seeds.groupBy("url").agg(F.max("priority").cast("int").alias("priority")))
+    done: list[DataFrame] = []  # pages of the rounds before, (url, round, priority)
     taken, number = 0, 0
-    while max_pages is None or taken < max_pages:
+    while (max_pages is None or taken < max_pages) and not frontier.isEmpty():
         left = None if max_pages is None else max_pages - taken
         size = left if batch is None else batch if left is None else min(batch, left)
-        picked = frontier if size is None else cut(next_urls(frontier, size))
-        if picked.isEmpty():
-            break
+        picked, waiting = frontier, frontier.limit(0)
+        if size is not None:
+            picked = cut(next_urls(frontier, size))
+            waiting = frontier.join(picked.select("url"), "url", "left_anti")
         taken += 0 if max_pages is None else picked.count()
-        # A page appears in the rounds once: what is reached leaves the candidates for good.
-        got = cut(
-            picked.join(fetchable, "url", "left_semi").select(
-                "url", F.lit(number).alias("round"), F.col("priority").cast("int")
-            )
+        got = picked.join(fetchable, "url", "left_semi").select(
+            "url", F.lit(number).alias("round"), "priority"
         )
-        rounds.append(got)
-        if len(rounds) > 16:  # keep the plan short over many rounds
-            rounds = [cut(reduce(DataFrame.unionByName, rounds))]
-        crawled = reduce(DataFrame.unionByName, rounds).select(url_hash(F.col("url")).alias("url_hash"))
-        rest = (
-            frontier.join(picked.select("url"), "url", "left_anti") if size is not None else None
+        crawled = reduce(DataFrame.unionByName, [*done, got]).select(
+            url_hash(F.col("url")).alias("url_hash")
         )
-        added = found.join(
-            got.select(F.col("url").alias("src_url")), "src_url", "left_semi"
-        ).select(
-            F.col("dst_url").alias("url"),
-            F.lit(config.DEFAULTS.link_priority).alias("priority"),
+        added = (
+            found.join(got.select(F.col("url").alias("src_url")), "src_url", "left_semi")
+            .select(F.col("dst_url").alias("url"))
+            .distinct()
+            .withColumn("priority", F.lit(config.DEFAULTS.link_priority))
         )
-        empty = frontier.limit(0)
-        frontier = cut(add_urls(empty if rest is None else rest, added.distinct(), crawled))
+        queued = add_urls(waiting, added, crawled)
+        # One table a round holds both what was reached and what is queued next.
+        both = cut(
+            got.unionByName(queued.select("url", F.lit(-1).alias("round"), "priority"))
+        )
+        frontier = both.where(F.col("round") < 0).select("url", "priority")
+        done.append(both.where(F.col("round") >= 0))
+        if len(done) > 16:  # keep the plan short over many rounds
+            done = [cut(reduce(DataFrame.unionByName, done))]
         number += 1
-    return reduce(DataFrame.unionByName, rounds or [seeds.select("url", F.lit(0).alias("round"), F.col("priority").cast("int")).limit(0)])
+    if not done:
+        return seeds.select("url", F.lit(0).alias("round"), "priority").limit(0)
+    return reduce(DataFrame.unionByName, done)
 
 
 def rate_limit_delay(

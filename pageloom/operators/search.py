@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from pageloom.functions import text as tx
 from pageloom.functions.arrays import value_counts
+from pageloom.session import broadcast_if_small, cut
 
 BOOSTS = {"title": 3.0, "content": 2.0, "description": 1.0}
 HIT_COLUMNS = ("url", "title", "description", "author", "tags", "publish_date")
@@ -73,15 +74,14 @@ def scan_scores(
 
     def counted(rows: DataFrame, *keep: str) -> DataFrame:
         found = rows.select(*keep, *[tx.tokens(F.col(f)).alias(f"_{f}") for f in fields])
-        return found.select(
-            *keep,
-            *[F.size(f"_{f}").alias(f"_{f}_dl") for f in fields],
-            *[
-                _occurrences(f"_{f}", t).alias(f"_{f}_{i}")
-                for f in fields
-                for i, t in enumerate(distinct)
-            ],
-        )
+        counts = [F.size(f"_{f}").alias(f"_{f}_dl") for f in fields] + [
+            _occurrences(f"_{f}", t).alias(f"_{f}_{i}")
+            for f in fields
+            for i, t in enumerate(distinct)
+        ]
+        # A generator of one row: a condition on a count cannot move below it, where it would
+        # take the text apart once more for every count.
+        return found.select(*keep, F.inline(F.array(F.struct(*counts))))
 
     totals = counted(index).agg(
         F.struct(
@@ -99,7 +99,7 @@ def scan_scores(
             ]
         ).alias("totals")
     )
-    stats = totals.scalar()
+    stats = F.col("_totals")
 
     def field_score(f: str) -> Column:
         average = stats[f"{f}_dl"] / F.nullif(stats[f"{f}_n"], F.lit(0))
@@ -117,6 +117,7 @@ def scan_scores(
     scores = [F.coalesce(field_score(f), F.lit(0.0)) for f in fields]
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     columns = index.columns
+    # The statistics enter as one column, so the subquery is planned once.
     hit = reduce(
         lambda a, b: a | b,
         [F.col(f"_{f}_{i}") > 0 for f in fields for i in range(len(distinct))],
@@ -124,6 +125,7 @@ def scan_scores(
     return (
         counted(index, *columns)
         .where(hit)
+        .withColumn("_totals", totals.scalar())
         .select(*columns, F.round(best, DECIMALS).alias("score"))
     )
 
@@ -187,9 +189,11 @@ def score(
 ) -> DataFrame:
     """``(query_id, key, score)`` for every query of ``queries (query_id, query)`` and document.
 
-    Query terms are first weighted with the statistics, a small table; one join on (field, term)
-    then reaches the postings. A term that occurs everywhere is split by the adaptive skew join,
-    and the sums by query and document start before their shuffle.
+    Query terms are first weighted with the statistics; one join on (field, term) then reaches
+    the postings. If the weights are small, by measure, they go to the postings: these stay where
+    they are, and the terms of a document, which lie together, are summed before the shuffle.
+    Otherwise both sides are shuffled, and a term that occurs everywhere is split by the adaptive
+    skew join.
     """
     terms = (
         queries.select("query_id", F.explode(value_counts(tx.tokens(F.col("query")))).alias("t"))
@@ -207,7 +211,8 @@ def score(
             (F.col("qtf") * _weight(F.col("n_docs"), F.col("df"))).alias("weight"),
         )
     )
-    matched = postings.join(weighted, ["field", "term"]).select(
+    weights = broadcast_if_small(cut(weighted))
+    matched = postings.join(weights, ["field", "term"]).select(
         "query_id",
         key,
         "field",

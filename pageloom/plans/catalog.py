@@ -800,10 +800,10 @@ _SETS = f"""docs AS (SELECT doc_id, list_distinct(list_filter(string_split(lower
 @query(
     _with(
         _SETS,
-        """shared AS (SELECT a.doc_id, b.doc_id AS other, a.n AS na, b.n AS nb, count(*) AS both
+        """shared AS (SELECT a.doc_id, b.doc_id AS other, a.n AS na, b.n AS nb, count(*) AS common
         FROM words a JOIN words b ON a.w = b.w AND b.doc_id < a.doc_id GROUP BY ALL),
-        alike AS (SELECT doc_id, other, both / (na + nb - both) AS similarity FROM shared
-          WHERE both / (na + nb - both) >= 0.8::double)""",
+        alike AS (SELECT doc_id, other, common / (na + nb - common) AS similarity FROM shared
+          WHERE common / (na + nb - common) >= 0.8::double)""",
     )
     + """SELECT doc_id, min(other) AS duplicate_of, round(arg_min(similarity, other), 6) AS similarity
       FROM alike GROUP BY doc_id"""

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,6 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_CHARS = 32_000_000
+
+
+def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_CHARS) -> DataFrame:
+    """``table``, to be sent to every executor only if its measured size allows that.
+
+    The table should be a lineage cut: it is read once to add up the length of its rows.
+    """
+    length = F.length(F.to_json(F.struct(*table.columns)))
+    size = table.agg(F.coalesce(F.sum(length), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(table) if size <= limit else table
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
