@@ -14,6 +14,8 @@ from pageloom.session import cut
 # Tokens ordered by their exact frequency: at most this many, so the table sent to every executor
 # stays under about 20 MB whatever the data (an 8-byte hash and an 8-byte count each).
 COMMON_TOKENS = 1_000_000
+SMALL_GROUP = 64
+FIRST_STEP = 4
 SIGNATURE = 16  # 64-bit words; a power of two
 _EPSILON = 1e-9
 
@@ -99,7 +101,7 @@ def _signature(hashes: Column) -> Column:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str, text: str, threshold: float = 0.8, window: int = 64
+    docs: DataFrame, key: str, text: str, threshold: float = 0.8
 ) -> DataFrame:
     """For every row with an earlier near duplicate, the first of them: ``(key, duplicate_of,
     similarity)``. Earlier means a smaller ``key``, near that the Jaccard similarity of the word
@@ -107,10 +109,10 @@ def near_duplicates(
 
     The answer is exact and has at most one row for each input row, so it stays linear even where
     most rows are copies of each other. Rows with equal word sets are first folded into one.
-    Then, within each group of sets that share a rare word, all members are compared with the
-    first ``window`` members only. A set that finds a partner needs no later one, so large groups
-    of copies are done at once; sets without a partner yet go on, in growing steps, until every
-    group is exhausted.
+    Then members of each group of sets that share a rare word are compared. A group of up to
+    SMALL_GROUP is searched whole. In a larger one all members are first compared with its first
+    few only: a set that finds a partner needs no later one, so a large group of copies is done
+    at once. Sets without a partner go on, in growing steps, until every group is exhausted.
     """
     # A generator drops empty sets, since a filter on the set would compute it once more.
     filled = F.filter(F.array(word_set(F.col(text))), lambda w: F.size(w) > 0)
@@ -129,7 +131,7 @@ def near_duplicates(
         )
         .withColumn("signature", _signature(F.col("hashes")))
     )
-    best = _first_partners(sets, threshold, window)
+    best = _first_partners(sets, threshold)
     resolved = sets.select("set_key", F.col("id").alias("first_id")).join(
         best.select(F.col("id").alias("first_id"), "partner", "similarity"), "first_id", "left"
     )
@@ -147,7 +149,7 @@ def near_duplicates(
     )
 
 
-def _first_partners(sets: DataFrame, threshold: float, window: int) -> DataFrame:
+def _first_partners(sets: DataFrame, threshold: float) -> DataFrame:
     """``(id, partner, similarity)``: the smallest similar id before each set that has one."""
     entries = cut(_prefix_entries(sets, threshold))
     # Groups still to be searched, with the last member already compared with.
@@ -155,8 +157,13 @@ def _first_partners(sets: DataFrame, threshold: float, window: int) -> DataFrame
         entries.groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > 1)
-        .select("token", F.lit(None).cast("bigint").alias("until"))
+        .select(
+            "token",
+            F.lit(None).cast("bigint").alias("until"),
+            F.when(F.col("n") <= SMALL_GROUP, SMALL_GROUP).otherwise(FIRST_STEP).alias("step"),
+        )
     )
+    window = SMALL_GROUP
     best: DataFrame | None = None
     while True:
         ahead = entries.join(groups, "token").where(
@@ -171,9 +178,10 @@ def _first_partners(sets: DataFrame, threshold: float, window: int) -> DataFrame
             )
         order = W.partitionBy("token").orderBy("id")
         leaders = cut(
-            ahead.select("token", "id", "size", "short")
+            ahead.select("token", "id", "size", "short", "step")
             .withColumn("_n", F.row_number().over(order))
-            .where(F.col("_n") <= window)
+            .where(F.col("_n") <= window)  # also cuts each task's rows before the shuffle
+            .where(F.col("_n") <= F.col("step"))
         )
         small, large = F.least("l.size", "p.size"), F.greatest("l.size", "p.size")
         placed = ((F.col("l.size") == small) & F.col("l.short")) | (
@@ -198,13 +206,17 @@ def _first_partners(sets: DataFrame, threshold: float, window: int) -> DataFrame
         )
         groups = cut(
             leaders.groupBy("token")
-            .agg(F.max("id").alias("until"), F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") == window)
-            .select("token", "until")
+            .agg(
+                F.max("id").alias("until"),
+                F.count(F.lit(1)).alias("n"),
+                F.first("step").alias("step"),
+            )
+            .where(F.col("n") == F.col("step"))  # else the group is exhausted
+            .select("token", "until", F.least(F.col("step") * 8, F.lit(1000)).alias("step"))
         )
         if groups.isEmpty():
             return best
-        window = min(window * 4, 1000)  # the pre-shuffle rank limit works up to 1000
+        window = 1000  # the rank limit before the shuffle works up to here
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

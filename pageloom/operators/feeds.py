@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,9 +127,7 @@ def with_rank(recent: DataFrame) -> DataFrame:
     )
 
 
-def write_feeds(feeds: DataFrame, path: str, group: str | None = None) -> None:
-    """Feed documents as text files, in a folder for each group."""
-    writer = feeds.write.mode("overwrite")
-    if group:
-        writer = writer.partitionBy(group)
-    writer.option("lineSep", "\n").text(path)
+def write_feeds(feeds: DataFrame, path: str, groups: Sequence[str] = ()) -> None:
+    """Feed documents as text, one file for each in a folder for its group."""
+    writer = feeds.select(*groups, "feed").write.mode("overwrite")
+    (writer.partitionBy(*groups) if groups else writer).text(path)

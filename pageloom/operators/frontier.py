@@ -31,13 +31,17 @@ def add_urls(frontier: DataFrame, added: DataFrame, crawled: DataFrame) -> DataF
     Crawled URLs are skipped; a URL queued again takes the priority it was last given. The last
     one is found by a partial aggregate, so a URL linked from everywhere is no hot spot.
     """
-    seq = F.col("seq").cast("bigint") if "seq" in added.columns else F.lit(0).cast("bigint")
-    both = frontier.select("url", "priority", F.lit(None).cast("bigint").alias("seq")).unionByName(
-        not_crawled(added, crawled).select("url", "priority", seq.alias("seq"))
+    seq = F.col("seq") if "seq" in added.columns else F.lit(0)
+    # First one row for each added URL, then the crawled ones are looked up.
+    last = added.groupBy("url").agg(
+        F.max_by("priority", F.struct(seq, "priority")).alias("priority")
+    )
+    both = frontier.select("url", "priority", F.lit(False).alias("new")).unionByName(
+        not_crawled(last, crawled).select("url", "priority", F.lit(True).alias("new"))
+    )
+    return both.groupBy("url").agg(
+        F.max_by("priority", F.struct("new", "priority")).alias("priority")
     )
-    # Rows already queued come before any added one.
-    order = F.struct(F.col("seq").isNotNull(), "seq", "priority")
-    return both.groupBy("url").agg(F.max_by("priority", order).alias("priority"))
 
 
 def described(frontier: DataFrame, added_at: Column | None = None) -> DataFrame:

@@ -521,10 +521,10 @@ def exact_dedup(spark, folder):
 
 @query(_with(vw.CONTENT_SQL) + _FIRST_OF_HASH)
 def save_content(spark, folder):
-    """Two batches into an empty table: odd rows of the day, then all rows again."""
+    """Two batches into an empty table: the rows of the first hours, then all rows again."""
     path = new_path(spark, "content")
     rows = vw.content(spark, folder, wide=False).drop("doc_id")
-    store.save_content(spark, path, rows)
+    store.save_content(spark, path, rows.where(C("extracted_at") < vw.moment("2024-01-01 06:00:00")))
     store.save_content(spark, path, rows)
     return store.read_content(spark, path).select("url", "extracted_at", "content_hash")
 
@@ -1094,8 +1094,9 @@ def topic_feeds(spark, folder):
     both = feeds.rss_feed(ranked, vw.moment(vw.EPOCH), "topic").withColumn("format", F.lit("rss"))
     both = both.unionByName(feeds.json_feed(ranked, "topic").withColumn("format", F.lit("json")))
     path = new_path(spark, "feeds")
-    both.write.partitionBy("format", "topic").parquet(path)
-    return spark.read.parquet(path).select("topic", "format", "feed")
+    feeds.write_feeds(both, path, ["format", "topic"])
+    written = spark.read.text(path, wholetext=True)
+    return written.select("topic", "format", C("value").alias("feed"))
 
 
 @query()

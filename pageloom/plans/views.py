@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.sources.tables import read_table, spread
+from pageloom.sources.tables import fetched, read_table, spread
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -61,7 +61,7 @@ CONTENT_SQL = """content AS (
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "pages", ["page_id", "url", "html"]))
+    return spread(fetched(read_table(spark, folder, "pages", ["page_id", "url", "html"])))
 
 
 def urls(spark: SparkSession, folder: str) -> DataFrame:

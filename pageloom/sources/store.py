@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.session import cut
+from pageloom.session import broadcast_if_small, cut
 
 ORDER = ("extracted_at", "url")
 
@@ -29,11 +29,8 @@ def accepted(
     place = F.struct(*order, F.coalesce("content_hash", F.lit("")))
     rows = batch.select(*keys)
     if existing is not None:
-        rows = rows.join(
-            existing.select("content_hash").where(F.col("content_hash").isNotNull()),
-            "content_hash",
-            "left_anti",
-        ).join(existing.select("url"), "url", "left_anti")
+        for column in ("content_hash", "url"):
+            rows = rows.join(_stored(existing, batch, column), column, "left_anti")
     # Of rows equal in url and hash only the first can be accepted.
     pending = cut(
         rows.select("url", "content_hash", place.alias("place"))
@@ -78,6 +75,16 @@ def accepted(
     return full.drop("_place").dropDuplicates(keys)
 
 
+def _stored(existing: DataFrame, batch: DataFrame, column: str) -> DataFrame:
+    """Values of ``column`` that the table and the batch share.
+
+    If the batch's values are few, by measure, they go to the table, which is then read where it
+    lies, this column only, without being shuffled.
+    """
+    asked = cut(batch.select(column).where(F.col(column).isNotNull()).distinct())
+    return existing.select(column).join(broadcast_if_small(asked), column, "left_semi").distinct()
+
+
 def save_content(
     spark: SparkSession, path: str, batch: DataFrame, order: tuple[str, ...] = ORDER, part: str | None = None
 ) -> DataFrame:

@@ -36,6 +36,16 @@ CONTENT_SCHEMA = T.StructType(
 )
 
 
+def as_content(rows: DataFrame) -> DataFrame:
+    """``rows`` in the shape of the content table: its columns and types, missing ones null."""
+    return rows.select(
+        *[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in CONTENT_SCHEMA
+        ]
+    )
+
+
 def read_table(
     spark: SparkSession, folder: str, name: str, columns: list[str] | None = None
 ) -> DataFrame:
