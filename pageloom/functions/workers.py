@@ -31,6 +31,7 @@ ARROW_NODE = pa.struct(
         ("tag", pa.string()),
         ("attrs", pa.map_(pa.string(), pa.string())),
         ("classes", pa.list_(pa.string())),
+        ("link", pa.string()),
         ("text", pa.string()),
         ("hidden", pa.bool_()),
         ("apart", pa.bool_()),
@@ -45,8 +46,9 @@ class NodeReader(HTMLParser):
     inside it, unknown end tags are ignored, and nothing else closes an element.
     """
 
-    def __init__(self, removed_tags: frozenset, removed_class: re.Pattern | None):
+    def __init__(self, url: str, removed_tags: frozenset, removed_class: re.Pattern | None):
         super().__init__(convert_charrefs=True)
+        self.url = url
         self.removed_tags, self.removed_class = removed_tags, removed_class
         self.nodes: list[dict] = []
         self.open: list[dict] = []
@@ -101,6 +103,7 @@ class NodeReader(HTMLParser):
             "tag": tag,
             "attrs": None if attrs is None else list(attrs.items()),
             "classes": attrs["class"].split() if attrs and "class" in attrs else None,
+            "link": absolute(self.url, attrs["href"]) if tag == "a" and "href" in attrs else None,
             "text": text,
             "hidden": gone or bool(parent and parent["hidden"]),
             "apart": tag in APART_TAGS or bool(parent and parent["apart"]),
@@ -117,6 +120,15 @@ class NodeReader(HTMLParser):
         return self.nodes
 
 
+def absolute(page: str | None, reference: str | None) -> str | None:
+    if page is None or reference is None:
+        return None
+    try:
+        return urljoin(page, reference)
+    except ValueError:  # e.g. an unclosed bracket in the host
+        return None
+
+
 def node_batches(
     keep: Sequence[str], removed_tags: Sequence[str], removed_classes: Sequence[str]
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -126,10 +138,8 @@ def node_batches(
 
     def read(batches):
         for batch in batches:
-            nodes = [
-                NodeReader(tags, pattern).read(html or "")
-                for html in batch.column("html").to_pylist()
-            ]
+            pages = zip(batch.column("_url").to_pylist(), batch.column("html").to_pylist())
+            nodes = [NodeReader(url, tags, pattern).read(html or "") for url, html in pages]
             columns = [batch.column(c) for c in kept]
             columns.append(pa.array(nodes, pa.list_(ARROW_NODE)))
             yield pa.RecordBatch.from_arrays(columns, [*kept, "nodes"])
@@ -138,12 +148,4 @@ def node_batches(
 
 
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
-    def one(page, reference):
-        if page is None or reference is None:
-            return None
-        try:
-            return urljoin(page, reference)
-        except ValueError:  # e.g. an unclosed bracket in the host
-            return None
-
-    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
+    return pd.Series([absolute(b, h) for b, h in zip(base, href)], dtype=object)

@@ -21,7 +21,7 @@ from pageloom.functions.workers import node_batches
 
 NODE_TYPE = (
     "struct<pos:int,stop:int,tag:string,attrs:map<string,string>,classes:array<string>,"
-    "text:string,hidden:boolean,apart:boolean>"
+    "link:string,text:string,hidden:boolean,apart:boolean>"
 )
 def page_nodes(
     pages: DataFrame,
@@ -35,7 +35,7 @@ def page_nodes(
     name occurs in it, in any case and at any place.
     """
     kept = list(keep)
-    narrow = pages.select(*kept, "html")
+    narrow = pages.select(*kept, F.col("url").alias("_url"), "html")
     types = dict(narrow.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + f", nodes array<{NODE_TYPE}>"
     return narrow.mapInArrow(node_batches(kept, removed_tags, removed_classes), schema)
@@ -209,14 +209,10 @@ def page_tags(
     )
 
 
-def page_hrefs(from_cleaned: bool = True) -> Column:
-    """``href`` of every link, from what cleaning leaves or from the whole page."""
-    rule = f"n.tag = 'a' and {_attr('n', 'href')} is not null"
-    if from_cleaned:
-        rule += " and not n.hidden"
-    return F.expr(
-        f"transform(filter(nodes, n -> coalesce({rule}, false)), n -> {_attr('n', 'href')})"
-    )
+def page_links(from_cleaned: bool = True) -> Column:
+    """Target of every link, resolved, from what cleaning leaves or from the whole page."""
+    rule = "n.link is not null" + (" and not n.hidden" if from_cleaned else "")
+    return F.expr(f"transform(filter(nodes, n -> {rule}), n -> n.link)")
 
 
 def content_records(
@@ -283,17 +279,16 @@ def links(
     from_cleaned: bool = True,
     patterns: Sequence[str] | None = config.USEFUL_URL_PATTERNS,
     extensions: Sequence[str] = config.EXCLUDED_EXTENSIONS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``(src_url, dst_url)`` for every link that passes the crawl filter, copies kept.
 
-    References are resolved, then filtered, then normalised.
+    References were resolved when the page was read; they are filtered, then normalised.
     """
-    hrefs = nodes.select(
-        F.col("url").alias("src_url"),
-        F.explode(page_hrefs(from_cleaned)).alias("href"),
-    )
-    resolved = hrefs.select("src_url", ux.resolve_url(F.col("src_url"), F.col("href")).alias("full_url"))
     full = F.col("full_url")
-    return resolved.where(ux.is_crawl_candidate(full, patterns, extensions)).select(
-        "src_url", ux.normalize_url(full).alias("dst_url")
+    found = nodes.select(
+        *keep, F.col("url").alias("src_url"), F.explode(page_links(from_cleaned)).alias("full_url")
+    )
+    return found.where(ux.is_crawl_candidate(full, patterns, extensions)).select(
+        *keep, "src_url", ux.normalize_url(full).alias("dst_url")
     )

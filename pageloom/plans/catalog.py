@@ -317,6 +317,29 @@ def domain_info(spark, folder):
     return ux.domain_info(pages, _suffixes(spark, folder)).select("page_id", "info.*")
 
 
+@query(
+    r"""SELECT page_id, cast(kind AS int) AS kind, CASE kind WHEN 0 THEN root || '/w/' || page_id
+        WHEN 1 THEN split_part(url, ':', 1) || '://h/x' WHEN 2 THEN path || '?q=1'
+        WHEN 3 THEN 'http://other.org/./y' WHEN 4 THEN split_part(url, '#', 1) || '#f'
+        WHEN 5 THEN 'mailto:x@y.org' ELSE root || '/v' END AS resolved
+      FROM (SELECT page_id, url, unnest(range(7)) AS kind, regexp_extract(url, '^[^?#]*') AS path,
+        regexp_extract(url, '^https?://[^/?#]*') AS root FROM pages)"""
+)
+def url_resolve(spark, folder):
+    hrefs = F.array(
+        F.concat(F.lit("/w/"), "page_id"),
+        *[
+            F.lit(h)
+            for h in ("//h/x", "?q=1", "http://other.org/./y", "#f", "mailto:x@y.org", "/u/./../v")
+        ],
+    )
+    pages = tb.read_table(spark, folder, "pages", ["page_id", "url"])
+    found = pages.select("page_id", "url", F.posexplode(hrefs).alias("kind", "href"))
+    return found.select(
+        "page_id", "kind", ux.resolve_url(C("url"), C("href")).alias("resolved")
+    )
+
+
 @query(
     f"""SELECT DISTINCT concat(regexp_extract(url, '^([a-z]+):', 1), '://',
       regexp_extract(url, '{ux.NETLOC}', 1), '/robots.txt') AS robots_url FROM pages"""
@@ -341,6 +364,11 @@ _CLEAN = (
 )
 _WORDS = f"len(list_filter(string_split_regex(text, '{SPACES}'), lambda w: w <> ''))"
 
+_FLESCH = f"""CASE WHEN {_WORDS} = 0 THEN 206.84::double ELSE round(206.835::double
+      - 1.015::double * ({_WORDS} / greatest(1, len(regexp_extract_all(text, '[.!?]+'))))
+      - 84.6::double * (greatest({_WORDS}, len(regexp_extract_all(lower(text), '[aeiouy]+')))
+        / {_WORDS}), 2) END"""
+
 _text_query("clean_text", "cleaned", tx.clean_text, _CLEAN)
 _text_query("word_count", "words", tx.word_count, f"cast({_WORDS} AS int)")
 _text_query(
@@ -375,10 +403,7 @@ _text_query(
     "flesch",
     "score",
     tx.flesch_reading_ease,
-    f"""CASE WHEN {_WORDS} = 0 THEN 206.84::double ELSE round(206.835::double
-      - 1.015::double * ({_WORDS} / greatest(1, len(regexp_extract_all(text, '[.!?]+'))))
-      - 84.6::double * (greatest({_WORDS}, len(regexp_extract_all(lower(text), '[aeiouy]+')))
-        / {_WORDS}), 2) END""",
+    _FLESCH,
 )
 _STOP = ", ".join(f"'{w}'" for w in config.STOP_WORDS)
 
@@ -591,10 +616,16 @@ def _element_sql(html: str) -> str:
     )
 
 
-@query(
-    f"""SELECT page_id, coalesce(nullif({_element_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, ''),
-      {_element_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title FROM pages"""
+_TITLE = (
+    "coalesce(nullif("
+    + _element_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
+    + ", ''), "
+    + _element_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
+    + ")"
 )
+
+
+@query(f"SELECT page_id, {_TITLE} AS title FROM pages")
 def page_title(spark, folder):
     visible = extract.visible_nodes(_nodes(spark, folder), ("page_id",))
     return visible.select("page_id", extract.page_title().alias("title"))
@@ -606,13 +637,33 @@ _ARTICLE = (
 )
 
 
-@query()
+_BODY = f"""articles AS (SELECT page_id, url, html, {_ARTICLE} AS article FROM pages),
+  texts AS (SELECT *, {_element_sql('article')} AS whole,
+    list_filter(list_transform(list_transform(string_split(article, '<p>')[2:],
+        lambda p, i: CASE WHEN i = 1 THEN article[strpos(article, '<p>') + 3:]
+          ELSE split_part(p, '</p>', 1) END),
+      lambda p: {_element_sql('p')}), lambda p: length(p) > 50) AS paragraphs FROM articles),
+  bodies AS (SELECT page_id, url, html, CASE WHEN length(whole) > 200 THEN whole
+    ELSE array_to_string(paragraphs, ' ') END AS text FROM texts)"""
+@query(
+    f"""WITH {_BODY}
+    SELECT page_id, url, {_TITLE} AS title, cast(NULL AS varchar) AS description, text AS content,
+      cast(NULL AS varchar) AS author, cast(NULL AS timestamp) AS publish_date, '[]' AS tags,
+      cast({_WORDS} AS int) AS word_count, cast(greatest(1, {_WORDS} // 200) AS int) AS reading_time,
+      {_FLESCH} AS readability_score, timestamp '2024-01-01' AS extracted_at,
+      md5(text) AS content_hash
+    FROM bodies WHERE length(text) >= 100"""
+)
 def page_content(spark, folder):
     """Whole content records."""
     records = extract.content_records(
         _nodes(spark, folder), vw.moment(vw.EPOCH), ("page_id", "url")
     )
-    return extract.useful(records).withColumn("tags", F.to_json("tags"))
+    return (
+        extract.useful(records)
+        .withColumn("tags", tx.encode_tags(C("tags")))
+        .withColumn("publish_date", vw.ntz(C("publish_date")))
+    )
 
 
 @query(
@@ -640,9 +691,9 @@ def page_article(spark, folder):
     WHERE {_VALID} AND NOT regexp_matches({_PATH}, '\\.({_EXTENSIONS})$')"""
 )
 def page_links(spark, folder):
-    pages = tb.read_table(spark, folder, "pages", ["page_id", "url"])
-    edges = extract.links(_nodes(spark, folder), from_cleaned=False, patterns=None)
-    return edges.join(pages, C("src_url") == C("url")).select("page_id", "dst_url")
+    nodes = _nodes(spark, folder)
+    found = extract.links(nodes, from_cleaned=False, patterns=None, keep=["page_id"])
+    return found.select("page_id", "dst_url")
 
 
 # --------------------------------------------------------------------------- index
@@ -1087,24 +1138,89 @@ def topic_items(spark, folder):
     return ct.content_by_topics(vw.content(spark, folder), TOPICS).select("topic", "rank", "url")
 
 
-@query()
+def _escaped(column: str) -> str:
+    return f"replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+_TAGGED = "concat(chr(10), '    <{0}>', {1}, '</{0}>')"
+_ITEM_XML = (
+    "concat('<item>', "
+    + ", ".join(
+        _TAGGED.format(name, value)
+        for name, value in (
+            ("title", _escaped("title")),
+            ("description", _escaped("description")),
+            ("link", "url"),
+            ("guid", "url"),
+            ("pubDate", "strftime(publish_date, '%a, %d %b %Y %H:%M:%S GMT')"),
+            ("author", "author"),
+            ("category", "tags[1]"),
+            ("category", "tags[2]"),
+        )
+    )
+    + ", chr(10), '</item>')"
+)
+_RSS_HEAD = "\n".join(
+    [
+        '<?xml version="1.0" ?>',
+        '<rss version="2.0">',
+        "<channel>",
+        f"<title>{config.DEFAULTS.feed_title}</title>",
+        f"<description>{config.DEFAULTS.feed_description}</description>",
+        f"<link>{config.DEFAULTS.feed_home}</link>",
+        "<lastBuildDate>Mon, 01 Jan 2024 00:00:00 GMT</lastBuildDate>",
+        "",
+    ]
+)
+_RSS_SQL = f"""concat('{_RSS_HEAD}', string_agg({_ITEM_XML}, chr(10) ORDER BY rank),
+  chr(10), '</channel>', chr(10), '</rss>', chr(10))"""
+_JSON_HEAD = (
+    '{"version":"https://jsonfeed.org/version/1.1",'
+    f'"title":"{config.DEFAULTS.feed_title}","description":"{config.DEFAULTS.feed_description}",'
+    f'"home_page_url":"{config.DEFAULTS.feed_home}","feed_url":"{config.DEFAULTS.feed_url}",'
+    '"items":['
+)
+_JSON_SQL = f"""concat('{_JSON_HEAD}', string_agg(cast(to_json({{'id': url, 'url': url, 'title': title,
+  'content_text': content, 'summary': description,
+  'date_published': strftime(publish_date, '%Y-%m-%dT%H:%M:%S'), 'tags': tags,
+  'authors': [{{'name': author}}]}}) AS varchar), ',' ORDER BY rank), ']}}')"""
+_RANKED = """ranked AS (SELECT *, row_number() OVER (ORDER BY extracted_at DESC, url) AS rank FROM content
+  ORDER BY rank LIMIT 50)"""
+
+
+@query(
+    _with(
+        vw.CONTENT_SQL,
+        "topics AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in TOPICS) + "]) AS topic)",
+        """ranked AS (SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY topic ORDER BY extracted_at DESC, url) AS rank
+          FROM content, topics WHERE title ILIKE '%' || topic || '%'
+            OR content ILIKE '%' || topic || '%' OR tags[1] ILIKE '%' || topic || '%'
+            OR tags[2] ILIKE '%' || topic || '%') WHERE rank <= 50)""",
+    )
+    + f"""SELECT topic, 'rss' AS format, {_RSS_SQL} AS feed FROM ranked GROUP BY topic
+      UNION ALL SELECT topic, 'json', {_JSON_SQL} FROM ranked GROUP BY topic"""
+)
 def topic_feeds(spark, folder):
-    """RSS and JSON documents of every topic, written and read back."""
+    """RSS and JSON documents of every topic, written as files and read back."""
     ranked = cut(ct.content_by_topics(vw.content(spark, folder), TOPICS))
     both = feeds.rss_feed(ranked, vw.moment(vw.EPOCH), "topic").withColumn("format", F.lit("rss"))
     both = both.unionByName(feeds.json_feed(ranked, "topic").withColumn("format", F.lit("json")))
     path = new_path(spark, "feeds")
     feeds.write_feeds(both, path, ["format", "topic"])
-    written = spark.read.text(path, wholetext=True)
-    return written.select("topic", "format", C("value").alias("feed"))
+    written = spark.read.schema("value string, format string, topic string").text(
+        path, wholetext=True
+    )
+    # The writer ends each file with a line feed of its own.
+    return written.select("topic", "format", F.regexp_replace("value", r"\n\z", "").alias("feed"))
 
 
-@query()
+@query(_with(vw.CONTENT_SQL, _RANKED) + f"SELECT {_RSS_SQL} AS feed FROM ranked")
 def rss_feed(spark, folder):
     return feeds.rss_feed(feeds.with_rank(_recent(spark, folder)), vw.moment(vw.EPOCH))
 
 
-@query()
+@query(_with(vw.CONTENT_SQL, _RANKED) + f"SELECT {_JSON_SQL} AS feed FROM ranked")
 def json_feed(spark, folder):
     return feeds.json_feed(feeds.with_rank(_recent(spark, folder)))
 
