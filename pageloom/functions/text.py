@@ -93,14 +93,13 @@ def flesch_reading_ease(text: Column) -> Column:
 
     def score(c: Column) -> Column:
         syllables = F.greatest(c["words"], c["vowels"])
-        return F.when(c["words"] == 0, F.lit(206.84)).otherwise(
-            F.round(
-                F.lit(206.835)
-                - F.lit(1.015) * (c["words"] / c["sentences"])
-                - F.lit(84.6) * (syllables / F.nullif(c["words"], F.lit(0))),
-                2,
-            )
+        exact = (
+            F.lit(206.835)
+            - F.lit(1.015) * (c["words"] / c["sentences"])
+            - F.lit(84.6) * (syllables / F.nullif(c["words"], F.lit(0)))
         )
+        rounded = let(exact, lambda x: F.signum(x) * (F.floor(F.abs(x) * 100 + 0.5) / F.lit(100.0)))
+        return F.when(c["words"] == 0, F.lit(206.84)).otherwise(rounded)
 
     return let(counts, score)
 

@@ -169,13 +169,19 @@ def _first_partners(sets: DataFrame, threshold: float) -> DataFrame:
         ahead = entries.join(groups, "token").where(
             F.col("until").isNull() | (F.col("id") > F.col("until"))
         )
-        # Members left to compare; a partner found before a group's mark cannot be improved there.
         pending = ahead
         if best is not None:
+            # A partner found before a group's mark cannot be improved there. Groups in which
+            # every member is settled so are done.
             known = best.select("id", F.col("partner").alias("known"))
-            pending = ahead.join(known, "id", "left").where(
-                F.col("known").isNull() | (F.col("known") > F.col("until"))
+            pending = cut(
+                ahead.join(known, "id", "left").where(
+                    F.col("known").isNull() | (F.col("known") > F.col("until"))
+                )
             )
+            if pending.isEmpty():
+                return best
+            ahead = ahead.join(pending.select("token").distinct(), "token", "left_semi")
         order = W.partitionBy("token").orderBy("id")
         leaders = cut(
             ahead.select("token", "id", "size", "short", "step")

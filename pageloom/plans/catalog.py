@@ -364,10 +364,11 @@ _CLEAN = (
 )
 _WORDS = f"len(list_filter(string_split_regex(text, '{SPACES}'), lambda w: w <> ''))"
 
-_FLESCH = f"""CASE WHEN {_WORDS} = 0 THEN 206.84::double ELSE round(206.835::double
-      - 1.015::double * ({_WORDS} / greatest(1, len(regexp_extract_all(text, '[.!?]+'))))
-      - 84.6::double * (greatest({_WORDS}, len(regexp_extract_all(lower(text), '[aeiouy]+')))
-        / {_WORDS}), 2) END"""
+_FLESCH_EXACT = f"""(206.835::double
+  - 1.015::double * ({_WORDS} / greatest(1, len(regexp_extract_all(text, '[.!?]+'))))
+  - 84.6::double * (greatest({_WORDS}, len(regexp_extract_all(lower(text), '[aeiouy]+'))) / {_WORDS}))"""
+_FLESCH = f"""CASE WHEN {_WORDS} = 0 THEN 206.84::double
+  ELSE sign({_FLESCH_EXACT}) * (floor(abs({_FLESCH_EXACT}) * 100 + 0.5) / 100) END"""
 
 _text_query("clean_text", "cleaned", tx.clean_text, _CLEAN)
 _text_query("word_count", "words", tx.word_count, f"cast({_WORDS} AS int)")
@@ -602,8 +603,8 @@ def _nodes(spark, folder):
 
 
 _UNESCAPE = (
-    "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'),"
-    " '&#x27;', ''''), '&amp;', '&')"
+    "regexp_replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'),"
+    " '&#x27;', ''''), '&amp;?', '&', 'g')"
 )
 
 
