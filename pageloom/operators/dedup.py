@@ -152,6 +152,7 @@ def near_duplicates(
 def _first_partners(sets: DataFrame, threshold: float) -> DataFrame:
     """``(id, partner, similarity)``: the smallest similar id before each set that has one."""
     entries = cut(_prefix_entries(sets, threshold))
+    kind = sets.schema["id"].dataType
     # Groups still to be searched, with the last member already compared with.
     groups = (
         entries.groupBy("token")
@@ -159,7 +160,7 @@ def _first_partners(sets: DataFrame, threshold: float) -> DataFrame:
         .where(F.col("n") > 1)
         .select(
             "token",
-            F.lit(None).cast("bigint").alias("until"),
+            F.lit(None).cast(kind).alias("until"),
             F.when(F.col("n") <= SMALL_GROUP, SMALL_GROUP).otherwise(FIRST_STEP).alias("step"),
         )
     )

@@ -16,16 +16,18 @@ from pageloom.operators.ranking import positions
 from pageloom.session import cut
 
 
-def not_crawled(urls: DataFrame, crawled: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose URL is not among the crawled ones."""
+def not_crawled(urls: DataFrame, crawled: DataFrame) -> DataFrame:
+    """Rows whose URL is not among the crawled ones, given by ``url_hash`` or by ``url``."""
+    if "url_hash" not in crawled.columns:
+        return urls.join(crawled.select("url"), "url", "left_anti")
     return (
-        urls.withColumn("url_hash", url_hash(F.col(url)))
+        urls.withColumn("url_hash", url_hash(F.col("url")))
         .join(crawled.select("url_hash"), "url_hash", "left_anti")
         .drop("url_hash")
     )
 
 
-def add_urls(frontier: DataFrame, added: DataFrame, crawled: DataFrame) -> DataFrame:
+def add_urls(frontier: DataFrame | None, added: DataFrame, crawled: DataFrame) -> DataFrame:
     """The frontier after queueing ``added (url, priority[, seq])`` in the order of ``seq``.
 
     Crawled URLs are skipped; a URL queued again takes the priority it was last given. The last
@@ -36,8 +38,11 @@ def add_urls(frontier: DataFrame, added: DataFrame, crawled: DataFrame) -> DataF
     last = added.groupBy("url").agg(
         F.max_by("priority", F.struct(seq, "priority")).alias("priority")
     )
+    new = not_crawled(last, crawled).select("url", "priority")
+    if frontier is None:
+        return new
     both = frontier.select("url", "priority", F.lit(False).alias("new")).unionByName(
-        not_crawled(last, crawled).select("url", "priority", F.lit(True).alias("new"))
+        new.withColumn("new", F.lit(True))
     )
     return both.groupBy("url").agg(
         F.max_by("priority", F.struct("new", "priority")).alias("priority")
@@ -88,7 +93,7 @@ def crawl(
     while (max_pages is None or taken < max_pages) and not frontier.isEmpty():
         left = None if max_pages is None else max_pages - taken
         size = left if batch is None else batch if left is None else min(batch, left)
-        picked, waiting = frontier, frontier.limit(0)
+        picked, waiting = frontier, None
         if size is not None:
             picked = cut(next_urls(frontier, size))
             waiting = frontier.join(picked.select("url"), "url", "left_anti")
@@ -96,14 +101,12 @@ def crawl(
         got = picked.join(fetchable, "url", "left_semi").select(
             "url", F.lit(number).alias("round"), "priority"
         )
-        crawled = reduce(DataFrame.unionByName, [*done, got]).select(
-            url_hash(F.col("url")).alias("url_hash")
-        )
-        added = (
-            found.join(got.select(F.col("url").alias("src_url")), "src_url", "left_semi")
-            .select(F.col("dst_url").alias("url"))
-            .distinct()
-            .withColumn("priority", F.lit(config.DEFAULTS.link_priority))
+        crawled = reduce(DataFrame.unionByName, [*done, got])
+        added = found.join(
+            got.select(F.col("url").alias("src_url")), "src_url", "left_semi"
+        ).select(
+            F.col("dst_url").alias("url"),
+            F.lit(config.DEFAULTS.link_priority).alias("priority"),
         )
         queued = add_urls(waiting, added, crawled)
         # One table a round holds both what was reached and what is queued next.

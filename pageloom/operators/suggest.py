@@ -12,14 +12,17 @@ from pageloom.functions import text as tx
 from pageloom.operators import index as ix
 from pageloom.operators import search as se
 
-PREFIX = 10  # characters of a word used for finding candidates
+# Characters of a word used for finding candidates. The longer, the fewer words share a stem
+# without being alike; the number of stems grows with its square.
+PREFIX = 14
 
 
 def _stems(term: Column) -> Column:
     """The first ``PREFIX`` characters with up to two of them left out, never the first.
 
     Two words within two edits that begin with the same letter share at least one of these, so
-    an equi-join on them finds every candidate. A word has at most 46, whatever its length.
+    an equi-join on them finds every candidate. A word has at most 92, whatever its length, and
+    up to PREFIX letters only words within four edits meet at all.
     """
     head = F.substring(term, 1, PREFIX)
 

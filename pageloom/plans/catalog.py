@@ -170,7 +170,9 @@ _BENCH_TERMS = f"SELECT item_id AS query_id, unnest({_tokens('text')}) AS term F
 
 
 def _batch_scores(spark, folder):
-    index = cut(ix.postings(vw.content(spark, folder), key="url"))
+    path = new_path(spark, "postings")
+    ix.postings(vw.content(spark, folder), key="url").write.parquet(path)
+    index = spark.read.parquet(path)
     queries = tb.read_table(spark, folder, "benchmark").select(
         C("item_id").alias("query_id"), C("text").alias("query")
     )

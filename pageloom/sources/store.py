@@ -29,8 +29,10 @@ def accepted(
     place = F.struct(*order, F.coalesce("content_hash", F.lit("")))
     rows = batch.select(*keys)
     if existing is not None:
-        for column in ("content_hash", "url"):
-            rows = rows.join(_stored(existing, batch, column), column, "left_anti")
+        rows = cut(rows)
+        asked = {c: _stored(existing, rows, c) for c in ("content_hash", "url")}
+        for column, stored in asked.items():
+            rows = rows.join(stored, column, "left_anti")
     # Of rows equal in url and hash only the first can be accepted.
     pending = cut(
         rows.select("url", "content_hash", place.alias("place"))

@@ -33,8 +33,15 @@ def ingest(content: DataFrame, table: str, state: str, available_now: bool = Tru
 
 
 def deduplicated(content: DataFrame, time: str, delay: str, key: str = "content_hash") -> DataFrame:
-    """First record of each key; the state of a key is kept for ``delay``."""
-    return content.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    """First record of each key; the state of a key is kept for ``delay``. Records without a key
+    are told apart by their url."""
+    own = F.when(F.col(key).isNull(), F.col("url"))
+    return (
+        content.withColumn("_own", own)
+        .withWatermark(time, delay)
+        .dropDuplicatesWithinWatermark([key, "_own"])
+        .drop("_own")
+    )
 
 
 def trending(

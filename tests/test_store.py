@@ -129,6 +129,16 @@ def test_large_group_without_partners(spark):
     assert near(spark, texts) == first_partners(texts)
 
 
+def test_near_duplicates_by_text_key(spark):
+    docs = spark.createDataFrame(
+        [("u2", "a b c d"), ("u1", "d c b a"), ("u3", "a b c d e"), ("u4", "x")], "url string, text string"
+    )
+    got = dedup.near_duplicates(docs, "url", "text").collect()
+    assert {r["url"]: (r["duplicate_of"], r["similarity"]) for r in got} == {
+        "u2": ("u1", 1.0), "u3": ("u1", 0.8),
+    }
+
+
 def test_exact_dedup(spark):
     data = [("u2", "h", at(1)), ("u1", "h", at(1)), ("u3", None, at(0)), ("u4", None, at(0))]
     got = dedup.exact_dedup(spark.createDataFrame(data, SCHEMA))

@@ -32,6 +32,7 @@ BATCHES = (
     [("u1", "h2", at(2), ["b"]), ("u3", "h3", at(3), ["a", "b"])],
     [("u4", "h3", at(4), []), ("u5", None, at(50), ["a"])],
 )
+UNHASHED = [("u6", None, at(51), ["a"])]
 
 
 def test_ingest_equals_batch_and_resumes(spark):
@@ -44,11 +45,11 @@ def test_ingest_equals_batch_and_resumes(spark):
 
 
 def test_deduplicated(spark):
-    folder, path = files(spark, *BATCHES), new_path(spark, "d")
+    folder, path = files(spark, *BATCHES, UNHASHED), new_path(spark, "d")
     kept = st.deduplicated(stream(spark, folder), "extracted_at", "100 days")
     st.write_files(kept, path, new_path(spark, "s")).awaitTermination()
     hashes = [r["content_hash"] for r in spark.read.parquet(path).collect()]
-    assert sorted(map(str, hashes)) == ["None", "h1", "h2", "h3"]
+    assert sorted(map(str, hashes)) == ["None", "None", "h1", "h2", "h3"]
 
 
 def test_trending(spark):
