@@ -43,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_CHARS = 32_000_000
+BROADCAST_CHARS = 10_000_000
 
 
 def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_CHARS) -> DataFrame:

@@ -57,12 +57,12 @@ def read_table(
 def spread(df: DataFrame) -> DataFrame:
     """Give costly per-row work enough tasks.
 
-    A file with a single row group is one task however many cores wait. Only a scan with fewer
-    tasks than cores is redistributed; a large table has many row groups, so its rows stay where
-    they are read and nothing is shuffled.
+    A file with a single row group is one task however many cores wait. Only a scan that would
+    leave three of four cores idle is redistributed; the rows of a large table, with its many row
+    groups, stay where they are read and nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() * 4 > cores:
         return df
     return df.repartition(cores)
 
