@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
 
-from pageloom.llm import quality, simhash
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageloom.llm import packing, quality, secrets, simhash
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -19,6 +23,39 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _spans(kinds: Sequence[str] | None = None) -> Column:
+    spans = F.col("spans")
+    if kinds is not None:
+        spans = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ","
+    )
+
+
+def _span_digest(found: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    counts = {
+        f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in kinds
+    }
+    return found.select(
+        "doc_id",
+        *[c.alias(n) for n, c in counts.items()],
+        F.sha2(_spans(kinds), 256).alias("base_sha256"),
+        _spans().alias("spans"),
+    )
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(
+        _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
+@query
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return _span_digest(secrets.scan(_table(spark, folder, "documents")), secrets.BASE_KINDS)
+
+
 @query
 def op7_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.duplicates(_table(spark, folder, "documents"), shingle=3, distance=3)
@@ -27,3 +64,10 @@ def op7_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(_table(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
