@@ -33,12 +33,12 @@ def _spans(kinds: Sequence[str] | None = None) -> Column:
 
 
 def _span_digest(found: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    counts = {
-        f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in kinds
-    }
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
     return found.select(
         "doc_id",
-        *[c.alias(n) for n, c in counts.items()],
+        *[count(k).alias(f"n_{k}") for k in kinds],
         F.sha2(_spans(kinds), 256).alias("base_sha256"),
         _spans().alias("spans"),
     )
