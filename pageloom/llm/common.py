@@ -5,9 +5,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.session import new_path
 
@@ -15,6 +17,14 @@ SPACE = "[\\x20\\x09-\\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+_PLACE = {"start": T.IntegerType(), "stop": T.IntegerType()}
+SPANS = T.ArrayType(
+    T.StructType([T.StructField(n, t) for n, t in {"kind": T.StringType(), **_PLACE}.items()])
+)
+ARROW_SPANS = pa.list_(
+    pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+)
+
 
 def by_value(module: str) -> None:
     """Ship the functions of ``module`` with each task, so executors need no copy of the package."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import packing, quality, secrets, simhash
+from pageloom.llm import bpe, packing, pii, quality, secrets, simhash
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -51,6 +51,18 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(coded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _span_digest(secrets.scan(_table(spark, folder, "documents")), secrets.BASE_KINDS)
@@ -66,6 +78,11 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(_table(spark, folder, "documents"))
 
 
+@query
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return _span_digest(pii.scan(_table(spark, folder, "documents")), pii.BASE_KINDS)
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline

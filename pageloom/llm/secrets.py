@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import apart, by_value
+from pageloom.llm.common import ARROW_SPANS, SPANS, apart, by_value
 
 by_value(__name__)
 
@@ -34,19 +34,6 @@ PART_KINDS = ("identifier", "secret", "endpoint")
 KINDS = BASE_KINDS + PART_KINDS
 REACH = 200
 
-SPANS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("kind", T.StringType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("stop", T.IntegerType()),
-        ]
-    )
-)
-_ARROW_SPANS = pa.list_(
-    pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-)
-
 # The base patterns.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -191,7 +178,7 @@ def _finder(reach: int):
                 [dict(zip(("kind", "start", "stop"), s)) for s in find(t.as_py(), reach)]
                 for t in batch.column(batch.num_columns - 1)
             ]
-            columns = [*batch.columns[:-1], pa.array(rows, _ARROW_SPANS)]
+            columns = [*batch.columns[:-1], pa.array(rows, ARROW_SPANS)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "spans"])
 
     return run
