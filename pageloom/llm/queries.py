@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, packing, pii, quality, secrets, simhash
+from pageloom.llm import bpe, html_text, packing, pii, quality, secrets, simhash
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -68,6 +68,12 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _span_digest(secrets.scan(_table(spark, folder, "documents")), secrets.BASE_KINDS)
 
 
+@query
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.extract(_table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op7_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.duplicates(_table(spark, folder, "documents"), shingle=3, distance=3)
