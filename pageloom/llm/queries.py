@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, html_text, packing, pii, quality, secrets, simhash
+from pageloom.llm import bpe, cover_tree, html_text, packing, pii, quality, secrets, simhash
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -84,6 +84,11 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(_table(spark, folder, "documents"))
 
 
+@query
+def op9_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return cover_tree.duplicates(_table(spark, folder, "embeddings"), least=0.95)
+
+
 @query
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return _span_digest(pii.scan(_table(spark, folder, "documents")), pii.BASE_KINDS)

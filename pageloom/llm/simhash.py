@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 
 from pageloom.llm.common import apart, by_value, stored
 from pageloom.llm.components import components
+from pageloom.llm.forest import Forest
 
 by_value(__name__)
 
@@ -72,37 +73,6 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFram
     return narrow.mapInArrow(_fingerprints(shingle), schema)
 
 
-class _Forest:
-    """Which rows of a task are tied together already."""
-
-    def __init__(self) -> None:
-        self.parent = np.arange(1024)
-        self.size = 0
-
-    def more(self, n: int) -> np.ndarray:
-        while self.size + n > len(self.parent):
-            self.parent = np.concatenate(
-                [self.parent, np.arange(len(self.parent), 2 * len(self.parent))]
-            )
-        self.size += n
-        return np.arange(self.size - n, self.size)
-
-    def roots(self, rows: np.ndarray) -> np.ndarray:
-        found = self.parent[rows]
-        while True:
-            up = self.parent[found]
-            if (up == found).all():
-                break
-            found = up
-        self.parent[rows] = found
-        return found
-
-    def tie(self, x: int, y: int) -> bool:
-        x, y = int(self.roots(np.array([x]))[0]), int(self.roots(np.array([y]))[0])
-        self.parent[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _links(distance: int):
     """Links between rows sorted by ``(cell, ones)``, as a forest: one for each row at most."""
 
@@ -119,7 +89,7 @@ def _links(distance: int):
             yield rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, waiting, last, cell = _Forest(), deque(), None, 0
+        forest, waiting, last, cell = Forest(), deque(), None, 0
         for table in tiles(batches):
             names = [c for c in table.column_names if c not in ("fp", "ones")]
             keys = np.stack([table.column(c).to_numpy() for c in names])
@@ -150,11 +120,9 @@ def _links(distance: int):
                     near = np.triu(near, 1)
                 if not near.any():
                     continue
-                near &= forest.roots(other[3])[:, None] != forest.roots(tile[3])[None, :]
-                for i, j in zip(*np.nonzero(near)):
-                    if forest.tie(other[3][i], tile[3][j]):
-                        found_a.append(other[2][i])
-                        found_b.append(fp[j])
+                for i, j in forest.tie(other[3], tile[3], near):
+                    found_a.append(other[2][i])
+                    found_b.append(fp[j])
             waiting.append(tile)
             if found_a:
                 pairs = [np.array(x, np.uint64).view(np.int64) for x in (found_a, found_b)]
