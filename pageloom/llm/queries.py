@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, cover_tree, html_text, packing, pii, quality, secrets, simhash
+from pageloom.llm import bpe, cover_tree, html_text, packing, pii, quality, secrets, simhash, url_trust
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -44,6 +44,21 @@ def _span_digest(found: DataFrame, kinds: Sequence[str]) -> DataFrame:
     )
 
 
+# The rules of the query.
+URL_RULES = (
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
+
+
+@query
+def op1_url_trust(spark: SparkSession, folder: str) -> DataFrame:
+    return url_trust.judge(_table(spark, folder, "pages"), URL_RULES)
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(
