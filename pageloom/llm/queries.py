@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, cover_tree, html_text, packing, pii, quality, secrets, simhash, url_trust
+from pageloom.llm import bpe, cover_tree, html_text, licenses, packing, pii, quality, secrets, simhash, url_trust
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -78,6 +78,11 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _span_digest(secrets.scan(_table(spark, folder, "documents")), secrets.BASE_KINDS)
