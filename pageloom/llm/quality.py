@@ -23,6 +23,7 @@ from pageloom.llm.common import SPACE, apart, stored, words
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS = 10
+FACE = 0.3
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -157,25 +158,30 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> Model:
 
     The unknowns are the share of good documents and how often each rule votes on documents of
     either class, which gives its accuracy. Given the class, votes are independent; abstaining
-    says nothing. The start is what the votes say at face value, good with 0.9 and bad with 0.1.
-    A rule may be found useless, never the reverse of what it says, and no single vote counts
-    for more than odds of 1000 to 1.
+    says nothing. The start is what the votes say at face value: good with 0.9, bad with 0.1, even
+    where they differ or nobody votes. Every estimate mixes that in with the weight ``FACE``, so
+    that the classes keep their meaning at any size of the table. At least half of the documents
+    are taken as good, a rule may be found useless but never the reverse of what it says, and no
+    vote counts for more than odds of 1000 to 1; so a document no rule finds fault with is kept.
     """
     total = sum(n for _, n in patterns)
     if not total:
         return Model()
-    face = [0.1 if min(v) < 0 else 0.9 if max(v) > 0 else 0.5 for v, _ in patterns]
+    face = [
+        0.5 if min(v) < 0 < max(v) else 0.1 if min(v) < 0 else 0.9 if max(v) > 0 else 0.5
+        for v, _ in patterns
+    ]
     post, most, model = face, math.log(1000.0), Model()
     for _ in range(rounds):
-        good = sum(n * p for p, (_, n) in zip(post, patterns))
-        share = min(max(good / total, 0.02), 0.98)
+        mixed = [FACE * f + (1 - FACE) * p for f, p in zip(face, post)]
+        good = sum(n * p for p, (_, n) in zip(mixed, patterns))
+        share = min(max(good / total, 0.5), 0.98)
         weights = {}
         for r, name in enumerate(RULES):
-            on_good = sum(n * p for p, (v, n) in zip(post, patterns) if v[r])
-            on_bad = sum(n * (1 - p) for p, (v, n) in zip(post, patterns) if v[r])
-            # One vote in a thousand documents of each class, as a prior that fades with size.
-            ratio = math.log((on_good + 0.5) / (share * (total + 500)))
-            ratio -= math.log((on_bad + 0.5) / ((1 - share) * (total + 500)))
+            on_good = sum(n * p for p, (v, n) in zip(mixed, patterns) if v[r])
+            on_bad = sum(n * (1 - p) for p, (v, n) in zip(mixed, patterns) if v[r])
+            # With one vote more, dealt by the shares, so that a silent rule has no weight.
+            ratio = math.log((on_good + share) / share) - math.log((on_bad + 1 - share) / (1 - share))
             says = 1 if name == "well_formed" else -1
             weights[name] = says * min(max(says * ratio, 0.0), most)
         model = Model(math.log(share / (1 - share)), weights)
