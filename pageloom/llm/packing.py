@@ -10,11 +10,13 @@ which is a count of earlier tasks' pieces plus a running number within the task.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from array import array
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,17 @@ END = 1
 NODES = 1_000
 WIDTH = 8
 
-_CACHED_WORDS, _CACHED_LENGTH, _TEXTS = 800_000, 64, 512
-_MARK = "\x01"  # one id
+_CACHED_WORDS, _CACHED_LENGTH, _TEXTS = 300_000, 64, 512
 _TAIL, _AFTER_LATIN = ".,;:!?*&$%#|)]}>", "\u0250"
+_DOTTED = "\u0130"  # two characters in lower case
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 # Tokens
 
+# Byte-level tokenizers write bytes that print nothing as characters from 256 on, in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SYMBOLS = dict(zip(sorted(set(range(256)) - set(_PRINTED)), range(256, 512)))
 
 class Encoder:
     """The ids of whole texts as little-endian bytes.
@@ -54,13 +59,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = int.from_bytes(self.encode([_MARK])[0], "little")
-        try:
-            from pageloom.llm.kept import cache
-        except ImportError:
-            self.known: dict[str, bytes] = {}
-        else:
-            self.known = cache(f"ids {path}")
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -69,32 +68,31 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         """Add ``new`` words to those known.
 
-        A run of Latin letters gives the same ids whatever punctuation follows and, in ASCII,
-        whatever its case, so many new words are made up of known ones.
+        A run of Latin letters is one pre-token. It gives the same ids whatever punctuation
+        follows and whatever its case in ASCII, so many new words are made up of known ones, and
+        it goes straight to the merges.
         """
-        made, missing = [], {}
+        made, cores, tails, others = [], [], [], []
         for w in new:
             core = w.rstrip(_TAIL)
-            if core and core.isalpha() and max(core) < _AFTER_LATIN:
-                core = core.lower() if core.isascii() else core
-                made.append((w, core, w[len(core) :]))
-                missing[core] = missing[w[len(core) :]] = None
+            if core.isalpha() and max(core) < _AFTER_LATIN and _DOTTED not in core:
+                made.append(w)
+                tails.append(w[len(core) :])
+                cores.append(core.lower() if core.isascii() else core)
             else:
-                missing[w] = None
-        self.encode_words([w for w in missing if w not in self.known])
-        known = self.known
-        known.update([(w, known[core] + known[tail]) for w, core, tail in made])
-
-    def encode_words(self, words: list[str]) -> None:
-        """In one go: a mark that stands alone shows where each word ends."""
-        joined = self.encode([f" {_MARK} ".join(words)])[0]
-        ends = np.flatnonzero(np.frombuffer(joined, "<u4") == self.mark).tolist()
-        if len(ends) == len(words) - 1:
-            starts, stops = [0, *[4 * e + 4 for e in ends]], [*[4 * e for e in ends], len(joined)]
-            found = [joined[a:b] for a, b in zip(starts, stops)]
-        else:  # the mark itself is in a word
-            found = self.encode(words)
-        self.known.update(zip(words, found))
+                others.append(w)
+        known, merge = self.known, self.tokenizer.model.tokenize
+        for core in set(cores).difference(known):
+            if core.isascii():
+                ids = [t.id for t in merge(core)]
+            else:
+                symbols = core.lower().encode().decode("latin-1").translate(_SYMBOLS)
+                ids = [t.id for t in merge(symbols)]
+            known[core] = array("I", ids).tobytes()
+        rest = list({*tails, *others}.difference(known))
+        known.update(zip(rest, self.encode(rest)))
+        ids_of = known.__getitem__
+        known.update(zip(made, map(add, map(ids_of, cores), map(ids_of, tails))))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         known = self.known
@@ -130,6 +128,7 @@ def _cutter(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = Encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
+        gc.disable()  # nothing here is cyclic, and walking the known words costs more than all else
         for batch in batches:
             rows: dict[str, list] = {n: [] for n in ("row", "piece", "start", "length", "crc", "nth")}
             kept = []
