@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,10 @@ SAMPLE, PIVOTS = 2_000, 512
 LEVELS = 7
 SLACK = 1e-6  # distances of nearly equal vectors are known to half the digits of their cosine
 _ROWS = 1024
+_FEW = 1 << 20  # pairs of rows
 
 _TREE_SCHEMA = (
-    "cell int, chunk int, node long, weight long, vector array<double>, parent int, born int, "
-    "radius array<double>"
+    "cell int, chunk int, node long, weight long, vector array<double>, above array<int>, place int"
 )
 
 
@@ -52,94 +53,124 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _lists(m: np.ndarray) -> pa.Array:
+    whole = pa.array(np.ascontiguousarray(m).ravel())
+    return pa.FixedSizeListArray.from_arrays(whole, m.shape[1]).cast(pa.list_(whole.type))
+
+
 # Trees
 
 
+def _cosine(distance: float) -> float:
+    return 1.0 - distance * distance / 2.0
+
+
 class Tree:
-    """A cover tree of a tile. Level k has centres that lie over ``2 ** (1 - k)`` apart and cover
-    all rows within that distance of one; ``born`` is the first level at which a row is a centre.
-    ``radius[row, k]`` is the distance to the furthest row below it after level k."""
-
-    def __init__(self, x, parent, born, radius) -> None:
-        self.x, self.parent, self.born, self.radius = x, parent, born, radius
-        order = np.argsort(parent, kind="stable")
-        order = order[parent[order] >= 0]
-        owners = parent[order]
-        self.starts = np.searchsorted(owners, np.arange(len(x)), side="left")
-        self.stops = np.searchsorted(owners, np.arange(len(x)), side="right")
-        self.order = order
-
-    def below(self, row: int, level: int) -> np.ndarray:
-        """The row itself and what it covers that is born at the level after."""
-        own = self.order[self.starts[row] : self.stops[row]]
-        return np.concatenate([[row], own[self.born[own] == level + 1]])
-
-
-def build(x: np.ndarray) -> Tree:
+    """A cover tree of a tile. The centres of level k lie over ``2 ** (1 - k)`` apart and cover those
+    of the next level within that distance, so all rows below them within twice as much;
+    ``above[k]`` is the centre over each row. Centres of one level are centres of the next. At level
+    ``LEVELS`` every row stands for itself."""
+
+    def __init__(self, x: np.ndarray, above: np.ndarray) -> None:
+        self.x = x
+        self.above = np.vstack([above, np.arange(len(x))])
+        self.radius, self.below = [], []
+        for level in self.above:
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", x, x[level])))
+            d[level == np.arange(len(x))] = 0.0
+            radius = np.zeros(len(x))
+            np.maximum.at(radius, level, d)
+            self.radius.append(radius)
+            self.below.append(np.bincount(level, minlength=len(x)))
+
+    def rows(self, centres: np.ndarray, level: int) -> np.ndarray:
+        """All rows below some centres."""
+        asked = np.zeros(len(self.x), bool)
+        asked[centres] = True
+        return np.flatnonzero(asked[self.above[level]])
+
+    def centres(self, level: int) -> np.ndarray:
+        return np.unique(self.above[level])
+
+    def alone(self, centres: np.ndarray, level: int) -> np.ndarray:
+        return self.below[level][centres] == 1
+
+
+def build(x: np.ndarray) -> np.ndarray:
+    """``above`` for the levels before ``LEVELS``."""
     n = len(x)
-    parent, born = np.full(n, -1), np.full(n, LEVELS)
-    born[0] = 0
-    centres = np.array([0])
-    nearest, gap = np.zeros(n, np.int64), _distance(x, x[:1])[:, 0]
+    centre = np.zeros(n, bool)
+    centre[0] = True
+    nearest, best = np.zeros(n, np.int64), x @ x[0]
+    nearest[0], best[0] = 0, 1.0
+    levels = [nearest.copy()]
     for level in range(1, LEVELS):
-        reach, left = 2.0 ** (1 - level), np.flatnonzero(born == LEVELS)
-        above, left = nearest.copy(), left[gap[left] > reach]
-        new: list[int] = []
-        while len(left):
-            block = left[:256]
-            inner = _distance(x[block], x[block])
+        covered = _cosine(2.0 ** (1 - level))
+        while len(block := np.flatnonzero(~centre & (best < covered))[:256]):
+            far = x[block] @ x[block].T < covered
             free, picked = np.ones(len(block), bool), []
             for i in range(len(block)):
                 if free[i]:
                     picked.append(i)
-                    free &= inner[i] > reach
+                    free &= far[i]
             chosen = block[picked]
-            for at in range(0, n, 8 * _ROWS):
-                rows = slice(at, at + 8 * _ROWS)
-                d = _distance(x[rows], x[chosen])
-                best = d.argmin(axis=1)
-                d = d[np.arange(len(d)), best]
-                closer = d < gap[rows]
-                gap[rows] = np.where(closer, d, gap[rows])
-                nearest[rows] = np.where(closer, chosen[best], nearest[rows])
-            born[chosen], gap[chosen], nearest[chosen] = level, 0.0, chosen
-            new += chosen.tolist()
-            left = left[(born[left] == LEVELS) & (gap[left] > reach)]
-        parent[new] = above[new]
-        centres = np.concatenate([centres, np.array(new, np.int64)])
-    rest = born == LEVELS
-    parent[rest] = nearest[rest]
-    radius = np.zeros((n, LEVELS))
-    for row in np.argsort(-born, kind="stable"):
-        # every ancestor is told of the row; there are at most LEVELS of them
-        up = parent[row]
-        while up >= 0:
-            d = float(_distance(x[row : row + 1], x[up : up + 1])[0, 0])
-            radius[up, : born[row]] = np.maximum(radius[up, : born[row]], d)
-            up = parent[up]
-    return Tree(x, parent, born, radius)
+            centre[chosen], nearest[chosen], best[chosen] = True, chosen, 1.0
+            rest = np.flatnonzero(~centre)
+            for at in range(0, len(rest), _ROWS):
+                rows = rest[at : at + _ROWS]
+                cosine = x[rows] @ x[chosen].T
+                place = cosine.argmax(axis=1)
+                cosine = cosine[np.arange(len(rows)), place]
+                closer = cosine > best[rows]
+                best[rows[closer]], nearest[rows[closer]] = cosine[closer], chosen[place[closer]]
+        levels.append(nearest.copy())
+    for level in range(LEVELS - 2, -1, -1):  # one parent for all that a centre covers
+        levels[level] = levels[level][levels[level + 1]]
+    return np.array(levels)
 
 
 def dual(a: Tree, b: Tree, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks ``(rows of a, rows of b, linked)`` that together hold every linked pair once."""
+    """Blocks ``(rows of a, rows of b, linked)`` that together hold every linked pair once.
+
+    Centres without other rows below are compared right away. Each of the others meets all centres
+    of the other tree that do not lie too far apart: with few rows below them these are compared
+    at once, else their centres of the level below.
+    """
     reach = math.sqrt(2.0 - 2.0 * least) + SLACK
-    waiting = [(np.array([0]), np.array([0]), 0)]
-    while waiting:
-        left, right, level = waiting.pop()
-        inner = level < LEVELS
+    waiting = [(a.centres(0), b.centres(0), 0)]
+
+    def compared(left: np.ndarray, right: np.ndarray):
         for at in range(0, len(left), _ROWS):
             rows = left[at : at + _ROWS]
-            cosine = a.x[rows] @ b.x[right].T
-            ra = a.radius[rows, level] if inner else np.zeros(len(rows))
-            rb = b.radius[right, level] if inner else np.zeros(len(right))
-            leaf = (ra == 0)[:, None] & (rb == 0)[None, :]
-            linked = leaf & (cosine >= least)
+            linked = a.x[rows] @ b.x[right].T >= least
             if linked.any():
                 yield rows, right, linked
-            if ra.any() or rb.any():
-                near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine)) - ra[:, None] - rb[None, :] <= reach
-                for i, j in zip(*np.nonzero(near & ~leaf)):
-                    waiting.append((a.below(rows[i], level), b.below(right[j], level), level + 1))
+
+    def meeting(one: Tree, two: Tree, tops: np.ndarray, others: np.ndarray, level: int):
+        """The rows below each of ``tops``, and those below the ``others`` that it has to meet."""
+        for at in range(0, len(tops), _ROWS):
+            part = tops[at : at + _ROWS]
+            bound = one.radius[level][part, None] + two.radius[level][None, others] + reach
+            near = _distance(one.x[part], two.x[others]) <= bound
+            for top, met in zip(part, near):
+                if met.any():
+                    yield one.rows(top[None], level), two.rows(others[met], level)
+
+    while waiting:
+        left, right, level = waiting.pop()
+        alone_a, alone_b = a.alone(left, level), b.alone(right, level)
+        yield from compared(left[alone_a], right[alone_b])
+        more_a, more_b = left[~alone_a], right[~alone_b]
+        blocks = chain(
+            meeting(a, b, more_a, right, level),
+            (pair[::-1] for pair in meeting(b, a, more_b, left[alone_a], level)),
+        )
+        for rows_a, rows_b in blocks:
+            if len(rows_a) * len(rows_b) <= _FEW or level + 1 >= LEVELS:
+                yield from compared(rows_a, rows_b)
+            else:
+                below = np.unique(a.above[level + 1][rows_a]), np.unique(b.above[level + 1][rows_b])
+                waiting.append((*below, level + 1))
 
 
 # Spark
@@ -194,21 +225,16 @@ def _builder():
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("order", "ascending")])
         x = _normal(_matrix(table.column("vector")).astype(np.float64))
-        tree, n = build(x), len(x)
+        above, n = build(x), len(x)
         cell, chunk = table.column("cell")[0].as_py(), table.column("chunk")[0].as_py()
-        lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(
-            pa.list_(pa.float64())
-        )
         return pa.table(
             {
                 "cell": pa.array(np.full(n, cell, np.int32)),
                 "chunk": pa.array(np.full(n, chunk, np.int32)),
                 "node": table.column("order"),
                 "weight": table.column("weight"),
-                "vector": lists(x),
-                "parent": pa.array(tree.parent.astype(np.int32)),
-                "born": pa.array(tree.born.astype(np.int32)),
-                "radius": lists(tree.radius),
+                "vector": _lists(x),
+                "above": _lists(above.T.astype(np.int32)),
                 "place": pa.array(np.arange(n, dtype=np.int32)),
             }
         )
@@ -219,12 +245,8 @@ def _builder():
 def _side(table: pa.Table) -> tuple[Tree, np.ndarray, np.ndarray]:
     table = table.sort_by([("place", "ascending")])
     column = lambda c: table.column(c).to_numpy()
-    tree = Tree(
-        _matrix(table.column("vector")),
-        column("parent").astype(np.int64),
-        column("born").astype(np.int64),
-        _matrix(table.column("radius")),
-    )
+    above = _matrix(table.column("above")).T.astype(np.int64)
+    tree = Tree(_matrix(table.column("vector")), above)
     return tree, column("node"), column("weight")
 
 
@@ -290,9 +312,8 @@ def _tiles(nodes: DataFrame, size: int, reach: float) -> tuple[DataFrame, DataFr
     chunked = placed.join(F.broadcast(sizes), "cell").withColumn(
         "chunk", F.pmod(F.xxhash64("order"), "chunks").cast("int")
     )
-    schema = f"{_TREE_SCHEMA}, place int"
     trees = stored(
-        chunked.select("cell", "chunk", *columns).groupBy("cell", "chunk").applyInArrow(_builder(), schema),
+        chunked.select("cell", "chunk", *columns).groupBy("cell", "chunk").applyInArrow(_builder(), _TREE_SCHEMA),
         "trees",
     )
 
