@@ -138,20 +138,26 @@ def iso_date(moment: Column) -> Column:
 
 # Date spellings tried in turn; the first that fits the whole text wins.
 DATE_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]",
-    "yyyy-MM-dd'T'HH:mm[XXX]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][ ][XXX]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
+    "yyyy-M-d'T'HH:mm:ss[.SSSSSS][.SSS][XXX][XX]",
+    "yyyy-M-d'T'HH:mm[XXX][XX]",
+    "yyyy-M-d HH:mm:ss[.SSSSSS][.SSS][ ][XXX][XX][z]",
+    "yyyy-M-d HH:mm",
+    "yyyy-M-d",
     "yyyy/MM/dd HH:mm:ss",
     "yyyy/MM/dd",
     "yyyyMMdd",
     "M/d/yyyy HH:mm:ss",
     "M/d/yyyy",
+    "d.M.yyyy HH:mm",
+    "d.M.yyyy",
     "MMMM d, yyyy HH:mm:ss",
+    "MMMM d, yyyy h:mm a",
+    "MMMM d, yyyy HH:mm",
     "MMMM d, yyyy",
     "MMM d, yyyy HH:mm:ss",
+    "MMM d, yyyy h:mm a",
     "MMM d, yyyy",
+    "d MMMM yyyy HH:mm[:ss]",
     "d MMMM yyyy",
     "d MMM yyyy HH:mm:ss",
     "d MMM yyyy",
@@ -167,6 +173,7 @@ def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """
     # A leading day name says nothing new, and the formats cannot read one.
     trimmed = F.regexp_replace(F.trim(text), r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +", "")
+    trimmed = F.regexp_replace(trimmed, r"(?i)\b(sep)t\b\.?", "$1")
     return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in formats])
 
 
@@ -178,7 +185,7 @@ def query_terms(query: str) -> list[str]:
 def hit_pattern(terms: Column) -> Column:
     """Regular expression finding any of an array of analyzed terms as a whole word."""
     return F.concat(
-        F.lit(f"(?i)(?<![{WORD_CHARS}])("),
+        F.lit(f"(?iu)(?<![{WORD_CHARS}])("),
         F.array_join(F.array_distinct(terms), "|"),
         F.lit(f")(?![{WORD_CHARS}])"),
     )

@@ -83,7 +83,7 @@ def is_same_domain(first: Column, second: Column) -> Column:
 
 
 def _any_match(url: Column, patterns: Sequence[str]) -> Column:
-    return url.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    return url.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def should_crawl_url(
@@ -143,16 +143,25 @@ def robots_txt_url(url: Column) -> Column:
 
 
 def resolve_url(base: Column, href: Column) -> Column:
-    """Resolve a reference against the URL of its page."""
-    return F.pandas_udf(workers.resolve, "string")(base, href)
+    """Resolve a reference against the URL of its page.
+
+    References from the root, without dots or parameters to work on, are put together here; only
+    the others go to Python.
+    """
+    plain = base.rlike(r"^https?://[^/?#\[\]]+([/?#]|$)") & href.rlike(r"^/([^/?#;.][^?#;.]*)?$")
+    root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    rest = F.when(~F.coalesce(plain, F.lit(False)), href)
+    return F.when(plain, F.concat(root, href)).otherwise(
+        F.pandas_udf(workers.resolve, "string")(F.when(rest.isNotNull(), base), rest)
+    )
 
 
 def domain_info(urls: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``info struct<domain, subdomain, suffix, registered_domain>`` by longest suffix.
 
     The work is done once per distinct host. Each host is split into its dotted tails, which are
-    equi-joined to the ``suffixes(suffix)`` table; hosts without a listed suffix fall back to the
-    network location.
+    equi-joined to the ``suffixes(suffix)`` table. A host without a listed suffix has neither suffix
+    nor registered domain: its last label is its domain, an address is one as a whole.
     """
     located = urls.withColumn("_netloc", url_netloc(F.col(url)))
     host = F.lower(F.regexp_replace(F.regexp_replace("_netloc", r"^.*@", ""), r":\d*$", ""))
@@ -186,11 +195,12 @@ def domain_info(urls: DataFrame, suffixes: DataFrame, url: str = "url") -> DataF
             .alias("registered_domain"),
         ).alias("_found"),
     )
+    address = host.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*)$")
     fallback = F.struct(
-        F.col("_netloc").alias("domain"),
-        F.lit("").alias("subdomain"),
+        F.when(address, host).otherwise(F.substring_index(host, ".", -1)).alias("domain"),
+        F.when(address, F.lit("")).otherwise(F.regexp_extract(host, r"^(.*)\.[^.]*$", 1)).alias("subdomain"),
         F.lit("").alias("suffix"),
-        F.col("_netloc").alias("registered_domain"),
+        F.lit("").alias("registered_domain"),
     )
     return (
         located.join(info, "_netloc", "left")

@@ -49,8 +49,8 @@ def json_items(content: DataFrame, *keep: str) -> DataFrame:
 
 
 def _joined(items: DataFrame, text: Column, separator: str, group: str | None) -> DataFrame:
-    """Item texts of each feed in rank order. A feed has at most ``max_feed_items`` of them."""
-    rows = items.select(*([group] if group else []), F.struct("rank", text.alias("text")).alias("i"))
+    """Item texts of each feed in rank order, the first ``max_feed_items`` of them."""
+    rows = items.where(F.col("rank") <= config.DEFAULTS.max_feed_items).select(*([group] if group else []), F.struct("rank", text.alias("text")).alias("i"))
     collected = F.array_join(
         F.transform(F.sort_array(F.collect_list("i")), lambda i: i["text"]), separator
     ).alias("items")
@@ -118,13 +118,12 @@ def json_feed(ranked: DataFrame, group: str | None = None) -> DataFrame:
     return joined.select(*([group] if group else []), document.alias("feed"))
 
 
-def with_rank(recent: DataFrame) -> DataFrame:
-    """Ranks the records of one feed, already cut to its size, newest first."""
+def with_rank(recent: DataFrame, size: int = config.DEFAULTS.max_feed_items) -> DataFrame:
+    """The newest ``size`` records, ranked."""
     from pyspark.sql import Window as W
 
-    return recent.withColumn(
-        "rank", F.row_number().over(W.orderBy(F.desc("extracted_at"), F.asc("url")))
-    )
+    order = [F.desc("extracted_at"), F.asc("url")]
+    return recent.orderBy(*order).limit(size).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def write_feeds(feeds: DataFrame, path: str, groups: Sequence[str] = ()) -> None:

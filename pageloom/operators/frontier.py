@@ -134,12 +134,15 @@ def rate_limit_delay(
     return F.coalesce(F.try_element_at(F.create_map(*pairs), domain), F.lit(float(default)))
 
 
-def polite_schedule(frontier: DataFrame, default_delay: float = 1.0) -> DataFrame:
+def polite_schedule(
+    frontier: DataFrame, default_delay: float = 1.0, delays: DataFrame | None = None
+) -> DataFrame:
     """Planned fetch time of each URL, in seconds from the start, with a pause between requests to
     one domain: ``(url, priority, domain, position, fetch_offset)``.
 
     The pause is fixed for a domain, so the offset follows from the position, which is found
-    without gathering a domain in one task.
+    without gathering a domain in one task. ``delays (domain, delay)``, such as the crawl delays of
+    robots files, come before the configured ones; of several for a domain the longest counts.
     """
     placed = positions(
         frontier.select("url", "priority", url_domain(F.col("url")).alias("domain")),
@@ -147,4 +150,11 @@ def polite_schedule(frontier: DataFrame, default_delay: float = 1.0) -> DataFram
         [F.desc("priority"), F.desc("url")],
     )
     delay = rate_limit_delay(F.col("domain"), default_delay)
-    return placed.withColumn("fetch_offset", (F.col("position") - 1) * delay)
+    if delays is None:
+        return placed.withColumn("fetch_offset", (F.col("position") - 1) * delay)
+    known = delays.groupBy("domain").agg(F.max("delay").alias("_delay"))
+    return (
+        placed.join(known, "domain", "left")
+        .withColumn("fetch_offset", (F.col("position") - 1) * F.coalesce("_delay", delay))
+        .select(*placed.columns, "fetch_offset")
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,7 +12,6 @@ from pyspark.sql import Window as W
 from pageloom.functions import text as tx
 from pageloom.functions.arrays import value_counts
 from pageloom.functions.urls import url_netloc
-from pageloom.session import cut
 
 FIELDS = ("title", "content", "description")
 
@@ -57,19 +57,29 @@ def prepare_documents(
     )
 
 
+def _own_url() -> Column:
+    """Documents without a hash are told apart by their url."""
+    return F.when(F.col("content_hash").isNull(), F.col("url"))
+
+
 def upsert(index: DataFrame | None, documents: DataFrame) -> DataFrame:
     """The index with ``documents`` written over those of the same hash; the last write wins.
 
     Within ``documents`` the latest ``indexed_at`` wins, ties by url. Each task keeps its own
-    last row of a hash before the shuffle.
+    last row of a hash before the shuffle. A document without a hash takes the place of one without
+    a hash of the same url.
     """
-    last = W.partitionBy("content_hash").orderBy(F.desc("indexed_at"), F.desc("url"))
+    last = W.partitionBy("content_hash", _own_url()).orderBy(F.desc("indexed_at"), F.desc("url"))
     new = (
         documents.withColumn("_n", F.row_number().over(last)).where(F.col("_n") == 1).drop("_n")
     )
     if index is None:
         return new
-    return index.join(new.select("content_hash"), "content_hash", "left_anti").unionByName(new)
+    hashed = new.where(F.col("content_hash").isNotNull()).select("content_hash")
+    unhashed = new.where(F.col("content_hash").isNull()).select("url")
+    nulls = index.where(F.col("content_hash").isNull()).join(unhashed, "url", "left_anti")
+    kept = index.join(hashed, "content_hash", "left_anti").where(F.col("content_hash").isNotNull())
+    return kept.unionByName(nulls).unionByName(new)
 
 
 def delete(index: DataFrame, deletes: DataFrame) -> DataFrame:
@@ -77,55 +87,64 @@ def delete(index: DataFrame, deletes: DataFrame) -> DataFrame:
     return index.join(deletes.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
-def reindex(
-    content: DataFrame, indexed_at: Column | None = None, limit: int | None = None
-) -> DataFrame:
-    """A new index from the content table, or from its newest ``limit`` rows."""
-    rows = content
-    if limit is not None:
-        rows = content.orderBy(F.desc("extracted_at"), F.asc("url")).limit(limit)
-    return upsert(None, prepare_documents(rows, indexed_at))
+def reindex(content: DataFrame, indexed_at: Column | None = None) -> DataFrame:
+    """A new index from the whole content table."""
+    return upsert(None, prepare_documents(content, indexed_at))
+
+
+# A written index is a folder of deltas, ``delta=0`` and up. Writing and deleting only append; the
+# last delta that names a document decides about it when the index is read.
+
+
+def _append(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Each writer task writes what it has, so a delta of any size is spread over all of them."""
+    try:
+        last = spark.read.parquet(path).agg(F.max("delta")).first()[0]  # from the folder names
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        last = None
+    number = 0 if last is None else int(last) + 1
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/delta={number}")
 
 
-def write_index(index: DataFrame, path: str, buckets: int = 256) -> None:
-    """Write an index laid out by hash, so later upserts rewrite only the buckets they touch."""
-    _bucketed(index, buckets).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def bulk_index(spark: SparkSession, path: str, documents: DataFrame) -> None:
+    """Upsert into the written index at ``path``; the cost follows the new documents alone."""
+    _append(spark, path, upsert(None, documents).withColumn("deleted", F.lit(False)))
 
 
-def bulk_index(
-    spark: SparkSession, path: str, documents: DataFrame, buckets: int = 256
-) -> int:
-    """Upsert into the written index; returns the number of documents written.
+def bulk_delete(spark: SparkSession, path: str, deletes: DataFrame) -> None:
+    """Delete the listed hashes from the written index; unknown hashes are no error."""
+    marks = deletes.where("content_hash is not null").select("content_hash").distinct()
+    _append(spark, path, marks.withColumn("deleted", F.lit(True)))
 
-    Only buckets that hold new documents are read and rewritten.
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of the written index, by the last delta that names them.
+
+    Only keys are compared: each task keeps its own last row of a key before the shuffle.
     """
-    new = cut(_bucketed(upsert(None, documents), buckets))
-    stored = spark.read.parquet(path).select(*new.columns)
-    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # <= buckets
-    kept = stored.where(F.col("bucket").isin(touched))
-    merged = cut(upsert(kept, new))
-    (
-        merged.repartition("bucket", F.pmod(F.xxhash64("content_hash"), F.lit(8)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
+    rows = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(path)
+    last = W.partitionBy("content_hash", _own_url()).orderBy(F.desc("delta"))
+    return (
+        rows.withColumn("_n", F.row_number().over(last))
+        .where((F.col("_n") == 1) & ~F.col("deleted"))
+        .drop("_n", "delta", "deleted")
     )
-    return new.count()
 
 
-def _bucketed(index: DataFrame, buckets: int) -> DataFrame:
-    return index.withColumn(
-        "bucket", F.pmod(F.xxhash64("content_hash"), F.lit(buckets)).cast("int")
-    )
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Write the present documents of the index at ``path`` as the single delta of ``target``."""
+    _append(spark, target, read_index(spark, path).withColumn("deleted", F.lit(False)))
 
 
 def postings(
-    index: DataFrame, fields: Sequence[str] = FIELDS, key: str = "content_hash"
+    index: DataFrame, fields: Sequence[str] = FIELDS, key: str = "content_hash", mark: bool = False
 ) -> DataFrame:
     """Inverted index ``(key, field, term, tf, dl)``; ``dl`` is the length of the field.
 
-    Terms are counted inside each row, so building it shuffles nothing.
+    Terms are counted inside each row, so building it shuffles nothing. With ``mark``, ``first``
+    tells one posting of each field of a document from the others, for ``stored_field_stats``.
     """
     per_field = F.array(
         *[F.struct(F.lit(f).alias("field"), tx.tokens(F.col(f)).alias("terms")) for f in fields]
@@ -136,22 +155,32 @@ def postings(
             key,
             "f.field",
             F.size("f.terms").alias("dl"),
-            F.explode(value_counts(F.col("f.terms"))).alias("t"),
+            F.posexplode(value_counts(F.col("f.terms"))).alias("pos", "t"),
         )
         .select(
-            key, "field", F.col("t.value").alias("term"), F.col("t.n").alias("tf"), "dl"
+            key,
+            "field",
+            F.col("t.value").alias("term"),
+            F.col("t.n").alias("tf"),
+            "dl",
+            *([(F.col("pos") == 0).alias("first")] if mark else []),
         )
     )
 
 
-def write_postings(table: DataFrame, path: str, buckets: int = 1024) -> None:
-    """Write postings by term, so a search reads only the buckets of its terms."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    # A second key spreads the writing of a term that occurs everywhere.
-    part = F.pmod(F.xxhash64("content_hash"), F.lit(8))
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def write_postings(table: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write postings by term, so a search reads only the buckets of its terms.
+
+    Buckets are dealt out anew by their measured size: a large one, even of a single term that
+    occurs everywhere, goes to several tasks, and small ones share a task.
+    """
     (
-        table.withColumn("bucket", bucket)
-        .repartition("bucket", part)
+        table.withColumn("bucket", _bucket(buckets))
+        .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.mode("overwrite")
         .partitionBy("bucket")
@@ -159,6 +188,22 @@ def write_postings(table: DataFrame, path: str, buckets: int = 1024) -> None:
     )
 
 
+def read_postings(
+    spark: SparkSession, path: str, terms: DataFrame | Sequence[str], buckets: int = 64
+) -> DataFrame:
+    """Postings of the given terms, a list or a table with a column ``term``.
+
+    The buckets of the terms, at most ``buckets`` numbers, become a filter on folders, so no other
+    folder is read.
+    """
+    if not isinstance(terms, DataFrame):
+        terms = spark.createDataFrame([(t,) for t in terms], "term string")
+    asked = terms.select("term").distinct()
+    found = sorted(r["bucket"] for r in asked.select(_bucket(buckets).alias("bucket")).distinct().collect())
+    stored = spark.read.parquet(path).where(F.col("bucket").isin(found))
+    return stored.join(asked, "term", "left_semi").drop("bucket")
+
+
 def field_stats(index: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """``(field, n_docs, avg_dl)`` over the documents that have the field; one row a field."""
     sizes = index.select(*[F.size(tx.tokens(F.col(f))).alias(f) for f in fields])
@@ -182,6 +227,12 @@ def field_stats(index: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     ).select("s.*")
 
 
+def stored_field_stats(table: DataFrame) -> DataFrame:
+    """``field_stats`` from marked postings, without reading a text again."""
+    ones = table.where("first").groupBy("field")
+    return ones.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+
+
 def term_stats(table: DataFrame) -> DataFrame:
     """``(field, term, df)`` from postings."""
     return table.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))

@@ -171,12 +171,13 @@ _BENCH_TERMS = f"SELECT item_id AS query_id, unnest({_tokens('text')}) AS term F
 
 def _batch_scores(spark, folder):
     path = new_path(spark, "postings")
-    ix.postings(vw.content(spark, folder), key="url").write.parquet(path)
-    index = spark.read.parquet(path)
+    ix.write_postings(ix.postings(vw.content(spark, folder), key="url", mark=True), path)
+    statistics = cut(ix.stored_field_stats(spark.read.parquet(path)))
     queries = tb.read_table(spark, folder, "benchmark").select(
         C("item_id").alias("query_id"), C("text").alias("query")
     )
-    statistics = ix.field_stats(vw.content(spark, folder))
+    terms = queries.select(F.explode(F.array_distinct(tx.tokens(C("query")))).alias("term"))
+    index = ix.read_postings(spark, path, terms)
     return se.score(index, statistics, ix.term_stats(index), queries, key="url")
 
 
@@ -192,7 +193,7 @@ _BATCH = _with(vw.CONTENT_SQL, _bm25_sql("content", "url", se.BOOSTS, _BENCH_TER
 )
 def search_batch(spark, folder):
     scores = _batch_scores(spark, folder)
-    return se.search(scores, vw.content(spark, folder, wide=False), size=10, key="url")
+    return se.search(scores, vw.content(spark, folder), size=10, key="url")
 
 
 @query(_BATCH + "SELECT query_id, count(*) AS total FROM scored GROUP BY query_id")
@@ -451,7 +452,7 @@ def tags_json(spark, folder):
       strftime(extracted_at, '%Y-%m-%dT%H:%M:%S') AS iso_date FROM content"""
 )
 def rss_date(spark, folder):
-    return vw.content(spark, folder, wide=False).select(
+    return vw.content(spark, folder).select(
         "doc_id",
         tx.rss_date(C("publish_date")).alias("rss_date"),
         tx.iso_date(C("extracted_at")).alias("iso_date"),
@@ -474,7 +475,7 @@ def parse_date(spark, folder):
     spelt = F.coalesce(
         *[F.when(kind == i, F.date_format(at, f)) for i, f in enumerate(_DATE_SPELLINGS)]
     )
-    return vw.content(spark, folder, wide=False).select(
+    return vw.content(spark, folder).select(
         "doc_id", vw.ntz(tx.parse_date(spelt)).alias("parsed")
     )
 
@@ -488,7 +489,7 @@ def parse_date(spark, folder):
       extracted_at FROM content ORDER BY extracted_at DESC, url LIMIT 50"""
 )
 def recent_content(spark, folder):
-    recent = ct.recent_content(vw.content(spark, folder, wide=False))
+    recent = ct.recent_content(vw.content(spark, folder))
     return recent.withColumn("tags", F.array_join("tags", ",")).drop("content")
 
 
@@ -509,7 +510,7 @@ def topic_content(spark, folder):
 )
 def content_stats(spark, folder):
     return stats.content_stats(
-        vw.content(spark, folder, wide=False), vw.moment("2024-01-01 18:00:00")
+        vw.content(spark, folder), vw.moment("2024-01-01 18:00:00")
     )
 
 
@@ -523,7 +524,7 @@ def content_stats(spark, folder):
       count FROM ranked) ORDER BY count DESC, label, pos LIMIT 10"""
 )
 def top_tag_sets(spark, folder):
-    return stats.top_tag_sets(vw.content(spark, folder, wide=False))
+    return stats.top_tag_sets(vw.content(spark, folder))
 
 
 @query(
@@ -533,7 +534,7 @@ def top_tag_sets(spark, folder):
       GROUP BY topic ORDER BY count DESC, topic LIMIT 20"""
 )
 def trending_topics(spark, folder):
-    index = vw.content(spark, folder, wide=False).withColumnRenamed("extracted_at", "indexed_at")
+    index = vw.content(spark, folder).withColumnRenamed("extracted_at", "indexed_at")
     return stats.trending_topics(index, vw.moment("2024-01-08 02:00:00"))
 
 
@@ -543,7 +544,7 @@ _FIRST_OF_HASH = """SELECT url, extracted_at, content_hash FROM (SELECT *, row_n
 
 @query(_with(vw.CONTENT_SQL) + _FIRST_OF_HASH)
 def exact_dedup(spark, folder):
-    rows = vw.content(spark, folder, wide=False).select("url", "extracted_at", "content_hash")
+    rows = vw.content(spark, folder).select("url", "extracted_at", "content_hash")
     return dedup.exact_dedup(rows)
 
 
@@ -551,10 +552,11 @@ def exact_dedup(spark, folder):
 def save_content(spark, folder):
     """Two batches into an empty table: the rows of the first hours, then all rows again."""
     path = new_path(spark, "content")
-    rows = vw.content(spark, folder, wide=False).drop("doc_id")
+    rows = vw.content(spark, folder).drop("doc_id")
     store.save_content(spark, path, rows.where(C("extracted_at") < vw.moment("2024-01-01 06:00:00")))
     store.save_content(spark, path, rows)
-    return store.read_content(spark, path).select("url", "extracted_at", "content_hash")
+    saved = store.read_content(spark, path)
+    return saved.select("url", vw.ntz(C("extracted_at")).alias("extracted_at"), "content_hash")
 
 
 _CONFLICTS = """saves AS (
@@ -669,6 +671,19 @@ def page_content(spark, folder):
     )
 
 
+@query(
+    f"""WITH {_BODY}
+    SELECT min(url) AS url, md5(text) AS content_hash FROM bodies WHERE length(text) >= 100
+    GROUP BY text"""
+)
+def save_pages(spark, folder):
+    """Pages read, made into records by the clock of the job, and saved: one page for each text."""
+    path = new_path(spark, "content")
+    nodes = extract.page_nodes(vw.pages(spark, folder))
+    store.save_content(spark, path, extract.useful(extract.content_records(nodes)))
+    return store.read_content(spark, path).select("url", "content_hash")
+
+
 @query(
     f"""SELECT page_id, md5(body) AS content_hash, cast(length(body) AS int) AS n_chars
       FROM (SELECT page_id, {_element_sql(_ARTICLE)} AS body FROM pages) WHERE length(body) > 200"""
@@ -782,7 +797,7 @@ def index_slim_documents(spark, folder):
 
 
 def _index(spark, folder):
-    rows = vw.content(spark, folder, wide=False)
+    rows = vw.content(spark, folder)
     return rows.select("url", "content_hash", C("extracted_at").alias("indexed_at"))
 
 
@@ -799,13 +814,47 @@ def index_upsert(spark, folder):
     return ix.upsert(first, docs.where(C("indexed_at") >= half))
 
 
-@query(_with(vw.CONTENT_SQL) + _LAST_OF_HASH)
+# Every tenth document has no hash and stands for itself.
+_SPARSE = """sparse AS (SELECT * REPLACE (CASE WHEN doc_id % 10 > 0 THEN content_hash END AS content_hash)
+  FROM content)"""
+_LAST_OF_SPARSE = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content_hash,
+    CASE WHEN content_hash IS NULL THEN url END ORDER BY extracted_at DESC, url DESC) AS rn FROM sparse)
+  WHERE rn = 1"""
+
+
+@query(
+    f"""WITH {vw.CONTENT_SQL}, {_SPARSE}
+    SELECT url, content_hash, extracted_at AS indexed_at FROM ({_LAST_OF_SPARSE})"""
+)
 def index_bulk(spark, folder):
-    """The same with written tables, rewriting only the buckets that change."""
-    path, docs, half = new_path(spark, "index"), _index(spark, folder), vw.moment("2024-01-01 06:00:00")
-    ix.write_index(ix.upsert(None, docs.where(C("indexed_at") < half)), path, buckets=16)
-    ix.bulk_index(spark, path, docs.where(C("indexed_at") >= half), buckets=16)
-    return spark.read.parquet(path).select("url", "content_hash", "indexed_at")
+    """The same over whole documents in a written index, where the later half is a second delta."""
+    path = _written_index(spark, folder)
+    return ix.read_index(spark, path).select("url", "content_hash", "indexed_at")
+
+
+def _written_index(spark, folder):
+    path, half = new_path(spark, "index"), vw.moment("2024-01-01 06:00:00")
+    rows = vw.content(spark, folder)
+    rows = rows.withColumn("content_hash", F.when(C("doc_id") % 10 > 0, C("content_hash")))
+    docs = ix.prepare_documents(rows, C("extracted_at"))
+    ix.bulk_index(spark, path, docs.where(C("indexed_at") < half))
+    ix.bulk_index(spark, path, docs.where(C("indexed_at") >= half))
+    return path
+
+
+@query(
+    f"""WITH {vw.CONTENT_SQL}, {_SPARSE}, deleted AS (SELECT content_hash FROM sparse
+      WHERE list_contains(tags, 'fr') AND content_hash IS NOT NULL)
+    SELECT url, content_hash, md5({_clean_sql('content')}) AS content_md5 FROM ({_LAST_OF_SPARSE})
+    WHERE content_hash IS NULL OR content_hash NOT IN (SELECT content_hash FROM deleted)"""
+)
+def index_bulk_delete(spark, folder):
+    """French hashes deleted from the written index, which is then compacted."""
+    path, small = _written_index(spark, folder), new_path(spark, "index")
+    french = vw.content(spark, folder).where(F.array_contains("tags", "fr") & (C("doc_id") % 10 > 0))
+    ix.bulk_delete(spark, path, french.select("content_hash"))
+    ix.compact(spark, path, small)
+    return ix.read_index(spark, small).select("url", "content_hash", F.md5("content").alias("content_md5"))
 
 
 @query(
@@ -814,7 +863,7 @@ def index_bulk(spark, folder):
       SELECT content_hash FROM content WHERE list_contains(tags, 'fr'))"""
 )
 def index_delete(spark, folder):
-    rows = vw.content(spark, folder, wide=False)
+    rows = vw.content(spark, folder)
     deletes = rows.where(F.array_contains("tags", "fr")).select("content_hash")
     return ix.delete(_index(spark, folder), deletes)
 
@@ -823,11 +872,11 @@ def index_delete(spark, folder):
     _with(vw.CONTENT_SQL)
     + f"""SELECT url, content_hash, {_clean_sql('title')} AS title FROM (SELECT *, row_number() OVER (
       PARTITION BY content_hash ORDER BY url DESC) AS rn FROM (
-        SELECT * FROM content ORDER BY extracted_at DESC, url LIMIT 10000)) WHERE rn = 1"""
+        SELECT * FROM content)) WHERE rn = 1"""
 )
 def index_rebuild(spark, folder):
-    """From the newest 10,000 rows, all with one indexing time."""
-    index = ix.reindex(vw.content(spark, folder), vw.moment(vw.EPOCH), limit=10_000)
+    """From the whole table, all with one indexing time."""
+    index = ix.reindex(vw.content(spark, folder), vw.moment(vw.EPOCH))
     return index.select("url", "content_hash", "title")
 
 
@@ -837,7 +886,7 @@ def index_rebuild(spark, folder):
       UNION ALL SELECT count(*), 'table' FROM content"""
 )
 def index_stats(spark, folder):
-    rows, index = vw.content(spark, folder, wide=False), ix.upsert(None, _index(spark, folder))
+    rows, index = vw.content(spark, folder), ix.upsert(None, _index(spark, folder))
     full = stats.index_stats(index, rows).withColumn("source", F.lit("index"))
     empty = stats.index_stats(index.where(C("url") == ""), rows)
     return full.unionByName(empty.withColumn("source", F.lit("table")))
@@ -1063,13 +1112,17 @@ def domain_delay(spark, folder):
 
 @query(
     _with(_FRONTIER)
-    + f"""SELECT url, priority, domain, row_number() OVER w AS position,
-      (row_number() OVER w - 1) * 1.0::double AS fetch_offset
+    + f"""SELECT url, priority, domain, row_number() OVER w AS position, (row_number() OVER w - 1)
+        * CASE WHEN domain LIKE 'm.%' THEN length(domain) / 2.0::double ELSE 1.0::double END AS fetch_offset
       FROM (SELECT *, lower(regexp_extract(url, '{ux.NETLOC}', 1)) AS domain FROM frontier)
       WINDOW w AS (PARTITION BY domain ORDER BY priority DESC, url DESC)"""
 )
 def polite_schedule(spark, folder):
-    return frontier.polite_schedule(_frontier(spark, folder))
+    """With a table of delays for some hosts."""
+    domain = ux.url_domain(C("url"))
+    hosts = tb.read_table(spark, folder, "pages", ["url"]).select(domain.alias("domain"))
+    delays = hosts.where(C("domain").startswith("m.")).withColumn("delay", F.length("domain") / 2)
+    return frontier.polite_schedule(_frontier(spark, folder), delays=delays)
 
 
 @query(
@@ -1093,7 +1146,7 @@ def robots_rules(spark, folder):
 
 
 def _recent(spark, folder):
-    return ct.recent_content(vw.content(spark, folder, wide=False), config.DEFAULTS.max_feed_items)
+    return ct.recent_content(vw.content(spark, folder), config.DEFAULTS.max_feed_items)
 
 
 _RECENT = """recent AS (SELECT * FROM content ORDER BY extracted_at DESC, url LIMIT 50)"""
@@ -1260,7 +1313,7 @@ def stream_ingest(spark, folder):
 
 @query(_with(vw.CONTENT_SQL) + "SELECT DISTINCT content_hash FROM content")
 def stream_dedup(spark, folder):
-    kept = st.deduplicated(_content_stream(spark, folder), "extracted_at", "30 days")
+    kept = st.deduplicated(_content_stream(spark, folder), "extracted_at", "36500 days")
     path = new_path(spark, "dedup")
     st.write_files(kept, path, new_path(spark, "state")).awaitTermination()
     return spark.read.parquet(path).select("content_hash")
@@ -1273,17 +1326,15 @@ def stream_dedup(spark, folder):
       FROM days, range(7) AS r(k)),
     counts AS (SELECT window_start, topic, cast(sum(n) AS bigint) AS count FROM starts
       JOIN days ON day >= window_start AND day < window_start + interval 7 days GROUP BY ALL)
-    SELECT window_start, topic, count FROM counts
-    WHERE window_start + interval 7 days <= (SELECT max(ts) FROM events)"""
+    SELECT window_start, topic, count FROM counts"""
 )
 def stream_trending(spark, folder):
-    """Sliding weeks of event kinds that the watermark has closed."""
+    """Sliding weeks of event kinds, the running ones included."""
     events = st.read_stream(spark, folder, "events", "ts timestamp_ntz, event_type string").select(
         C("ts").cast("timestamp").alias("ts"), F.array("event_type").alias("tags")
     )
     path = new_path(spark, "trending")
-    counts = st.trending(events, "ts", "0 seconds")
-    st.write_files(counts, path, new_path(spark, "state")).awaitTermination()
-    return spark.read.parquet(path).select(
+    st.write_changes(st.trending(events, "ts"), path, new_path(spark, "state")).awaitTermination()
+    return st.read_changes(spark, path, ["window_start", "topic"]).select(
         vw.ntz(C("window_start")).alias("window_start"), "topic", "count"
     )

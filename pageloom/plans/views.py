@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.sources.tables import fetched, read_table, spread
+from pageloom.sources.tables import fetched, read_table
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -26,14 +26,12 @@ def _shift(**parts: Column) -> Column:
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return spread(read_table(spark, folder, "documents", list(columns) or ["doc_id", "text"]))
+    return read_table(spark, folder, "documents", list(columns) or ["doc_id", "text"])
 
 
-def content(spark: SparkSession, folder: str, wide: bool = True) -> DataFrame:
-    """Documents as content records; ``wide`` for work that is costly for each row."""
+def content(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as content records."""
     docs = read_table(spark, folder, "documents", ["doc_id", "text", "lang", "source"])
-    if wide:
-        docs = spread(docs)
     text = F.col("text")
     return docs.select(
         "doc_id",
@@ -61,7 +59,7 @@ CONTENT_SQL = """content AS (
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(fetched(read_table(spark, folder, "pages", ["page_id", "url", "html"])))
+    return fetched(read_table(spark, folder, "pages", ["page_id", "url", "html"]))
 
 
 def urls(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,12 +150,10 @@ ROBOTS_SQL = r"""robots AS (
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as products: ``p_partkey, product_name, spellcheck``."""
-    return spread(
-        read_table(spark, folder, "part", ["p_partkey", "p_name", "p_type"]).select(
-            "p_partkey",
-            F.col("p_name").alias("product_name"),
-            F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")).alias("spellcheck"),
-        )
+    return read_table(spark, folder, "part", ["p_partkey", "p_name", "p_type"]).select(
+        "p_partkey",
+        F.col("p_name").alias("product_name"),
+        F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")).alias("spellcheck"),
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,17 +19,14 @@ SESSION_CONF = {
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where driver and
-    executors are one process, may fall back to a temporary folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``; a session may also have set it itself.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = context.getCheckpointDir()
     if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="pageloom-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -43,6 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again.
+
+    Like ``cut`` the plan restarts from files that outlive executors, but later reads take only
+    the columns they use, and can filter while they read.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 BROADCAST_CHARS = 10_000_000
 
 

@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pageloom.session import broadcast_if_small, cut
+from pageloom.session import broadcast_if_small, cut, stored
+from pageloom.sources.tables import CONTENT_SCHEMA, as_content
 
 ORDER = ("extracted_at", "url")
+STORED_SCHEMA = T.StructType([*CONTENT_SCHEMA.fields, T.StructField("batch", T.StringType())])
 
 
 def accepted(
@@ -23,16 +26,17 @@ def accepted(
     first for both their hash and their url, then drops all rows these block, so the rounds
     follow the longest chain of such conflicts (one for most data). Only keys take part; the
     first rows are found by partial aggregates, so many copies of one text are no hot spot.
-    The full rows are fetched by one join at the end.
+    The full rows are fetched by one join at the end. The batch is written once before anything
+    is decided, so clocks and other changing columns are read once, and pages are parsed once.
     """
+    batch = stored(batch, "batch")
     keys = ["url", "content_hash", *[c for c in order if c not in ("url", "content_hash")]]
     place = F.struct(*order, F.coalesce("content_hash", F.lit("")))
     rows = batch.select(*keys)
     if existing is not None:
-        rows = cut(rows)
-        asked = {c: _stored(existing, rows, c) for c in ("content_hash", "url")}
-        for column, stored in asked.items():
-            rows = rows.join(stored, column, "left_anti")
+        asked = {c: _shared(existing, rows, c) for c in ("content_hash", "url")}
+        for column, taken in asked.items():
+            rows = rows.join(taken, column, "left_anti")
     # Of rows equal in url and hash only the first can be accepted.
     pending = cut(
         rows.select("url", "content_hash", place.alias("place"))
@@ -77,7 +81,7 @@ def accepted(
     return full.drop("_place").dropDuplicates(keys)
 
 
-def _stored(existing: DataFrame, batch: DataFrame, column: str) -> DataFrame:
+def _shared(existing: DataFrame, batch: DataFrame, column: str) -> DataFrame:
     """Values of ``column`` that the table and the batch share.
 
     If the batch's values are few, by measure, they go to the table, which is then read where it
@@ -92,26 +96,27 @@ def save_content(
 ) -> DataFrame:
     """Append the accepted rows of ``batch`` to the table at ``path``; returns what was written.
 
-    ``part`` names the folder of this batch, so a repeated batch replaces its first attempt.
+    Rows are brought into the shape of the content table first. ``part`` names the folder of this
+    batch, so a repeated batch replaces its first attempt.
     """
     name = part or "batch=" + spark.sql("select uuid()").first()[0]
-    stored = read_content(spark, path)
-    if stored is not None and part is not None:
-        stored = stored.where(F.col("batch") != part.split("=", 1)[1])
+    table = read_content(spark, path)
+    if table is not None and part is not None:
+        table = table.where(F.col("batch") != part.split("=", 1)[1])
     target = f"{path.rstrip('/')}/{name}"
-    accepted(batch, stored, order).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    accepted(as_content(batch), table, order).write.mode("overwrite").parquet(target)
+    return spark.read.schema(CONTENT_SCHEMA).parquet(target)
 
 
 def read_content(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored table with its ``batch`` column, or None before the first save."""
     try:
-        table = spark.read.option("basePath", path).parquet(path)
+        table = spark.read.schema(STORED_SCHEMA).option("basePath", path).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return table.withColumn("batch", F.col("batch").cast("string"))
+    return table
 
 
 def delete_content(table: DataFrame, deletes: DataFrame) -> DataFrame:

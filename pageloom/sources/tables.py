@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from pageloom import config
 from pageloom.functions.urls import robots_txt_url
 
-SPREAD_SPLITS = 256  # a split is at most spark.sql.files.maxPartitionBytes, 128 MB by default
-
 PAGE_SCHEMA = T.StructType(
     [
         T.StructField("url", T.StringType(), False),
@@ -56,18 +54,6 @@ def read_table(
     return table.select(*columns) if columns else table
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work enough tasks.
-
-    A file with a single row group is one task however many splits and cores there are. Only a
-    scan with fewer splits than cores, and no more than SPREAD_SPLITS, is redistributed; the rows
-    of a large table, with its many row groups, stay where they are read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores and splits <= SPREAD_SPLITS else df
-
-
 def fetched(pages: DataFrame) -> DataFrame:
     """Pages that arrived as HTML; tables without response columns hold only such pages."""
     rule: Column = F.col("html").isNotNull()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,7 +36,11 @@ def ingest(content: DataFrame, table: str, state: str, available_now: bool = Tru
 
 def deduplicated(content: DataFrame, time: str, delay: str, key: str = "content_hash") -> DataFrame:
     """First record of each key; the state of a key is kept for ``delay``. Records without a key
-    are told apart by their url."""
+    are told apart by their url.
+
+    Records older than the newest one by more than ``delay`` are not taken any more, as their key
+    may be forgotten; ``late_rows`` counts them. So ``delay`` has to cover the spread of a backfill.
+    """
     own = F.when(F.col(key).isNull(), F.col("url"))
     return (
         content.withColumn("_own", own)
@@ -45,12 +51,20 @@ def deduplicated(content: DataFrame, time: str, delay: str, key: str = "content_
 
 
 def trending(
-    documents: DataFrame, time: str, delay: str, length: str = "7 days", slide: str = "1 day"
+    documents: DataFrame,
+    time: str,
+    delay: str | None = None,
+    length: str = "7 days",
+    slide: str = "1 day",
 ) -> DataFrame:
-    """Documents of each topic in sliding windows: ``window_start, window_end, topic, count``."""
+    """Documents of each topic in sliding windows: ``window_start, window_end, topic, count``.
+
+    Without ``delay`` every document counts, however late; there is one state row for each window
+    and topic. With it, windows that ended that long before the newest document are closed.
+    """
+    rows = documents if delay is None else documents.withWatermark(time, delay)
     return (
-        documents.withWatermark(time, delay)
-        .select(time, F.explode(F.array_distinct("tags")).alias("topic"))
+        rows.select(time, F.explode(F.array_distinct("tags")).alias("topic"))
         .groupBy(F.window(time, length, slide).alias("w"), "topic")
         .agg(F.count(F.lit(1)).alias("count"))
         .select(
@@ -62,6 +76,34 @@ def trending(
     )
 
 
+def write_changes(
+    stream: DataFrame, path: str, state: str, available_now: bool = True
+) -> StreamingQuery:
+    """Write the rows that each batch changed, in a folder of its own; a batch that is repeated
+    after a failure replaces its first attempt. ``read_changes`` gives the present state."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", state)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_changes(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
+    """The last row of each key among what ``write_changes`` wrote."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rest = F.struct(*[c for c in rows.columns if c not in key and c != "batch"])
+    return rows.groupBy(*key).agg(F.max_by(rest, "batch").alias("_last")).select(*key, "_last.*")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came too late for the state of a stream and were left out, so far as its progress
+    reports reach back."""
+    return sum(
+        s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]
+    )
+
+
 def write_files(
     stream: DataFrame, path: str, state: str, available_now: bool = True
 ) -> StreamingQuery:

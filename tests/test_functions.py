@@ -92,7 +92,8 @@ def test_domains(spark):
 
 def test_domain_info(spark):
     urls = spark.createDataFrame(
-        [("http://www.news.a.co.uk:80/x",), ("http://a.com",), ("http://com",), ("http://x.zz/",)],
+        [("http://www.news.a.co.uk:80/x",), ("http://a.com",), ("http://com",), ("http://x.zz/",),
+         ("http://localhost:8080/",), ("http://u@1.2.3.4:5/",)],
         "url string",
     )
     suffixes = spark.createDataFrame([("com",), ("uk",), ("co.uk",)], "suffix string")
@@ -101,7 +102,9 @@ def test_domain_info(spark):
         "http://www.news.a.co.uk:80/x": ("a", "www.news", "co.uk", "a.co.uk"),
         "http://a.com": ("a", "", "com", "a.com"),
         "http://com": ("", "", "com", ""),
-        "http://x.zz/": ("x.zz", "", "", "x.zz"),
+        "http://x.zz/": ("zz", "x", "", ""),
+        "http://localhost:8080/": ("localhost", "", "", ""),
+        "http://u@1.2.3.4:5/": ("1.2.3.4", "", "", ""),
     }
 
 
@@ -113,6 +116,24 @@ def test_resolve_url(spark):
     assert one(spark, "http://[x", lambda h: ux.resolve_url(F.lit(base), h)) is None
 
 
+def test_more_date_spellings(spark):
+    golden = {
+        "2024-1-5": "2024-01-05 00:00", "2024-01-05T10:00:00+0200": "2024-01-05 08:00",
+        "2024-01-05 10:00:00 UTC": "2024-01-05 10:00", "5 January 2024 10:30": "2024-01-05 10:30",
+        "January 5, 2024 3:30 PM": "2024-01-05 15:30", "Sept 5, 2024": "2024-09-05 00:00",
+        "05.01.2024": "2024-01-05 00:00", "5th of May": None,
+    }
+    shown = lambda t: F.date_format(tx.parse_date(t), "yyyy-MM-dd HH:mm")
+    assert many(spark, golden, shown) == list(golden.values())
+
+
+def test_highlights_in_any_script(spark):
+    pattern = tx.hit_pattern(F.array(F.lit("über"), F.lit("été")))
+    text = "Über ÜBER über uber Été"
+    got = one(spark, text, lambda t: tx.highlight(t, pattern, 100, 1))
+    assert got == ["<em>Über</em> <em>ÜBER</em> <em>über</em> uber <em>Été</em>"]
+
+
 def test_clean_text(spark):
     golden = {
         " a \t\n b ": "a b",

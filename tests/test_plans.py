@@ -35,21 +35,15 @@ def test_recent_is_top_k(spark, small):
 
 
 def test_scan_reads_only_what_is_used(spark, small):
-    text = plan(vw.content(spark, small, wide=False).select("author").where("author = 'src1'"))
+    text = plan(vw.content(spark, small).select("author").where("author = 'src1'"))
     assert "ReadSchema: struct<source:string>" in text
     assert "EqualTo(source,src1)" in text
 
 
 def test_dedup_limits_before_shuffle(spark, small):
-    text = plan(dedup.exact_dedup(vw.content(spark, small, wide=False)))
+    text = plan(dedup.exact_dedup(vw.content(spark, small)))
     assert text.count("WindowGroupLimit") >= 2
 
 
-def test_large_scans_are_not_redistributed(spark, small):
-    many = spark.range(0, 1000, 1, 64)
-    assert tables.spread(many) is many
-    assert tables.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() > 1
-
-
 def test_entry(spark):
     assert entry.entry(spark).agg(F.count("*")).first()[0] > 0

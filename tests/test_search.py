@@ -109,6 +109,20 @@ def test_postings_on_disk(spark, docs):
     table = ix.postings(docs)
     ix.write_postings(table, path, buckets=4)
     again = spark.read.parquet(path).select(*table.columns)
+    wide = new_path(spark, "postings")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    usual = spark.conf.get(size)
+    spark.conf.set(size, "300")
+    ix.write_postings(ix.postings(docs.repartition(4), key="url"), wide, buckets=1)
+    spark.conf.set(size, usual)
+    read = spark.read.parquet(wide)
+    assert len({r[0] for r in read.select(F.input_file_name()).distinct().collect()}) > 1
+    some = ix.read_postings(spark, path, ["fox", "absent"], buckets=4)
+    assert {r["term"] for r in some.collect()} == {"fox"}
+    assert "PartitionFilters: [bucket" in some._jdf.queryExecution().toString()
+    marked = ix.stored_field_stats(ix.postings(docs, mark=True))
+    want = {r["field"]: (r["n_docs"], r["avg_dl"]) for r in ix.field_stats(docs).collect() if r["n_docs"]}
+    assert {r["field"]: (r["n_docs"], r["avg_dl"]) for r in marked.collect()} == want
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, table.collect()))
     fox = table.where("term = 'fox' and field = 'content' and content_hash = 'h1'").first()
     assert (fox["tf"], fox["dl"]) == (2, 6)
@@ -144,9 +158,20 @@ def test_upsert_and_bulk(spark):
     after = {"h1": "b", "h2": "d", "h3": "e"}
     assert urls(ix.upsert(start, change)) == after
     path = new_path(spark, "index")
-    ix.write_index(start, path, buckets=4)
-    assert ix.bulk_index(spark, path, change, buckets=4) == 2
-    assert urls(spark.read.parquet(path)) == after
+    ix.bulk_index(spark, path, start)
+    ix.bulk_index(spark, path, change)
+    assert urls(ix.read_index(spark, path)) == after
+    ix.bulk_delete(spark, path, spark.createDataFrame([("h2",), ("no",), (None,)], "content_hash string"))
+    assert urls(ix.read_index(spark, path)) == {"h1": "b", "h3": "e"}
+    ix.bulk_index(spark, path, rows(("f", "h2", 0), ("x", None, 1), ("y", None, 1)))
+    ix.bulk_index(spark, path, rows(("x", None, 2)))
+    found = ix.read_index(spark, path)
+    assert sorted(r["url"] for r in found.collect()) == ["b", "e", "f", "x", "y"]
+    other = new_path(spark, "index")
+    ix.compact(spark, path, other)
+    assert sorted(map(tuple, ix.read_index(spark, other).collect())) == sorted(map(tuple, found.collect()))
+    nulls = ix.upsert(rows(("x", None, 1), ("z", None, 1)), rows(("x", None, 2), ("y", None, 2)))
+    assert sorted(r["url"] for r in nulls.collect()) == ["x", "y", "z"]
     left = ix.delete(start, spark.createDataFrame([("h1",), ("no",)], "content_hash string"))
     assert urls(left) == {"h2": "c"}
 

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from pageloom.operators import dedup
+from pageloom.operators import dedup, extract
 from pageloom.session import new_path
 from pageloom.sources import store, tables
 
@@ -68,6 +68,25 @@ def test_save_twice(spark):
     assert rows(store.read_content(spark, path)) == sorted(first + second[2:], key=repr)
 
 
+def test_the_default_clock_saves_every_page(spark, small):
+    """The example of the README."""
+    path, pages = new_path(spark, "readme"), tables.read_table(spark, small, "pages")
+    records = extract.useful(extract.content_records(extract.page_nodes(pages)))
+    saved = store.save_content(spark, path, records)
+    distinct = records.select("content_hash").distinct().count()
+    assert saved.count() == store.read_content(spark, path).count() == distinct > 0
+
+
+def test_batches_with_different_columns(spark):
+    path = new_path(spark, "t")
+    store.save_content(spark, path, spark.createDataFrame([("u1", "h1", at(1))], SCHEMA))
+    titled = spark.createDataFrame([("u2", "h2", at(2), "T", 5)], f"{SCHEMA}, title string, other int")
+    store.save_content(spark, path, titled)
+    found = store.read_content(spark, path)
+    assert found.columns == [f.name for f in tables.CONTENT_SCHEMA] + ["batch"]
+    assert sorted((r.url, r.title) for r in found.collect()) == [("u1", None), ("u2", "T")]
+
+
 def test_delete_and_schema(spark):
     table = spark.createDataFrame([("u1", "h1", at(1)), ("u2", "h2", at(2))], SCHEMA)
     deletes = spark.createDataFrame([("h1",), ("zz",)], "content_hash string")

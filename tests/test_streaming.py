@@ -52,9 +52,20 @@ def test_deduplicated(spark):
     assert sorted(map(str, hashes)) == ["None", "None", "h1", "h2", "h3"]
 
 
-def test_trending(spark):
-    folder, path = files(spark, *BATCHES), new_path(spark, "w")
-    counts = st.trending(stream(spark, folder), "extracted_at", "0 seconds", "1 day", "1 day")
-    st.write_files(counts, path, new_path(spark, "s")).awaitTermination()
-    got = {r["topic"]: r["count"] for r in spark.read.parquet(path).where(F.col("window_start") == at(0)).collect()}
-    assert got == {"a": 3, "b": 2}
+def test_trending_counts_running_windows_and_late_files(spark):
+    folder, path = files(spark, *reversed(BATCHES)), new_path(spark, "w")
+    counts = st.trending(stream(spark, folder), "extracted_at", None, "1 day", "1 day")
+    st.write_changes(counts, path, new_path(spark, "s")).awaitTermination()
+    found = st.read_changes(spark, path, ["window_start", "topic"]).collect()
+    assert {(r["window_start"], r["topic"]): r["count"] for r in found} == {
+        (at(0), "a"): 3, (at(0), "b"): 2, (at(48), "a"): 1,
+    }
+
+
+def test_late_rows_are_counted(spark):
+    folder, path = files(spark, BATCHES[2], BATCHES[0], BATCHES[1]), new_path(spark, "d")
+    kept = st.deduplicated(stream(spark, folder), "extracted_at", "1 hour")
+    query = st.write_files(kept, path, new_path(spark, "s"))
+    query.awaitTermination()
+    # One more row repeats a key.
+    assert st.late_rows(query) == 2 and spark.read.parquet(path).count() == 3
