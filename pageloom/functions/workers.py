@@ -24,6 +24,9 @@ VOID_TAGS = frozenset(
 # Text in these is no part of the text of the elements around them.
 APART_TAGS = frozenset("script style template rt rp".split())
 
+# Nodes take many times the memory of their page, so few pages are held as nodes at a time.
+SLICE_BYTES = 4_000_000
+
 ARROW_NODE = pa.struct(
     [
         ("pos", pa.int32()),
@@ -136,8 +139,20 @@ def node_batches(
     kept, tags = list(keep), frozenset(removed_tags)
     pattern = re.compile("|".join(removed_classes), re.I) if removed_classes else None
 
+    def slices(batch):
+        """Runs of pages of about ``SLICE_BYTES`` of text, and one page at least."""
+        start, size = 0, 0
+        for place, html in enumerate(batch.column("html")):
+            length = len(html.as_py() or "")
+            if place > start and size + length > SLICE_BYTES:
+                yield batch.slice(start, place - start)
+                start, size = place, 0
+            size += length
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
     def read(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             pages = zip(batch.column("_url").to_pylist(), batch.column("html").to_pylist())
             nodes = [NodeReader(url, tags, pattern).read(html or "") for url, html in pages]
             columns = [batch.column(c) for c in kept]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pageloom.functions.text import word_set, word_set_similarity
-from pageloom.session import cut
+from pageloom.session import cut, stored
 
 # Tokens ordered by their exact frequency: at most this many, so the table sent to every executor
 # stays under about 20 MB whatever the data (an 8-byte hash and an 8-byte count each).
@@ -119,7 +119,7 @@ def near_duplicates(
     words = docs.select(F.col(key).alias("id"), F.explode(filled).alias("words"))
     keyed = words.withColumn("set_key", F.md5(F.array_join("words", " ")))
     first = W.partitionBy("set_key").orderBy("id")
-    sets = cut(
+    sets = stored(
         keyed.withColumn("_n", F.row_number().over(first))
         .where(F.col("_n") == 1)
         .select(
@@ -129,7 +129,8 @@ def near_duplicates(
             F.size("words").alias("size"),
             F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
         )
-        .withColumn("signature", _signature(F.col("hashes")))
+        .withColumn("signature", _signature(F.col("hashes"))),
+        "sets",
     )
     best = _first_partners(sets, threshold)
     resolved = sets.select("set_key", F.col("id").alias("first_id")).join(
@@ -151,7 +152,7 @@ def near_duplicates(
 
 def _first_partners(sets: DataFrame, threshold: float) -> DataFrame:
     """``(id, partner, similarity)``: the smallest similar id before each set that has one."""
-    entries = cut(_prefix_entries(sets, threshold))
+    entries = stored(_prefix_entries(sets, threshold), "entries")
     kind = sets.schema["id"].dataType
     # Groups still to be searched, with the last member already compared with.
     groups = (
@@ -219,11 +220,12 @@ def _first_partners(sets: DataFrame, threshold: float) -> DataFrame:
                 F.first("step").alias("step"),
             )
             .where(F.col("n") == F.col("step"))  # else the group is exhausted
-            .select("token", "until", F.least(F.col("step") * 8, F.lit(1000)).alias("step"))
+            .select("token", "until", (F.col("step") * 8).alias("step"))
         )
         if groups.isEmpty():
             return best
-        window = 1000  # the rank limit before the shuffle works up to here
+        # Steps grow with each round, so their number is the logarithm of the largest group.
+        window = max(window, FIRST_STEP) * 8
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

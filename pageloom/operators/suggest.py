@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pageloom.functions import text as tx
 from pageloom.operators import index as ix
 from pageloom.operators import search as se
+from pageloom.session import cut, stored
 
 # Characters of a word used for finding candidates. The longer, the fewer words share a stem
 # without being alike; the number of stems grows with its square.
@@ -127,11 +128,11 @@ def corrected_search(
     from pageloom.sources.tables import vocabulary
 
     weights = {"product_name": 2.0, "spellcheck": 1.0} if boosts is None else boosts
-    corrected = corrected_queries(queries, vocabulary(products, spelling))
-    table = ix.postings(products, list(weights), key)
+    corrected = cut(corrected_queries(queries, vocabulary(products, spelling)))
+    table = stored(ix.postings(products, list(weights), key, mark=True), "postings")
     scores = se.score(
         table,
-        ix.field_stats(products, list(weights)),
+        ix.stored_field_stats(table),
         ix.term_stats(table),
         corrected.select("query_id", F.col("corrected_query").alias("query")),
         weights,

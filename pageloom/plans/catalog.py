@@ -1085,6 +1085,31 @@ def crawl_progress(spark, folder):
     return stats.crawl_progress(_crawl(spark, folder))
 
 
+_REAL_LINKS = f"""found AS (SELECT url AS src_url, regexp_extract(url, '^https?://[^/?#]*') AS root,
+      unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
+    resolved AS (SELECT src_url, concat(root, {_UNESCAPE.format('href')}) AS url FROM found),
+    links AS (SELECT DISTINCT src_url, {_normal_sql('url')} AS dst_url FROM resolved
+      WHERE {_VALID} AND NOT regexp_matches({_PATH}, '\\.({_EXTENSIONS})$'))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_REAL_LINKS},
+    seeds AS (SELECT DISTINCT url FROM pages WHERE page_id % 10 = 0),
+    stored AS (SELECT DISTINCT url FROM pages),
+    walk AS (SELECT url, 0 AS round FROM seeds UNION
+      SELECT s.url, w.round + 1 FROM walk w JOIN links l ON l.src_url = w.url
+      JOIN stored s ON s.url = l.dst_url WHERE w.round < 20)
+    SELECT url, cast(min(round) AS int) AS round, CASE WHEN min(round) = 0 THEN 10 ELSE 1 END AS priority
+    FROM walk GROUP BY url"""
+)
+def crawl_pages(spark, folder):
+    """From every tenth page over the links that stand in the pages themselves."""
+    pages = vw.pages(spark, folder)
+    seeds = tb.seed_urls(pages.where(C("page_id") % 10 == 0))
+    links = extract.links(extract.page_nodes(pages), from_cleaned=False, patterns=None)
+    return frontier.crawl(seeds, pages.select("url"), links)
+
+
 _DELAY = (
     "CASE {0} "
     + " ".join(f"WHEN '{d}' THEN {s}::double" for d, s in config.DOMAIN_DELAYS.items())
