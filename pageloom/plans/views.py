@@ -25,13 +25,26 @@ def _shift(**parts: Column) -> Column:
     return ntz(moment(EPOCH) + F.make_interval(**parts))
 
 
+SCAN_PARTITIONS = "pageloom.scan.partitions"
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """``table``, dealt to as many partitions as the session asks for by ``SCAN_PARTITIONS``.
+
+    Unset, as by default, rows are worked on where they are read. Whoever keeps a table in a file of
+    a single row group, which one task has to read, can set it to use all cores.
+    """
+    asked = table.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return table.repartition(int(asked)) if asked else table
+
+
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return read_table(spark, folder, "documents", list(columns) or ["doc_id", "text"])
+    return dealt(read_table(spark, folder, "documents", list(columns) or ["doc_id", "text"]))
 
 
 def content(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as content records."""
-    docs = read_table(spark, folder, "documents", ["doc_id", "text", "lang", "source"])
+    docs = dealt(read_table(spark, folder, "documents", ["doc_id", "text", "lang", "source"]))
     text = F.col("text")
     return docs.select(
         "doc_id",
@@ -59,7 +72,7 @@ CONTENT_SQL = """content AS (
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return fetched(read_table(spark, folder, "pages", ["page_id", "url", "html"]))
+    return dealt(fetched(read_table(spark, folder, "pages", ["page_id", "url", "html"])))
 
 
 def urls(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +163,7 @@ ROBOTS_SQL = r"""robots AS (
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as products: ``p_partkey, product_name, spellcheck``."""
-    return read_table(spark, folder, "part", ["p_partkey", "p_name", "p_type"]).select(
+    return dealt(read_table(spark, folder, "part", ["p_partkey", "p_name", "p_type"])).select(
         "p_partkey",
         F.col("p_name").alias("product_name"),
         F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")).alias("spellcheck"),
