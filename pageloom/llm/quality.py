@@ -245,4 +245,4 @@ def keep_good(docs: DataFrame, text: str = "text", keep_at: float = 0.5) -> Data
     only_text = docs.select(F.col(text).alias("text"))
     model = estimate(with_counts(only_text, "text", p), p)
     counted = with_counts(docs, text, p)
-    return counted.filter(_judged(counted, p, model, keep_at)["kept"]).select(*docs.columns)
+    return counted.filter(_judged(counted, p, model, keep_at)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

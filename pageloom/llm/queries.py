@@ -104,6 +104,23 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(_table(spark, folder, "documents"))
 
 
+SQL["op9_embedding_duplicates"] = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, cast(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND NOT list_contains(list_transform(embedding,
+        lambda x: coalesce(isfinite(x), false)), false)
+      AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+    AND list_cosine_similarity(a.v, b.v) >= 0.95::DOUBLE),
+  walk(vec_id, reached) AS (SELECT vec_id, vec_id FROM embeddings
+    UNION SELECT w.vec_id, l.b FROM walk w JOIN links l ON l.a = w.reached),
+  least AS (SELECT vec_id, min(reached) AS component_id FROM walk GROUP BY vec_id),
+  counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+
 @query
 def op9_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return cover_tree.duplicates(_table(spark, folder, "embeddings"), least=0.95)

@@ -268,4 +268,4 @@ def keep_one(
     )
     one = marked.withColumn(f"{p}rank", rank).filter(F.col(f"{p}rank") == 1)
     same = one[key].eqNullSafe(several[f"{p}key"]) & (one[f"{p}fp"] == several[f"{p}mark"])
-    return kept.unionByName(one.join(several, same, "left_semi").select(*docs.columns))
+    return kept.unionByName(one.join(several, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]))
