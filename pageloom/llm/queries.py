@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import bpe, cover_tree, html_text, licenses, packing, pii, quality, secrets, simhash, url_trust
+from pageloom.llm.common import LOWER, UPPER
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -54,9 +55,61 @@ URL_RULES = (
 )
 
 
+def _url_trust_sql() -> str:
+    letters = f"'{UPPER}', '{LOWER}'"
+
+    def host(url: str) -> str:
+        return f"translate(regexp_extract({url}, '://([^/?#]*)', 1), {letters})"
+
+    def fits(rule: str) -> str:
+        domain, slash, rest = rule.partition("/")
+        return f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{slash}{rest}')"
+
+    longest = sorted(URL_RULES, key=lambda r: -len(r[0]))
+    rule, action = (
+        "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[k]}'" for r in longest) + " END" for k in (0, 1)
+    )
+
+    def ranks(name: str, mass: str, start: str, end: str) -> str:
+        return f"""{name}_shares AS (
+      SELECT {start} AS a, {end} AS b, n / sum(n) OVER (PARTITION BY {start}) AS share FROM edges),
+  {name}_seeds AS (SELECT host, {mass} AS mass FROM seeds WHERE {mass} > 0),
+  {name}_ranks AS (SELECT 0 AS round, host, mass AS rank FROM {name}_seeds UNION ALL (
+    WITH moved AS (SELECT b AS host, sum({url_trust.DAMPING}::DOUBLE * share * rank) AS got
+        FROM {name}_ranks JOIN {name}_shares ON a = host WHERE round < {url_trust.ROUNDS} GROUP BY b),
+      back AS (SELECT (m.mass - coalesce(g.got, 0)) / m.mass AS back, r.round
+        FROM (SELECT sum(mass) AS mass FROM {name}_seeds) m, (SELECT sum(got) AS got FROM moved) g,
+          (SELECT max(round) AS round FROM {name}_ranks) r WHERE r.round < {url_trust.ROUNDS})
+    SELECT back.round + 1, coalesce(m.host, s.host), coalesce(got, 0) + back * coalesce(mass, 0)
+    FROM back, moved m FULL JOIN {name}_seeds s ON m.host = s.host)),
+  {name} AS (SELECT host, rank FROM {name}_ranks WHERE round = {url_trust.ROUNDS})"""
+
+    reference = url_trust.REFERENCE.replace("'", "''")
+    share = f"round(coalesce(b.rank, 0) / (coalesce(g.rank, 0) + coalesce(b.rank, 0) + {url_trust.DOUBT}), 9)"
+    return f"""
+WITH RECURSIVE named AS (SELECT page_id, coalesce({host("url")}, '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+  judged AS (SELECT *, {rule} AS rule, {action} AS action FROM named),
+  seeds AS (SELECT host, sum((action = 'allow')::INT)::DOUBLE AS good, sum((action = 'block')::INT)::DOUBLE AS bad
+    FROM judged WHERE host <> '' AND action IS NOT NULL GROUP BY host),
+  links AS (SELECT url, unnest(regexp_extract_all(html, '{reference}', 1)) AS link FROM pages),
+  edges AS (SELECT src, dst, count(*)::DOUBLE AS n FROM (SELECT {host("url")} AS src,
+      {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM links)
+    WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+  {ranks("trust", "good", "src", "dst")},
+  {ranks("distrust", "bad", "dst", "src")}
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN {share} >= {url_trust.THRESHOLD} THEN 'block'
+    ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN trust g USING (host) LEFT JOIN distrust b USING (host)
+"""
+
+
+SQL["op1_url_trust"] = _url_trust_sql()
+
+
 @query
 def op1_url_trust(spark: SparkSession, folder: str) -> DataFrame:
-    return url_trust.judge(_table(spark, folder, "pages"), URL_RULES)
+    return url_trust.judge(_table(spark, folder, "pages"), URL_RULES).drop("distrust")
 
 
 @query

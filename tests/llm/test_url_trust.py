@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 
 from pageloom.llm import url_trust as u
+from pageloom.llm.queries import QUERIES, SQL
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
          ("com/de/", "block")]
@@ -96,6 +98,24 @@ def test_trust_and_distrust_reach_other_hosts(shared):
     assert verdicts["h0.net"] == "block" and "allow" in verdicts.values()
 
 
+def test_sql_of_the_query_agrees_on_linked_pages(shared, tmp_path):
+    rng = random.Random(9)
+    hosts = [f"h{k}.net" for k in range(8)] + ["a.org", "www.example.org", "b.com", "c.com"]
+    rows = [(None, "x", "y"), ("", None, "y")]
+    for n in range(80):
+        host = rng.choice(hosts)
+        links = "".join(f"<a  href = '//{rng.choice(hosts)}/'>" for _ in range(rng.randint(0, 3)))
+        rows.append((f"http://{host}/{rng.choice(['de', 'fr', 'en', 'es'])}/{n}", links, "y"))
+    pages = shared.createDataFrame([(k, *r) for k, r in enumerate(rows)], PAGES)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({SQL['op1_url_trust']})").fetchall()
+    got = QUERIES["op1_url_trust"](shared, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, found))
+    assert {v for *_, rule, v in found if rule is None} == {"allow", "block"}
+
+
 def test_repeated_rows_and_empty_table(shared):
     rows = [("http://a.com/de/", "x"), ("http://a.com/de/", "x"), ("http://a.com/en/", None), (None, None)]
     got = sorted((r.page_id, r.verdict) for r in u.judge(table(shared, rows), RULES).collect())
