@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.chars import INLINE_SPACE_CHARS, strip
+from pageloom.functions.urls import url_domain
 
 _GAP = f"[{INLINE_SPACE_CHARS}]*"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
@@ -65,6 +66,20 @@ def parse_robots(
     )
 
 
+def rules_of_urls(
+    urls: DataFrame, robots: DataFrame, url: str = "url", user_agent: str = "*", **options
+) -> DataFrame:
+    """``urls`` with the rules of their host from ``robots (host, body)``; null where there is no file.
+
+    Files are parsed once for each host; of several for one the longest counts. The join's other
+    side has each host once, so a host with very many urls can be dealt out.
+    """
+    one = robots.groupBy("host").agg(F.max_by("body", F.struct(F.length("body"), "body")).alias("body"))
+    parsed = parse_robots(one, user_agent, **options).drop("body").withColumnRenamed("host", "_host")
+    found = urls.withColumn("_netloc", url_domain(F.col(url)))
+    return found.join(parsed, F.col("_netloc") == F.col("_host"), "left").drop("_netloc", "_host")
+
+
 def robots_rules(robots: DataFrame, key: str = "host", user_agent: str = "*", **options) -> DataFrame:
     """Long form: ``(key, kind, position, value)``."""
     parsed = parse_robots(robots, user_agent, **options)

@@ -636,6 +636,53 @@ def page_title(spark, folder):
     return visible.select("page_id", extract.page_title().alias("title"))
 
 
+@query(
+    """SELECT page_id, concat('About ', page_id) AS description,
+      CASE WHEN page_id % 3 > 0 THEN concat('Writer ', page_id % 7) END AS author,
+      CASE page_id % 4 WHEN 3 THEN NULL ELSE timestamp '2024-01-01' + to_days(cast(page_id % 28 AS int)) END
+        AS publish_date,
+      CASE WHEN page_id % 5 = 0 THEN '' ELSE concat('t', page_id % 5, ',u', page_id % 11) END AS tags
+    FROM pages WHERE html IS NOT NULL"""
+)
+def page_metadata(spark, folder):
+    """Author, date, tags and description, woven into the stored pages in several forms."""
+    page, day = C("page_id"), vw.ntz(vw.moment(vw.EPOCH) + F.make_interval(days=(C("page_id") % 28).cast("int")))
+    number = lambda n: (page % n).cast("string")
+    written = F.concat(F.lit("Writer "), number(7))
+    author = (
+        F.when(page % 3 == 1, F.concat(F.lit('<a rel="author" href="/w"> '), written, F.lit("</a>")))
+        .when(page % 3 == 2, F.concat(F.lit('<p class="byline x">'), written, F.lit("</p>")))
+        .otherwise("")
+    )
+    date = (
+        F.when(page % 4 == 0, F.concat(F.lit('<time datetime="'), F.date_format(day, "yyyy-MM-dd"), F.lit('">x</time>')))
+        .when(page % 4 == 1, F.concat(F.lit('<i class="date">'), F.date_format(day, "MMMM d, yyyy"), F.lit("</i>")))
+        .when(page % 4 == 2, F.concat(F.lit("<time>"), F.date_format(day, "dd.MM.yyyy"), F.lit("</time>")))
+        .otherwise("")
+    )
+    tags = F.when(page % 5 == 0, F.lit("")).otherwise(
+        F.concat(
+            F.lit('<div class="tags"><a>t'), number(5), F.lit("</a><a>u"), number(11), F.lit("</a></div><b class=tag>t"),
+            number(5), F.lit("</b>"),
+        )
+    )
+    about = F.concat(F.lit('<head><meta name="description" content=" About '), page.cast("string"), F.lit(' ">'))
+    woven = vw.pages(spark, folder).withColumn(
+        "html",
+        F.replace(
+            F.replace("html", F.lit("<head>"), about), F.lit("<article>"), F.concat(F.lit("<article>"), author, date, tags)
+        ),
+    )
+    visible = extract.visible_nodes(extract.page_nodes(woven, ("page_id",)), ("page_id",))
+    return visible.select(
+        "page_id",
+        extract.page_description().alias("description"),
+        extract.page_author().alias("author"),
+        vw.ntz(tx.parse_date(extract.page_date_text())).alias("publish_date"),
+        F.array_join(extract.page_tags(), ",").alias("tags"),
+    )
+
+
 _ARTICLE = (
     "regexp_extract(regexp_replace(html, '(?s)<footer.*?</footer>', '', 'g'),"
     " '(?s)<article>(.*?)(</article>|$)', 1)"
@@ -1150,6 +1197,21 @@ def polite_schedule(spark, folder):
     return frontier.polite_schedule(_frontier(spark, folder), delays=delays)
 
 
+@query(
+    f"""SELECT page_id, CASE WHEN host LIKE 'm.%' THEN concat('/', length(host), '/') END AS disallowed,
+      CASE WHEN host LIKE 'm.%' THEN length(host)::DOUBLE END AS crawl_delay
+    FROM (SELECT page_id, lower(regexp_extract(url, '{ux.NETLOC}', 1)) AS host FROM pages)"""
+)
+def robots_of_urls(spark, folder):
+    """Pages with the rules of their host, where the table of robots files has any."""
+    pages = tb.read_table(spark, folder, "pages", ["page_id", "url"])
+    hosts = pages.select(ux.url_domain(C("url")).alias("host")).where(C("host").startswith("m."))
+    size = F.length("host").cast("string")
+    body = F.concat(F.lit("User-agent: *\nDisallow: /"), size, F.lit("/\nCrawl-delay: "), size)
+    found = rb.rules_of_urls(pages, hosts.withColumn("body", body))
+    return found.select("page_id", F.array_join("disallowed", ",").alias("disallowed"), "crawl_delay")
+
+
 @query(
     _with(vw.ROBOTS_SQL)
     + r"""SELECT page_id, kind, cast(position AS int) AS position, value FROM (
