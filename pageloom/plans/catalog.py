@@ -155,7 +155,30 @@ def search_total(spark, folder):
     return se.scan_total(vw.content(spark, folder), DOC_QUERY, _filter())
 
 
-@query()
+_HIT = f"({'|'.join(DOC_QUERY.split())})"
+_HIGHLIGHTS = f"""hits AS (SELECT url, score, title, content FROM scored JOIN content USING (url)
+    ORDER BY score DESC, publish_date DESC NULLS LAST, url LIMIT 20),
+  fields AS (SELECT url, 'title' AS f, 100 AS size, 5 AS n, title AS t FROM hits
+    UNION ALL SELECT url, 'content', 150, 3, content FROM hits),
+  words AS (SELECT *, list_filter(string_split_regex(t, '{SPACES}'), lambda w: w <> '') AS ws FROM fields),
+  packed AS (SELECT *, list_reduce(list_transform(ws, lambda w: [w]), lambda a, x:
+      CASE WHEN length(a[-1]) + 1 + length(x[1]) <= size THEN list_append(a[:-2], a[-1] || ' ' || x[1])
+        ELSE list_append(a, x[1]) END) AS pieces FROM words WHERE len(ws) > 0),
+  pieces AS (SELECT url, f, n, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM packed),
+  marked AS (SELECT *, regexp_replace(piece, '([{WORD_CHARS}]+)', chr(1) || '\\1' || chr(2), 'g') AS m FROM pieces),
+  counted AS (SELECT *, len(regexp_extract_all(m, chr(1) || '(?i){_HIT}' || chr(2))) AS k FROM marked),
+  best AS (SELECT *, row_number() OVER (PARTITION BY url, f ORDER BY k DESC, i) AS r FROM counted WHERE k > 0),
+  shown AS (SELECT url, f, string_agg(translate(regexp_replace(m, chr(1) || '(?i){_HIT}' || chr(2),
+      '<em>\\1</em>', 'g'), chr(1) || chr(2), ''), ' … ' ORDER BY r) AS h FROM best WHERE r <= n GROUP BY url, f)"""
+
+
+@query(
+    _with(vw.CONTENT_SQL, _SCORED, _HIGHLIGHTS)
+    + """SELECT url, score,
+      coalesce((SELECT h FROM shown s WHERE s.url = hits.url AND f = 'title'), '') AS title_highlights,
+      coalesce((SELECT h FROM shown s WHERE s.url = hits.url AND f = 'content'), '') AS content_highlights
+    FROM hits"""
+)
 def search_highlight(spark, folder):
     found = se.scan_search(vw.content(spark, folder), DOC_QUERY, key="url", highlights=True)
     return found.select(
