@@ -194,13 +194,13 @@ _BENCH_TERMS = f"SELECT item_id AS query_id, unnest({_tokens('text')}) AS term F
 
 def _batch_scores(spark, folder):
     path = new_path(spark, "postings")
-    ix.write_postings(ix.postings(vw.content(spark, folder), key="url", mark=True), path)
+    ix.write_postings(ix.postings(vw.content(spark, folder), key="url", mark=True), path, buckets=16)
     statistics = cut(ix.stored_field_stats(spark.read.parquet(path)))
     queries = tb.read_table(spark, folder, "benchmark").select(
         C("item_id").alias("query_id"), C("text").alias("query")
     )
     terms = queries.select(F.explode(F.array_distinct(tx.tokens(C("query")))).alias("term"))
-    index = ix.read_postings(spark, path, terms)
+    index = ix.read_postings(spark, path, terms, buckets=16)
     return se.score(index, statistics, ix.term_stats(index), queries, key="url")
 
 
