@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -64,7 +65,10 @@ ENDPOINT = re.compile(
     re.I | re.A,
 )
 LOGIN_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s/:@\"'<>]+):([^\s/@\"'<>]+)@([^\s/\"'<>]+)")
-CUES = ("key", "id", "user", "login", "account", "://")
+# Where one ends a token may begin; a comma, a bar or a bracket ends one too.
+URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>,;|(){}\[\]]+", re.I | re.A)
+# Every identifier holds one of these in lower case.
+CUES = ("key", "id", "user", "login", "account", "asia", "agia", "://")
 
 
 class Part(NamedTuple):
@@ -116,10 +120,17 @@ def parts(text: str, base: list[tuple[str, int, int]]) -> list[Part]:
     for m in LOGIN_URL.finditer(text):
         found += [Part(k, *m.span(g), True) for g, k in ((1, "identifier"), (2, "secret"))]
     found += [Part("secret", *m.span(1), True) for m in NAMED_SECRET.finditer(text)]
+    urls = [m.span() for m in URL.finditer(text)]
+
+    def heads_url(a: int, b: int) -> bool:
+        """Whether a token is the host or the first of the path of a URL that it lies in."""
+        k = bisect_left(urls, (a, 0)) - 1
+        return k >= 0 and b <= urls[k][1] and "://" in text[max(urls[k][0], a - 40) : a]
+
     found += [
         Part("secret", *m.span(), True)
         for m in RANDOM_TOKEN.finditer(text)
-        if "://" not in text[max(0, m.start() - 40) : m.start()] and looks_random(m.group())
+        if not heads_url(*m.span()) and looks_random(m.group())
     ]
     found += [Part("endpoint", *m.span(), True) for m in ENDPOINT.finditer(text)]
     return [p for p in found if not p.weak or p.kind == "endpoint" or free(p.start, p.stop)]
@@ -129,19 +140,19 @@ def linked(text: str, found: list[Part], reach: int) -> set[tuple[str, int, int]
     """The weak parts that complementary parts in their scope confirm.
 
     An identifier and a secret confirm each other if one of them is strong or an endpoint lies
-    near either; an endpoint is confirmed by such a pair.
+    near either; every endpoint near either is confirmed by such a pair.
     """
     if not any(p.weak for p in found):
         return set()
     breaks = [m.start() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
     scope = {p: bisect_left(breaks, p.start) for p in found}
     by_kind = {k: sorted((p for p in set(found) if p.kind == k), key=lambda p: p.start) for k in PART_KINDS}
-    starts = {k: [p.start for p in ps] for k, ps in by_kind.items()}
-    longest = {k: max((p.stop - p.start for p in ps), default=0) for k, ps in by_kind.items()}
+    # how far the parts up to each one reach
+    stops = {k: list(accumulate((p.stop for p in ps), max)) for k, ps in by_kind.items()}
 
     def near(part: Part, kind: str) -> Iterator[Part]:
-        low = bisect_left(starts[kind], part.start - reach - longest[kind])
-        for other in by_kind[kind][low:]:
+        for k in range(bisect_left(stops[kind], part.start - reach), len(stops[kind])):
+            other = by_kind[kind][k]
             if other.start > part.stop + reach:
                 break
             overlaps = other.start < part.stop and part.start < other.stop
@@ -150,17 +161,14 @@ def linked(text: str, found: list[Part], reach: int) -> set[tuple[str, int, int]
                 if inside or not overlaps:
                     yield other
 
-    confirmed: set[tuple[str, int, int]] = set()
-    served = {p: next(near(p, "endpoint"), None) for k in PART_KINDS[:2] for p in by_kind[k]}
+    pairs: set[Part] = set()
+    served = {p: any(True for _ in near(p, "endpoint")) for k in PART_KINDS[:2] for p in by_kind[k]}
     for one in by_kind["identifier"]:
         for two in near(one, "secret"):
-            endpoint = served[one] or served[two]
-            if one.weak and two.weak and endpoint is None:
-                continue
-            if not one.weak and not two.weak and endpoint is None:
-                continue
-            confirmed |= {p[:3] for p in (one, two, endpoint) if p is not None and p.weak}
-    return confirmed
+            if not (one.weak and two.weak) or served[one] or served[two]:
+                pairs |= {one, two}
+    ends = {e for p in pairs for e in near(p, "endpoint")}
+    return {p[:3] for p in pairs | ends if p.weak}
 
 
 def find(text: str | None, reach: int = REACH) -> list[tuple[str, int, int]]:
