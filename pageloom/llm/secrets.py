@@ -48,20 +48,20 @@ _NAMED = r"""["']?[\x20\t]*[:=][\x20\t]*["']?"""
 IDENTIFIER = re.compile(
     r"(?<![A-Za-z0-9])(?:access_?key(?:_?id)?|client_?id|account(?:_?id)?|app_?id|user(?:_?name)?|login)"
     + _NAMED
-    + r"([A-Za-z0-9._@+-]{3,128})",
+    + r"([A-Za-z0-9._@+-]{3,})",
     re.I | re.A,
 )
 TEMPORARY_ID = re.compile(r"(?<![A-Z0-9])A[SG]IA[A-Z0-9]{16}(?![A-Z0-9])")
 NAMED_SECRET = re.compile(
     r"(?<![A-Za-z0-9])(?:pass|pwd|passphrase|auth|credentials?|private_?key|access_?key|key)"
     + _NAMED
-    + r"([^\s\"',;]{6,256})",
+    + r"([^\s\"',;]{6,})",
     re.I | re.A,
 )
 RANDOM_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(
-    r"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,512}"
-    r"|(?<![A-Za-z0-9])(?:host|endpoint|server|url|region)" + _NAMED + r"[A-Za-z0-9._:/-]{3,256}",
+    r"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,}"
+    r"|(?<![A-Za-z0-9])(?:host|endpoint|server|url|region)" + _NAMED + r"[A-Za-z0-9._:/-]{3,}",
     re.I | re.A,
 )
 LOGIN_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s/:@\"'<>]+):([^\s/@\"'<>]+)@([^\s/\"'<>]+)")
@@ -109,9 +109,12 @@ def parts(text: str, base: list[tuple[str, int, int]]) -> list[Part]:
         return found
     taken = sorted((a, b) for _, a, b in base)
 
+    ends = list(accumulate((b for _, b in taken), max))
+
     def free(a: int, b: int) -> bool:
-        k = bisect_left(taken, (b, 0))
-        return not any(y > a for _, y in taken[max(0, k - 3) : k])
+        """Whether no base span holds all of it; one that holds a part may leave the rest."""
+        k = bisect_left(taken, (a + 1, 0))
+        return not k or ends[k - 1] < b
 
     found += [Part("identifier", *m.span(1), True) for m in IDENTIFIER.finditer(text)]
     found += [Part("identifier", *m.span(), True) for m in TEMPORARY_ID.finditer(text)]
