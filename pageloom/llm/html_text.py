@@ -38,6 +38,11 @@ DROPPED = frozenset(
 )
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 WHOLE = frozenset(["article", "main"])
+# Parts of the tree only inside forms.
+CONTROLS = frozenset("button select datalist label".split())
+IN_HEAD = frozenset(
+    "head title base basefont bgsound link meta noframes noscript script style template html".split()
+)
 # An open element of these is closed by the start of one of those.
 CLOSES = {
     "li": ("li",),
@@ -59,6 +64,14 @@ NAMES = frozenset(
     "subscription signup login share sharing social related recommended recommendations "
     "comment comments disqus respond replies widget toolbar pagination pager copyright".split()
 )
+# Those that say what an element is whatever its size, unless the name has a word like "no" or "open" too.
+SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsored comment comments disqus respond "
+    "replies notice notification alert cookie cookies consent gdpr".split()
+)
+SWITCHES = frozenset(
+    "has with no without show hide open opened closed enabled disabled allow allowed free on off".split()
+)
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^\"'>]+|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -74,7 +87,9 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.links = ["html"], [-1], [0]
-        self.hinted = [False]
+        self.hinted, self.sure = [False], [False]
+        self.in_head = False
+        self.implied: int | None = None  # the body that the page left out
         self.texts: list[tuple[int, str, bool]] = []
         self.open = [0]
         self.in_link = False
@@ -114,7 +129,19 @@ class Page:
                 stop = re.compile(f"</{name}(?=[\\s/>]|$)", re.I).search(source, at)
                 at = stop.start() if stop else end
 
+    def leave_head(self) -> None:
+        """Close an open head and open the body, whose tags a page may leave out."""
+        self.in_head = False
+        heads = [k for k, node in enumerate(self.open) if self.tag[node] == "head"]
+        if heads:
+            del self.open[heads[0] :]
+            if self.open == [0] and "body" not in self.tag:
+                self.implied = len(self.tag)
+                self.start("body", "")
+
     def text(self, text: str) -> None:
+        if self.in_head and self.tag[self.open[-1]] == "head" and not text.isspace():
+            self.leave_head()
         self.texts.append((self.open[-1], html.unescape(text) if "&" in text else text, self.in_link))
 
     def close(self, names: tuple[str, ...]) -> None:
@@ -129,6 +156,12 @@ class Page:
                 return
 
     def start(self, name: str, attributes: str) -> None:
+        if self.in_head and name not in IN_HEAD and name != "body":
+            self.leave_head()
+        if name in CONTROLS and any(self.tag[k] == "form" for k in self.open):
+            self.add(name, False, False)
+            self.open.append(len(self.tag) - 1)
+            return
         if name == "a":
             self.in_link = True
             self.links[self.open[-1]] += 1
@@ -137,73 +170,114 @@ class Page:
         if name not in BLOCKS or name == "html":
             return
         if name == "body":
-            self.open = [0]
+            self.open, self.in_head = [0], False
+            if self.implied is not None and self.implied < len(self.tag):
+                self.open.append(self.implied)
+                return
+        self.in_head |= name == "head"
         self.close(("p",))
         if name in CLOSES:
             self.close(CLOSES[name])
         if name in HEADINGS:
             self.close(HEADINGS)
-        self.tag.append(name)
-        self.parent.append(self.open[-1])
-        self.links.append(0)
-        self.hinted.append(bool(attributes) and unwanted(name, attributes))
+        self.add(name, *(unwanted(name, attributes) if attributes else (False, False)))
         if name not in VOID:
             self.open.append(len(self.tag) - 1)
             self.in_link = False
 
+    def add(self, name: str, hinted: bool, sure: bool) -> None:
+        self.tag.append(name)
+        self.parent.append(self.open[-1])
+        self.links.append(0)
+        self.hinted.append(hinted)
+        self.sure.append(sure)
+
     def end(self, name: str) -> None:
         if name == "a":
             self.in_link = False
-        if name not in BLOCKS:
+        if name not in BLOCKS and name not in CONTROLS:
             return
         for k in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[k]] == name:
                 del self.open[k:]
-                self.in_link = False
+                self.in_link &= name in CONTROLS
+                self.in_head &= name != "head"
                 return
 
 
-def unwanted(tag: str, attributes: str) -> bool:
-    """Whether class, id or role say that an element is no part of an article."""
+def unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role say that an element is no part of an article, and whether that
+    holds whatever its size."""
     if tag in ("body", "article", "main"):
-        return False
+        return False, False
+    found = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name == "role" and ROLES.intersection(value.lower().split()):
-            return True
-        if name in ("class", "id") and NAMES.intersection(
-            part.lower() for part in _NAME_PARTS.findall(value)
-        ):
-            return True
-    return False
+            found = True
+        elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            found = True
+        elif name == "role" and ROLES.intersection(value.lower().split()):
+            found = True
+        elif name in ("class", "id"):
+            for word in value.split():
+                said = {part.lower() for part in _NAME_PARTS.findall(word)}
+                found |= not said.isdisjoint(NAMES)
+                if not said.isdisjoint(SURE) and said.isdisjoint(SWITCHES):
+                    return True, True
+    return found, False
 
 
 def _removed(page: Page, chars: list[int]) -> list[bool]:
     """What goes before densities are computed, by element or by name.
 
     A header goes unless it belongs to an article. A name alone is not enough against an element
-    that holds an article, or more than half of the page's text.
+    that holds an article, or more than half of the page's text; one that says comments, notice or
+    advert is enough against the latter, if any text is left then. Of a form with more than half
+    of the page's text outside controls only the controls go.
     """
+    gone = _without(page, chars, True)
+    if any(page.sure) and not any(t.strip() for node, t, _ in page.texts if not gone[node]):
+        return _without(page, chars, False)
+    return gone
+
+
+def _large_forms(page: Page) -> list[bool]:
+    """Forms, and their fieldsets, with more than half of the page's text outside controls."""
+    n = len(page.tag)
+    if "form" not in page.tag and "fieldset" not in page.tag:
+        return [False] * n
+    control, below = [False] * n, [0] * n
+    for k in range(1, n):
+        control[k] = control[page.parent[k]] or page.tag[k] in CONTROLS or page.tag[k] in ("head", "title")
+    for node, text, _ in page.texts:
+        if not control[node]:
+            below[node] += len("".join(text.split()))
+    for k in range(n - 1, 0, -1):
+        below[page.parent[k]] += below[k]
+    return [t in ("form", "fieldset") and 2 * b > below[0] for t, b in zip(page.tag, below)]
+
+
+def _without(page: Page, chars: list[int], names_suffice: bool) -> list[bool]:
     n = len(page.tag)
     holds, inside, below = [False] * n, [False] * n, list(chars)
     for k in range(n - 1, 0, -1):
         holds[page.parent[k]] |= holds[k] or page.tag[k] in WHOLE
         below[page.parent[k]] += below[k]
     body = next((k for k in range(n) if page.tag[k] == "body"), 0)
+    large = _large_forms(page)
     gone = [False] * n
     for k in range(1, n):
         up, tag = page.parent[k], page.tag[k]
         inside[k] = inside[up] or page.tag[up] in WHOLE
-        named = page.hinted[k] and not holds[k] and 2 * below[k] <= below[body]
+        sure = names_suffice and page.sure[k]
+        named = page.hinted[k] and not holds[k] and (sure or 2 * below[k] <= below[body])
         if named and inside[k] and tag == "header":
             named = False
         gone[k] = (
             gone[up]
-            or (tag in DROPPED and not holds[k])
+            or (tag in DROPPED and not holds[k] and not large[k])
+            or tag in CONTROLS
             or (tag == "header" and not inside[k] and not holds[k])
             or named
         )

@@ -94,3 +94,38 @@ def test_rows_come_out_as_they_go_in(shared):
         "(1, None, 'a')", "(1, None, 'a')", "(None, 'u', '')",
     ]
     assert h.extract(pages.limit(0)).collect() == []
+
+
+LONG = "<p>I liked this article and wrote a long comment about all of it.</p>" * 3
+
+
+@pytest.mark.parametrize("name", ['class="comments"', 'id="post-comments"', 'class="cookie-notice"', 'class="ad"'])
+def test_names_that_suffice_whatever_the_size(name):
+    page = f"<html><body><div><p>A short article.</p></div><section {name}>{LONG}</section></body></html>"
+    assert h.main_text(page) == "A short article."
+    assert "long comment" in h.main_text(f"<body><nav>menu</nav><div {name}>{LONG}</div></body>")
+
+
+def test_names_that_do_not_suffice():
+    for name in ("comments-open", "no-ads", "sidebar"):
+        assert "long comment" in h.main_text(f'<body><p>x</p><div class="{name}">{LONG}</div></body>')
+
+
+def test_form_around_the_page():
+    page = """<html><body><form id="aspnetForm"><div><p>First paragraph of the <button>Press</button>text.</p>
+    <p>Second paragraph, with more of the text.</p></div><label>Name <input></label>
+    <select><option>Sweden</option><option>Norway</option></select><div><button>Go</button></div></form>
+    <button>Later</button></body></html>"""
+    assert h.main_text(page).startswith(
+        "First paragraph of the text.\n\nSecond paragraph, with more of the text."
+    )
+    assert not {"Press", "Sweden", "Norway", "Go", "Name"}.intersection(h.main_text(page).split())
+    asks = "<body><p>Write to us.</p><form><label>Your long name and address</label><p>Hi</p></form></body>"
+    assert h.main_text(asks) == "Write to us."
+
+
+@pytest.mark.parametrize("first", ["<p>", "<div>", "<span>", "<a href=x>", "", "<custom-part>"])
+def test_head_without_end(first):
+    page = f"<html><head><meta charset=utf-8><title>T</title><style>p{{}}</style>\n{first}Text of the page"
+    assert h.main_text(page) == "Text of the page"
+    assert h.main_text(f"{page}</head><body><p>More text of it") == "Text of the page\n\nMore text of it"
