@@ -11,6 +11,7 @@ which is a count of earlier tasks' pieces plus a running number within the task.
 from __future__ import annotations
 
 import gc
+import hashlib
 import os
 import zlib
 from array import array
@@ -216,35 +217,106 @@ def _triples(left: np.ndarray, total: int, most: int) -> list[list[int]]:
     return []
 
 
-def _fillings(lengths: _Lengths, first: int, capacity: int, width: int) -> list[list[int]]:
-    """Undominated ways to complete the sequence of a piece of length ``first``, the fullest first.
-
-    One piece that fits exactly dominates all else. Otherwise a set of pieces matters only if it
-    fills more than the longest single piece does, which leaves a small window for its sum. While
-    there is room for several more of the longest piece, as many are taken as leave room to
-    choose the last ones.
-    """
+def _exact(lengths: _Lengths, room: int, width: int) -> list[list[int]]:
+    """Some sets of pieces that fill ``room``, found fast: pairs and triples, after a run of the
+    longest piece while there is room for several more of it."""
     left = lengths.left
-    left[first] -= 1
-    base, room = [first], capacity - first
+    base = []
     while (longest := lengths.longest(room)) and room >= 4 * longest:
         n = min(int(left[longest]), room // longest - 2)
         base += [longest] * n
         left[longest] -= n
         room -= n * longest
-    found: list[list[int]] = []
-    single = lengths.longest(room)
-    for total in range(room, single, -1) if single else ():
-        found += _pairs(left, total, width - len(found))
-        if not found:
-            found += _triples(left, total, 2 * width)
-        if total == room and found or len(found) >= width:
-            break
-    if single:
-        found.append([single])
+    found = _pairs(left, room, width) or _triples(left, room, 2 * width)
     for x in base:
         left[x] += 1
-    return [base + f for f in found] or [base]
+    return [base + f for f in found]
+
+
+def _sets(left: np.ndarray, room: int, waste: int) -> Iterator[list[int]]:
+    """All sets of pieces that leave at most ``waste`` of ``room``, the fullest first and those
+    with the longest pieces before others.
+
+    A bitmap for each length says which sums it and the shorter ones make, so no branch is entered
+    that leads to no set.
+    """
+    sizes = (np.flatnonzero(left[1 : room + 1]) + 1)[::-1].tolist()
+    most = [min(int(left[x]), room // x) for x in sizes]
+    sums, mask = [1], (1 << (room + 1)) - 1
+    for x, n in zip(reversed(sizes), reversed(most)):
+        made, step = sums[-1], 1
+        while n:
+            taken = min(step, n)
+            made |= (made << (x * taken)) & mask
+            n, step = n - taken, 2 * step
+        sums.append(made)
+    sums.reverse()
+
+    def walk(at: int, rest: int) -> Iterator[list[int]]:
+        if not rest:
+            yield []
+        for k in range(at, len(sizes) if rest else at):
+            if not sums[k] >> rest & 1:
+                return
+            x = sizes[k]
+            for n in range(min(most[k], rest // x), 0, -1):
+                if sums[k + 1] >> (rest - n * x) & 1:
+                    for others in walk(k + 1, rest - n * x):
+                        yield [x] * n + others
+
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if sums[0] >> total & 1:
+            yield from walk(0, total)
+
+
+def _dominated(left: np.ndarray, found: list[int], waste: int) -> bool:
+    """Whether one more piece, or a longer one in the place of another, fits as well."""
+    if not waste:
+        return False
+    free = left.copy()
+    for x in found:
+        free[x] -= 1
+    return any(bool((free[x + 1 : x + waste + 1] > 0).any()) for x in {0, *found})
+
+
+def _fillings(
+    lengths: _Lengths, first: int, capacity: int, width: int, waste: int
+) -> Iterator[Filling | None]:
+    """Ways to complete the sequence of a piece of length ``first`` that waste at most ``waste``.
+
+    One piece that fits exactly dominates all else. Otherwise some exact fits that are found fast
+    come first, and then all other undominated sets, the fullest first; None stands for one that is
+    dominated. Each is used as often as its lengths last and the waste allows, and then in fewer
+    copies, down to one. ``lengths`` has to be as it was whenever the next one is asked for.
+    """
+    left, room = lengths.left, capacity - first
+
+    def used(found: list[int], fewer: bool = True) -> Iterator[Filling]:
+        items, unused = _items([first, *found]), room - sum(found)
+        copies = min(int(left[x]) // n for x, n in items)
+        copies = min(copies, waste // unused) if unused else copies
+        while copies:
+            yield Filling(items, copies)
+            copies = copies // 2 if fewer else 0
+
+    left[first] -= 1
+    single = room > 0 and left[room] > 0
+    fast = [] if single else _exact(lengths, room, width)
+    left[first] += 1
+    if single:
+        yield from used([room], fewer=False)
+        return
+    for found in fast:
+        yield from used(found)
+    known = {_items(found) for found in fast}
+    rest = left.copy()
+    rest[first] -= 1
+    for found in _sets(rest, room, waste):
+        if _items(found) not in known:
+            if _dominated(rest, found, room - sum(found)):
+                yield None
+            else:
+                yield from used(found)
 
 
 def _greedy(lengths: _Lengths, capacity: int) -> list[Filling]:
@@ -275,41 +347,48 @@ def plan_fillings(
     """Bin completion: branch and bound over fillings around the longest piece left.
 
     The best-fit solution is the first incumbent, and each better one found takes its place. A
-    branch ends where the waste so far cannot lead to fewer sequences than the incumbent has, and
-    the search where the incumbent meets the bound on total length or after ``nodes`` fillings.
-    A filling is used as often as its lengths last.
+    branch ends where the waste so far cannot lead to fewer sequences than the incumbent has, or
+    where the same pieces were left before after as few sequences. The search ends where it has
+    tried everything, where the incumbent meets the bound on total length, or after ``nodes``
+    fillings and one for each length.
     """
     lengths = _Lengths(counts, capacity)
     if not lengths.total:
         return []
     best = _greedy(_Lengths(counts, capacity), capacity)
     bound = -(-lengths.total // capacity)
-    path: list[tuple[list[list[int]], Filling]] = []
+    path: list[tuple[Iterator[Filling | None], Filling]] = []
     used, budget = 0, nodes + len(counts)
-    choices: list[list[int]] | None = None
+    before: dict[bytes, int] = {}
+    choices: Iterator[Filling | None] | None = None
     while bins(best) > bound and budget > 0:
         if choices is None:
-            hopeless = used + -(-lengths.total // capacity) >= bins(best)
-            if lengths.total == 0 and not hopeless:
+            waste = (bins(best) - 1 - used) * capacity - lengths.total
+            if waste >= 0 and not lengths.total:
                 best = [f for _, f in path]
-                hopeless = True
-            choices = (
-                [] if hopeless else _fillings(lengths, lengths.longest(capacity), capacity, width)
-            )
-        if choices:
-            budget -= 1
-            items = _items(choices[0])
-            filling = Filling(items, min(int(lengths.left[x]) // n for x, n in items))
-            path.append((choices[1:], filling))
-            lengths.change(filling, -1)
-            used += filling.copies
-            choices = None
-        elif path:
+                waste = -1
+            state = hashlib.blake2b(lengths.left.tobytes(), digest_size=16).digest()
+            if waste < 0 or before.get(state, used + 1) <= used:
+                choices = iter(())
+            else:
+                before[state] = used
+                choices = _fillings(lengths, lengths.longest(capacity), capacity, width, waste)
+        budget -= 1
+        try:
+            filling = next(choices)
+        except StopIteration:
+            budget += 1
+            if not path:
+                break
             choices, filling = path.pop()
             lengths.change(filling, 1)
             used -= filling.copies
-        else:
-            break
+            continue
+        if filling is not None:
+            path.append((choices, filling))
+            lengths.change(filling, -1)
+            used += filling.copies
+            choices = None
     return best
 
 

@@ -72,6 +72,27 @@ def test_search_beats_best_fit():
     assert p.bins(p.plan_fillings(counts, 10)) == 3
 
 
+@pytest.mark.parametrize(
+    "lengths,capacity,want",
+    [
+        ([85, 85, 6, 5, 5, 5, 3, 3, 3], 100, 2),
+        ([2596, 2596, 600, 500, 500, 500, 300, 300, 300], 4096, 2),
+        ([50] * 4 + [14, 12, 12, 12] * 2 + [20, 10, 10, 10] * 2, 100, 4),
+    ],
+)
+def test_sets_of_any_number_of_pieces(lengths, capacity, want):
+    plan = p.plan_fillings(Counter(lengths), capacity)
+    assert used(plan, capacity) == Counter(lengths) and p.bins(plan) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=9), st.integers(12, 40))
+def test_small_pieces_are_packed_as_tightly_as_can_be(lengths, capacity):
+    plan = p.plan_fillings(Counter(lengths), capacity)
+    assert used(plan, capacity) == Counter(lengths)
+    assert p.bins(plan) == (fewest(sorted(lengths, reverse=True), capacity) if lengths else 0)
+
+
 def test_many_pieces_meet_the_bound():
     rng = random.Random(3)
     counts = Counter(min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(30_000))
