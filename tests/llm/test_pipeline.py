@@ -34,3 +34,10 @@ def test_every_query_is_registered_once():
     found = [name for name in entry.queries() if name.startswith("op") or name == "pipeline"]
     assert sorted(found) == sorted(QUERIES)
     assert {name.split("_")[0] for name in found} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+
+
+def test_packed_sequences_hold_their_ids(shared, docs_of, small):
+    found = corpus_pipeline.best_fit_packing(shared, docs_of([(1, "one two"), (2, None)]), small).collect()
+    ids = {r.doc_id: r.ids for r in found}
+    assert ids[2] == [packing.END] and ids[1][-1] == packing.END and len(ids[1]) > 1
+    assert all(len(r.ids) == r.length for r in found)
