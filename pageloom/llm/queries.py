@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, cover_tree, html_text, licenses, packing, pii, quality, secrets, simhash, url_trust
+from pageloom.llm import (
+    bpe, cover_tree, fill_middle, html_text, licenses, packing, pii, quality, secrets, simhash, url_trust,
+)
 from pageloom.llm.common import LOWER, UPPER
 
 QUERIES = {}
@@ -197,6 +199,42 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return _span_digest(pii.scan(_table(spark, folder, "documents")), pii.BASE_KINDS)
 
 
+def _fill_middle_sql() -> str:
+    p, s, m = fill_middle.MARKS
+    draw = "('0x' || substr(h, {0}, 8))::BIGINT"
+    return rf"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents),
+  chosen AS (SELECT doc_id, text, units, len(units) AS n, {draw.format(1)} % (len(units) + 1) AS a,
+    {draw.format(9)} % (len(units) + 1) AS b, CASE WHEN text = '' OR contains(text, '{p}') OR contains(text, '{s}')
+      OR contains(text, '{m}') OR {draw.format(17)} % 100 >= {fill_middle.RATE} THEN 'plain'
+      WHEN {draw.format(25)} % 100 < {fill_middle.SPM_SHARE} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+  parts AS (SELECT *, array_to_string(units[1:least(a, b)], '') AS pre,
+    array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS mid,
+    array_to_string(units[greatest(a, b) + 1:], '') AS suf FROM chosen)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || pre || '{s}' || suf || '{m}' || mid
+    ELSE '{s}' || suf || '{p}' || pre || '{m}' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+SQL["op12_fill_middle"] = _fill_middle_sql()
+
+
+@query
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.transform(_table(spark, folder, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
