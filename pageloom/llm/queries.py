@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import (
-    bpe, cover_tree, fill_middle, html_text, licenses, packing, pii, quality, secrets, simhash, url_trust,
+    bpe, cover_tree, fill_middle, html_text, licenses, lookup_kmeans, packing, pii, quality, secrets, simhash,
+    url_trust,
 )
 from pageloom.llm.common import LOWER, UPPER
 
@@ -199,6 +200,47 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return _span_digest(pii.scan(_table(spark, folder, "documents")), pii.BASE_KINDS)
 
 
+def _lookup_kmeans_sql() -> str:
+    k, rounds, size = lookup_kmeans.CLUSTERS, lookup_kmeans.ROUNDS, lookup_kmeans.DIMENSIONS
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (SELECT i, vec_id, v, c, distance FROM (SELECT i, vec_id, v, c, distance,
+      row_number() OVER (PARTITION BY i ORDER BY distance, c) AS nth FROM (
+        SELECT i, vec_id, v, c, list_sum(list_transform(list_zip(v, x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT
+          AS distance FROM vectors, c{n})) WHERE nth = 1)"""
+
+    def moved(n: int) -> str:
+        return f"""s{n} AS (SELECT c, d, sum(v[d])::BIGINT AS s, count(*) AS n FROM a{n - 1}, range(1, {size + 1}) AS r(d)
+      GROUP BY c, d),
+  m{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY d) AS x FROM s{n} GROUP BY c),
+  c{n} AS MATERIALIZED (SELECT c, coalesce(m{n}.x, c{n - 1}.x) AS x FROM c{n - 1} LEFT JOIN m{n} USING (c))"""
+
+    steps = ",\n  ".join(part for n in range(1, rounds + 1) for part in (moved(n), assigned(n)))
+    return f"""
+WITH vectors AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding,
+      lambda x: floor({lookup_kmeans.SCALE}::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {size} AND NOT list_contains(list_transform(embedding,
+      lambda x: coalesce(isfinite(x), false)), false)),
+  c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS x FROM (
+      SELECT v, sha256('{lookup_kmeans.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM vectors
+      ORDER BY h, v LIMIT {k})),
+  {assigned(0)},
+  {steps}
+SELECT vec_id, c::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+SQL["op11_lookup_kmeans"] = _lookup_kmeans_sql()
+
+
+@query
+def op11_lookup_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    found = lookup_kmeans.clusters(_table(spark, folder, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
 def _fill_middle_sql() -> str:
     p, s, m = fill_middle.MARKS
     draw = "('0x' || substr(h, {0}, 8))::BIGINT"
