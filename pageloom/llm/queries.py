@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import (
-    bpe, cover_tree, fill_middle, html_text, licenses, lookup_kmeans, packing, pii, quality, secrets, simhash,
-    url_trust,
+    bpe, cover_tree, fill_middle, html_text, licenses, lookup_kmeans, online_packing, packing, pii, quality,
+    secrets, simhash, url_trust,
 )
 from pageloom.llm.common import LOWER, UPPER
 
@@ -277,6 +277,13 @@ def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op13_online_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return online_packing.pack(
+        _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
