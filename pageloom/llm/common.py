@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -31,6 +33,22 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+by_value(__name__)
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles meanwhile: where a task holds very many words and no cycles, walking them
+    costs more than all else. The worker's next task finds collection as it was."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 

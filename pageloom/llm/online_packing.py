@@ -14,7 +14,6 @@ padding either. Nothing is shuffled and nothing goes to the driver.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import by_value, stored
+from pageloom.llm.common import by_value, stored, uncollected
 from pageloom.llm.packing import Encoder
 
 by_value(__name__)
@@ -159,9 +158,7 @@ def _packed(
                 rows.add(sequence, placed=last)
                 yield from rows.batches()
 
-        collecting = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and walking the known words costs more than all else
-        try:
+        with uncollected():
             for batch in batches:
                 rows = rows or _Rows(batch.schema.field(0).type, with_ids, int(last))
                 for piece in pieces(batch):
@@ -175,9 +172,6 @@ def _packed(
             if rows:
                 yield from close()
                 yield from rows.batches(1)
-        finally:
-            if collecting:
-                gc.enable()
 
     return run
 

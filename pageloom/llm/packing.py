@@ -10,24 +10,25 @@ which is a count of earlier tasks' pieces plus a running number within the task.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import zlib
 from array import array
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from importlib.util import find_spec
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from pageloom.llm.common import by_value, stored
+from pageloom.llm.common import by_value, stored, uncollected
 
 by_value(__name__)
 
@@ -36,7 +37,8 @@ END = 1
 NODES = 1_000
 WIDTH = 8
 
-_CACHED_WORDS, _CACHED_LENGTH, _TEXTS = 300_000, 64, 512
+# No long word is kept, so these take 300 bytes each at most, and mostly 170.
+_CACHED_WORDS, _CACHED_LENGTH, _TEXTS = 600_000, 64, 4096
 _TAIL, _AFTER_LATIN = ".,;:!?*&$%#|)]}>", "\u0250"
 _DOTTED = "\u0130"  # two characters in lower case
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
@@ -61,6 +63,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        if find_spec("pageloom"):  # as where executors have the package
+            from pageloom.llm.kept import cache
+
+            self.known = cache(f"words {path}")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -76,43 +82,56 @@ class Encoder:
         made, cores, tails, others = [], [], [], []
         for w in new:
             core = w.rstrip(_TAIL)
-            if core.isalpha() and max(core) < _AFTER_LATIN and _DOTTED not in core:
+            if not core.isalpha():
+                others.append(w)
+            elif core.isascii():
+                made.append(w)
+                tails.append(w[len(core) :])
+                cores.append(core.lower())
+            elif max(core) < _AFTER_LATIN and _DOTTED not in core:
                 made.append(w)
                 tails.append(w[len(core) :])
-                cores.append(core.lower() if core.isascii() else core)
+                cores.append(core)
             else:
                 others.append(w)
         known, merge = self.known, self.tokenizer.model.tokenize
         for core in set(cores).difference(known):
-            if core.isascii():
-                ids = [t.id for t in merge(core)]
-            else:
-                symbols = core.lower().encode().decode("latin-1").translate(_SYMBOLS)
-                ids = [t.id for t in merge(symbols)]
-            known[core] = array("I", ids).tobytes()
+            symbols = core if core.isascii() else core.lower().encode().decode("latin-1").translate(_SYMBOLS)
+            known[core] = array("I", [t.id for t in merge(symbols)]).tobytes()
         rest = list({*tails, *others}.difference(known))
         known.update(zip(rest, self.encode(rest)))
         ids_of = known.__getitem__
         known.update(zip(made, map(add, map(ids_of, cores), map(ids_of, tails))))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        known = self.known
         for at in range(0, len(texts), _TEXTS):
-            # Python splits at four control characters that are no white space to the tokenizer.
-            split = [
-                [t] if t and any(c in t for c in _ODD_SPACES) else (t or "").split()
-                for t in texts[at : at + _TEXTS]
-            ]
-            new = list(set().union(*split).difference(known))
-            if new:
-                self.learn(new)
-            for ws in split:
-                yield b"".join(map(known.__getitem__, ws))
-            for w in new:
-                if len(w) > _CACHED_LENGTH:
-                    del known[w]
-            if len(known) > _CACHED_WORDS:
-                known.clear()
+            yield from self._part([t or "" for t in texts[at : at + _TEXTS]])
+
+    def _part(self, texts: list[str]) -> Iterator[bytes]:
+        """Each distinct word is looked up once, and texts are put together from the words' numbers."""
+        # Python and Arrow split at four control characters that are no white space to the tokenizer.
+        whole = [any(c in t for c in _ODD_SPACES) for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(["" if w else t for w, t in zip(whole, texts)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        vocabulary, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        new = [w for w in vocabulary if w not in known]
+        if new:
+            self.learn(new)
+        ids = [known[w] for w in vocabulary]
+        sizes = np.array([len(i) // 4 for i in ids], np.int64)
+        lists = pa.LargeListArray.from_arrays(
+            np.append(0, np.cumsum(sizes)), pa.array(np.frombuffer(b"".join(ids), np.uint32))
+        )
+        all_ids = lists.take(coded.indices).flatten().to_numpy().tobytes()
+        before = np.append(0, np.cumsum(sizes[coded.indices.to_numpy()]))[split.offsets.to_numpy()] * 4
+        for t, odd, a, b in zip(texts, whole, before.tolist(), before[1:].tolist()):
+            yield self.encode([t])[0] if odd else all_ids[a:b]
+        for w in new:
+            if len(w) > _CACHED_LENGTH:
+                known.pop(w, None)
+        if len(known) > _CACHED_WORDS:
+            known.clear()
+            known.update((w, i) for w, i in zip(vocabulary, ids) if len(w) <= _CACHED_LENGTH)
 
 
 PIECE_FIELDS = [
@@ -129,33 +148,33 @@ def _cutter(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = Encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        gc.disable()  # nothing here is cyclic, and walking the known words costs more than all else
-        for batch in batches:
-            rows: dict[str, list] = {n: [] for n in ("row", "piece", "start", "length", "crc", "nth")}
-            kept = []
-            for row, ids in enumerate(encoder(batch.column(1).to_pylist())):
-                ids += tail
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    length = len(part) // 4
-                    values = (row, piece, at // 4, length, zlib.crc32(part), int(seen[length]))
-                    for column, value in zip(rows.values(), values):
-                        column.append(value)
-                    seen[length] += 1
-                    if with_ids:
-                        kept.append(np.frombuffer(part, "<u4").astype(np.int32))
-            columns = {
-                "key": batch.column(0).take(pa.array(rows["row"], pa.int64())),
-                "piece": pa.array(rows["piece"], pa.int32()),
-                "start": pa.array(rows["start"], pa.int64()),
-                "length": pa.array(rows["length"], pa.int64()),
-                "ids_crc32": pa.array(rows["crc"], pa.int64()),
-                "task": pa.array([task] * len(rows["row"]), pa.int64()),
-                "nth": pa.array(rows["nth"], pa.int64()),
-            }
-            if with_ids:
-                columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        with uncollected():
+            for batch in batches:
+                rows: dict[str, list] = {n: [] for n in ("row", "piece", "start", "length", "crc", "nth")}
+                kept = []
+                for row, ids in enumerate(encoder(batch.column(1).to_pylist())):
+                    ids += tail
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        length = len(part) // 4
+                        values = (row, piece, at // 4, length, zlib.crc32(part), int(seen[length]))
+                        for column, value in zip(rows.values(), values):
+                            column.append(value)
+                        seen[length] += 1
+                        if with_ids:
+                            kept.append(np.frombuffer(part, "<u4").astype(np.int32))
+                columns = {
+                    "key": batch.column(0).take(pa.array(rows["row"], pa.int64())),
+                    "piece": pa.array(rows["piece"], pa.int32()),
+                    "start": pa.array(rows["start"], pa.int64()),
+                    "length": pa.array(rows["length"], pa.int64()),
+                    "ids_crc32": pa.array(rows["crc"], pa.int64()),
+                    "task": pa.array([task] * len(rows["row"]), pa.int64()),
+                    "nth": pa.array(rows["nth"], pa.int64()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
