@@ -33,7 +33,7 @@ def test_stages_keep_the_columns_and_take_effect(shared, small):
 def test_every_query_is_registered_once():
     found = [name for name in entry.queries() if name.startswith("op") or name == "pipeline"]
     assert sorted(found) == sorted(QUERIES)
-    assert {name.split("_")[0] for name in found} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {name.split("_")[0] for name in found} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
 
 
 def test_packed_sequences_hold_their_ids(shared, docs_of, small):
