@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom import config
 from pageloom.functions.urls import url_domain, url_hash, url_netloc
+from pageloom.operators import extract
 from pageloom.operators.ranking import positions
 from pageloom.session import cut
+from pageloom.sources.store import save_content
 
 
 def not_crawled(urls: DataFrame, crawled: DataFrame) -> DataFrame:
@@ -123,6 +125,15 @@ def crawl(
     return reduce(DataFrame.unionByName, done)
 
 
+def save_crawled(
+    spark: SparkSession, path: str, pages: DataFrame, reached: DataFrame, extracted_at: Column | None = None
+) -> DataFrame:
+    """Make records of the ``pages (url, html)`` that a crawl reached and save the useful ones to the
+    content table at ``path``; returns what was written."""
+    fetched = pages.select("url", "html").join(reached.select("url"), "url", "left_semi")
+    return save_content(spark, path, extract.useful(extract.extract_pages(fetched, extracted_at)))
+
+
 def rate_limit_delay(
     domain: Column, default: float = 1.0, delays: dict[str, float] | None = None
 ) -> Column:

@@ -1073,12 +1073,9 @@ def _frontier(spark, folder):
 _FRONTIER = "frontier AS (SELECT url, cast(page_id % 4 AS int) AS priority, page_id FROM pages)"
 
 
-@query(
-    "SELECT url, 10 AS priority FROM pages WHERE page_id % 10 = 0"
-)
+@query("SELECT url, 10 AS priority FROM pages")
 def seed_urls(spark, folder):
-    pages = tb.read_table(spark, folder, "pages", ["page_id", "url"])
-    return tb.seed_urls(pages.where(C("page_id") % 10 == 0))
+    return tb.seed_urls(tb.read_table(spark, folder, "pages", ["url"]))
 
 
 @query(
@@ -1123,61 +1120,54 @@ def mark_crawled(spark, folder):
     return frontier.mark_crawled(crawled, rows.where(C("page_id") % 3 == 0))
 
 
-_REACHED = f"""WITH RECURSIVE {vw.GRAPH_SQL},
-  walk AS (SELECT '0' AS url, 0 AS round UNION
-    SELECT l.dst_url, w.round + 1 FROM walk w JOIN links l ON l.src_url = w.url
-    WHERE w.round < 40 AND cast(l.dst_url AS bigint) > cast(w.url AS bigint)),
-  reached AS (SELECT url, min(round) AS round FROM walk GROUP BY url)
+_CRAWL = f"""WITH RECURSIVE {vw.linked_pages_sql(_normal_sql('url'))},
+    found AS (SELECT url AS src_url, regexp_extract(url, '^https?://[^/?#]*') AS site,
+      unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM linked),
+    resolved AS (SELECT src_url, CASE WHEN regexp_matches(href, '^https?://') THEN {_UNESCAPE.format('href')}
+      ELSE concat(site, {_UNESCAPE.format('href')}) END AS url FROM found),
+    links AS (SELECT DISTINCT src_url, {_normal_sql('url')} AS dst_url FROM resolved
+      WHERE {_VALID} AND NOT regexp_matches({_PATH}, '\\.({_EXTENSIONS})$')),
+    walk AS (SELECT url, 0 AS round FROM linked WHERE page_id = 0 UNION
+      SELECT s.url, w.round + 1 FROM walk w JOIN links l ON l.src_url = w.url
+      JOIN linked s ON s.url = l.dst_url WHERE w.round < 25),
+    reached AS (SELECT url, cast(min(round) AS int) AS round FROM walk GROUP BY url)
 """
 
 
 def _crawl(spark, folder):
-    pages, links = vw.graph(spark, folder)
-    seeds = tb.seed_urls(pages.where(C("url") == "0"))
-    return frontier.crawl(seeds, pages, links)
+    """From the first page over the links that stand in the pages."""
+    pages = cut(vw.linked_pages(spark, folder))
+    links = extract.links(extract.page_nodes(pages), from_cleaned=False, patterns=None)
+    return pages, frontier.crawl(tb.seed_urls(pages.where(C("page_id") == 0)), pages.select("url"), links)
 
 
-@query(
-    _REACHED
-    + """SELECT url, cast(round AS int) AS round, CASE WHEN round = 0 THEN 10 ELSE 1 END AS priority
-      FROM reached"""
-)
-def crawl_bfs(spark, folder):
-    return _crawl(spark, folder)
+@query(_CRAWL + "SELECT url, round, CASE WHEN round = 0 THEN 10 ELSE 1 END AS priority FROM reached")
+def crawl_pages(spark, folder):
+    return _crawl(spark, folder)[1]
 
 
 @query(
-    _REACHED
-    + """SELECT cast(round AS int) AS round, count(*) AS pages,
-      cast(sum(count(*)) OVER (ORDER BY round) AS bigint) AS crawled_count FROM reached GROUP BY round"""
+    _CRAWL
+    + """SELECT round, count(*) AS pages, cast(sum(count(*)) OVER (ORDER BY round) AS bigint) AS crawled_count
+      FROM reached GROUP BY round"""
 )
 def crawl_progress(spark, folder):
-    return stats.crawl_progress(_crawl(spark, folder))
-
-
-_REAL_LINKS = f"""found AS (SELECT url AS src_url, regexp_extract(url, '^https?://[^/?#]*') AS root,
-      unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
-    resolved AS (SELECT src_url, concat(root, {_UNESCAPE.format('href')}) AS url FROM found),
-    links AS (SELECT DISTINCT src_url, {_normal_sql('url')} AS dst_url FROM resolved
-      WHERE {_VALID} AND NOT regexp_matches({_PATH}, '\\.({_EXTENSIONS})$'))"""
+    return stats.crawl_progress(_crawl(spark, folder)[1])
 
 
 @query(
-    f"""WITH RECURSIVE {_REAL_LINKS},
-    seeds AS (SELECT DISTINCT url FROM pages WHERE page_id % 10 = 0),
-    stored AS (SELECT DISTINCT url FROM pages),
-    walk AS (SELECT url, 0 AS round FROM seeds UNION
-      SELECT s.url, w.round + 1 FROM walk w JOIN links l ON l.src_url = w.url
-      JOIN stored s ON s.url = l.dst_url WHERE w.round < 20)
-    SELECT url, cast(min(round) AS int) AS round, CASE WHEN min(round) = 0 THEN 10 ELSE 1 END AS priority
-    FROM walk GROUP BY url"""
+    _CRAWL
+    + f""", {_BODY.replace('FROM pages', 'FROM linked')}
+    SELECT min(url) AS url, md5(text) AS content_hash, arg_min(round, url) AS round
+    FROM bodies JOIN reached USING (url) WHERE length(text) >= 100 GROUP BY text"""
 )
-def crawl_pages(spark, folder):
-    """From every tenth page over the links that stand in the pages themselves."""
-    pages = vw.pages(spark, folder)
-    seeds = tb.seed_urls(pages.where(C("page_id") % 10 == 0))
-    links = extract.links(extract.page_nodes(pages), from_cleaned=False, patterns=None)
-    return frontier.crawl(seeds, pages.select("url"), links)
+def crawl_bfs(spark, folder):
+    """The whole job: pages crawled, made into records and saved, each text by its first url."""
+    path = new_path(spark, "content")
+    pages, reached = _crawl(spark, folder)
+    frontier.save_crawled(spark, path, pages, reached, vw.moment(vw.EPOCH))
+    saved = store.read_content(spark, path).select("url", "content_hash")
+    return saved.join(reached.select("url", "round"), "url")
 
 
 _DELAY = (

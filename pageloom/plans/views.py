@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.urls import normalize_url
 from pageloom.sources.tables import fetched, read_table
 
 EPOCH = "2024-01-01 00:00:00"
@@ -102,29 +103,51 @@ URLS_SQL = r"""urls AS (
     FROM pages))"""
 
 
-def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``pages (url)`` and ``links (src_url, dst_url)`` of a graph over the page numbers: a binary
-    tree with edges back to a third of the number. URLs are the numbers as text."""
-    ids = read_table(spark, folder, "pages", ["page_id"])
-    n = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
+def linked_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """``page_id, url, html`` of the stored pages, one for each normalised url, with links to each
+    other woven into their articles: to the two pages of twice the number and to that of a third of
+    it. A link within the host is written from its root, others in full."""
+    url = F.col("url")
+    site, rest = r"^https?://[^/?#]*", F.regexp_replace("url", r"^https?://[^/?#]*", "")
+    stored = pages(spark, folder)
     p = F.col("page_id")
-    edges = (
-        ids.select(
-            p.alias("src"),
-            F.explode(F.array(2 * p + 1, 2 * p + 2, F.floor(p / 3).cast("bigint"))).alias("dst"),
-        )
-        .where(F.col("dst") < n)
-        .select(
-            F.col("src").cast("string").alias("src_url"), F.col("dst").cast("string").alias("dst_url")
-        )
+    edges = stored.select(
+        p.alias("src"),
+        F.regexp_extract(url, site, 0).alias("src_site"),
+        F.explode(F.array(2 * p + 1, 2 * p + 2, F.floor(p / 3).cast("bigint"))).alias("dst"),
+    )
+    targets = stored.select(
+        p.alias("dst"), url.alias("target"), F.regexp_extract(url, site, 0).alias("site"), rest.alias("rest")
+    )
+    near = (F.col("site") == F.col("src_site")) & F.col("rest").startswith("/")
+    href = F.replace(F.when(near, F.col("rest")).otherwise(F.col("target")), F.lit("&"), F.lit("&amp;"))
+    anchor = F.concat(F.lit('<a href="'), href, F.lit('">on</a>'))
+    woven = (
+        edges.join(targets, "dst")
+        .groupBy("src")
+        .agg(F.array_sort(F.collect_list(F.struct("dst", anchor.alias("anchor")))).alias("found"))
+        .select(F.col("src").alias("page_id"), F.array_join("found.anchor", "").alias("anchors"))
+    )
+    article = F.concat(F.lit("<article>"), F.coalesce("anchors", F.lit("")))
+    first = stored.groupBy(normalize_url(url).alias("url")).agg(F.min("page_id").alias("page_id"))
+    return (
+        stored.drop("url")
+        .join(first, "page_id")
+        .join(woven, "page_id", "left")
+        .select("page_id", "url", F.replace("html", F.lit("<article>"), article).alias("html"))
     )
-    return ids.select(p.cast("string").alias("url")), edges
 
 
-GRAPH_SQL = """links AS (
-  SELECT cast(src AS varchar) AS src_url, cast(dst AS varchar) AS dst_url FROM (
-    SELECT page_id AS src, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 3]) AS dst
-    FROM pages) WHERE dst < (SELECT count(*) FROM pages))"""
+def linked_pages_sql(normal: str) -> str:
+    """``linked`` as SQL; ``normal`` is the normalised form of ``url``."""
+    return rf"""hosted AS (SELECT page_id, url, html, regexp_extract(url, '^https?://[^/?#]*') AS site,
+    regexp_replace(url, '^https?://[^/?#]*', '') AS rest FROM pages WHERE html IS NOT NULL),
+  woven AS (SELECT e.page_id, string_agg('<a href="' || replace(CASE WHEN t.site = e.site AND starts_with(t.rest, '/')
+      THEN t.rest ELSE t.url END, '&', '&amp;') || '">on</a>', '' ORDER BY t.page_id) AS anchors
+    FROM (SELECT page_id, site, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 3]) AS dst FROM hosted) e
+    JOIN hosted t ON t.page_id = e.dst GROUP BY e.page_id),
+  linked AS (SELECT page_id, {normal} AS url, replace(html, '<article>', '<article>' || coalesce(anchors, '')) AS html
+    FROM hosted LEFT JOIN woven USING (page_id) QUALIFY row_number() OVER (PARTITION BY {normal} ORDER BY page_id) = 1)"""
 
 
 def robots(spark: SparkSession, folder: str) -> DataFrame:

@@ -166,3 +166,34 @@ def test_seeds(spark):
     urls = spark.createDataFrame([("http://a/x",), ("http://a/y",)], "url string")
     assert pairs(tables.seed_urls(urls)) == [("http://a/x", 10), ("http://a/y", 10)]
     assert tables.robots_urls(urls).collect()[0][0] == "http://a/robots.txt"
+
+
+def test_strict_order_over_links_in_pages(spark, small):
+    from pageloom.operators import extract
+    from pageloom.plans import views
+
+    pages = views.linked_pages(spark, small).cache()
+    found = extract.links(extract.page_nodes(pages), from_cleaned=False, patterns=None).cache()
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+    links = {}
+    for r in found.collect():
+        links.setdefault(r["src_url"], []).append(r["dst_url"])
+    seeds = [(urls[0], 10), (urls[7], 10)]
+    got = frontier.crawl(queue(spark, seeds), pages.select("url"), found, max_pages=12, batch=1)
+    order = [tuple(r)[:2] for r in got.orderBy("round").select("url", "priority").collect()]
+    want = one_page_at_a_time(seeds, set(urls.values()), links, 12)
+    assert [u for u, _ in order] == want and len(want) > 8
+    assert [p for _, p in order] == [10, 10, *[1] * (len(want) - 2)]
+
+
+def test_save_crawled(spark, tmp_path):
+    from pageloom.sources import store
+
+    text = "<article>" + "word " * 60 + "</article>"
+    rows = [("http://a.com/1", text), ("http://a.com/2", text), ("http://a.com/3", "<p>short</p>"), ("http://a.com/4", text + "x")]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    reached = spark.createDataFrame([(u,) for u, _ in rows[:3]], "url string")
+    at = F.lit("2024-01-01").cast("timestamp")
+    written = frontier.save_crawled(spark, str(tmp_path / "t"), pages, reached, at)
+    assert [r["url"] for r in written.collect()] == ["http://a.com/1"]
+    assert store.read_content(spark, str(tmp_path / "t")).count() == 1
