@@ -173,7 +173,8 @@ def test_strict_order_over_links_in_pages(spark, small):
     from pageloom.plans import views
 
     pages = views.linked_pages(spark, small).cache()
-    found = extract.links(extract.page_nodes(pages), from_cleaned=False, patterns=None).cache()
+    found = extract.links(extract.page_nodes(pages), from_cleaned=False, patterns=None)
+    found = found.join(pages.select(F.col("url").alias("dst_url")), "dst_url", "left_semi").cache()
     urls = {r["page_id"]: r["url"] for r in pages.collect()}
     links = {}
     for r in found.collect():
