@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -92,52 +91,6 @@ def reindex(content: DataFrame, indexed_at: Column | None = None) -> DataFrame:
     return upsert(None, prepare_documents(content, indexed_at))
 
 
-# A written index is a folder of deltas, ``delta=0`` and up. Writing and deleting only append; the
-# last delta that names a document decides about it when the index is read.
-
-
-def _append(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Each writer task writes what it has, so a delta of any size is spread over all of them."""
-    try:
-        last = spark.read.parquet(path).agg(F.max("delta")).first()[0]  # from the folder names
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        last = None
-    number = 0 if last is None else int(last) + 1
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/delta={number}")
-
-
-def bulk_index(spark: SparkSession, path: str, documents: DataFrame) -> None:
-    """Upsert into the written index at ``path``; the cost follows the new documents alone."""
-    _append(spark, path, upsert(None, documents).withColumn("deleted", F.lit(False)))
-
-
-def bulk_delete(spark: SparkSession, path: str, deletes: DataFrame) -> None:
-    """Delete the listed hashes from the written index; unknown hashes are no error."""
-    marks = deletes.where("content_hash is not null").select("content_hash").distinct()
-    _append(spark, path, marks.withColumn("deleted", F.lit(True)))
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of the written index, by the last delta that names them.
-
-    Only keys are compared: each task keeps its own last row of a key before the shuffle.
-    """
-    rows = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(path)
-    last = W.partitionBy("content_hash", _own_url()).orderBy(F.desc("delta"))
-    return (
-        rows.withColumn("_n", F.row_number().over(last))
-        .where((F.col("_n") == 1) & ~F.col("deleted"))
-        .drop("_n", "delta", "deleted")
-    )
-
-
-def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write the present documents of the index at ``path`` as the single delta of ``target``."""
-    _append(spark, target, read_index(spark, path).withColumn("deleted", F.lit(False)))
-
-
 def postings(
     index: DataFrame, fields: Sequence[str] = FIELDS, key: str = "content_hash", mark: bool = False
 ) -> DataFrame:

@@ -22,12 +22,12 @@ K1, B = 1.2, 0.75
 DECIMALS = 4  # scores are compared at this precision, so that summing order cannot reorder hits
 
 
-def _weight(n_docs: Column, df: Column) -> Column:
+def weight(n_docs: Column, df: Column) -> Column:
     """The part of a term's score that is equal for all documents."""
     return F.lit(K1 + 1.0) * F.log1p((n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def _saturation(tf: Column, dl: Column, avg_dl: Column) -> Column:
+def saturation(tf: Column, dl: Column, avg_dl: Column) -> Column:
     return tf / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / avg_dl))
 
 
@@ -105,10 +105,10 @@ def scan_scores(
         average = stats[f"{f}_dl"] / F.nullif(stats[f"{f}_n"], F.lit(0))
         parts = [
             F.lit(float(terms.count(t)))
-            * _weight(stats[f"{f}_n"], stats[f"{f}_{i}"])
+            * weight(stats[f"{f}_n"], stats[f"{f}_{i}"])
             * F.when(
                 F.col(f"_{f}_{i}") > 0,
-                _saturation(F.col(f"_{f}_{i}"), F.col(f"_{f}_dl"), average),
+                saturation(F.col(f"_{f}_{i}"), F.col(f"_{f}_dl"), average),
             ).otherwise(F.lit(0.0))
             for i, t in enumerate(distinct)
         ]
@@ -208,7 +208,7 @@ def score(
             "field",
             "term",
             "avg_dl",
-            (F.col("qtf") * _weight(F.col("n_docs"), F.col("df"))).alias("weight"),
+            (F.col("qtf") * weight(F.col("n_docs"), F.col("df"))).alias("weight"),
         )
     )
     weights = broadcast_if_small(cut(weighted))
@@ -216,7 +216,7 @@ def score(
         "query_id",
         key,
         "field",
-        (F.col("weight") * _saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("part"),
+        (F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("part"),
     )
     sums = [
         F.coalesce(F.sum(F.when(F.col("field") == f, F.col("part"))), F.lit(0.0))
@@ -247,6 +247,11 @@ def search(
         key, F.col("publish_date") if dated else F.lit(None).cast("date").alias("publish_date")
     )
     ranked = W.partitionBy("query_id").orderBy(*_order(key))
+    if where is None:
+        # Nothing but ties with the last hit can come before it, so the others need no date.
+        by_score = W.partitionBy("query_id").orderBy(F.desc("score"))
+        near = scores.withColumn("_n", F.rank().over(by_score)).where(F.col("_n") <= offset + size)
+        scores = broadcast_if_small(cut(near.drop("_n")))
     joined = (
         scores.join(facts, key)
         if dated or where is not None

@@ -17,6 +17,7 @@ from pageloom.operators import dedup, extract, feeds, frontier
 from pageloom.operators import index as ix
 from pageloom.operators import robots as rb
 from pageloom.operators import search as se
+from pageloom.operators import segments as sg
 from pageloom.operators import stats, suggest
 from pageloom.plans import views as vw
 from pageloom.session import cut, new_path
@@ -897,18 +898,23 @@ _LAST_OF_SPARSE = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY co
     SELECT url, content_hash, extracted_at AS indexed_at FROM ({_LAST_OF_SPARSE})"""
 )
 def index_bulk(spark, folder):
-    """The same over whole documents in a written index, where the later half is a second delta."""
+    """The same over whole documents in a written index, where the later half is a second segment."""
     path = _written_index(spark, folder)
-    return ix.read_index(spark, path).select("url", "content_hash", "indexed_at")
+    return sg.read_index(spark, path).select("url", "content_hash", "indexed_at")
 
 
-def _written_index(spark, folder):
-    path, half = new_path(spark, "index"), vw.moment("2024-01-01 06:00:00")
+def _halves(spark, folder):
+    half = vw.moment("2024-01-01 06:00:00")
     rows = vw.content(spark, folder)
     rows = rows.withColumn("content_hash", F.when(C("doc_id") % 10 > 0, C("content_hash")))
     docs = ix.prepare_documents(rows, C("extracted_at"))
-    ix.bulk_index(spark, path, docs.where(C("indexed_at") < half))
-    ix.bulk_index(spark, path, docs.where(C("indexed_at") >= half))
+    return docs.where(C("indexed_at") < half), docs.where(C("indexed_at") >= half)
+
+
+def _written_index(spark, folder):
+    path = new_path(spark, "index")
+    for half in _halves(spark, folder):
+        sg.bulk_index(spark, path, half)
     return path
 
 
@@ -922,9 +928,65 @@ def index_bulk_delete(spark, folder):
     """French hashes deleted from the written index, which is then compacted."""
     path, small = _written_index(spark, folder), new_path(spark, "index")
     french = vw.content(spark, folder).where(F.array_contains("tags", "fr") & (C("doc_id") % 10 > 0))
-    ix.bulk_delete(spark, path, french.select("content_hash"))
-    ix.compact(spark, path, small)
-    return ix.read_index(spark, small).select("url", "content_hash", F.md5("content").alias("content_md5"))
+    sg.bulk_delete(spark, path, french.select("content_hash"))
+    sg.compact(spark, path, small)
+    return sg.read_index(spark, small).select("url", "content_hash", F.md5("content").alias("content_md5"))
+
+
+_THREE = ((1, DOC_QUERY), (2, "antion"), (3, "the anble of zzz the"))
+_LIVE = f"""live AS (SELECT url, publish_date, {_clean_sql('title')} AS title, {_clean_sql('content')} AS content,
+    description, content_hash FROM ({_LAST_OF_SPARSE}) WHERE content_hash IS NULL OR content_hash NOT IN (
+      SELECT content_hash FROM sparse WHERE list_contains(tags, 'fr') AND content_hash IS NOT NULL))"""
+_THREE_TERMS = " UNION ALL ".join(
+    f"SELECT {i} AS query_id, unnest(string_split('{q}', ' ')) AS term" for i, q in _THREE
+)
+_LIVE_HITS = (
+    _with(vw.CONTENT_SQL, _SPARSE, _LIVE, _bm25_sql("live", "url", se.BOOSTS, _THREE_TERMS))
+    + """SELECT cast(query_id AS int) AS query_id, cast(rank AS int) AS rank, url, score FROM (
+      SELECT query_id, url, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
+        publish_date DESC NULLS LAST, coalesce('h:' || content_hash, 'u:' || url)) AS rank
+      FROM scored JOIN live USING (url)) WHERE rank <= 10"""
+)
+
+
+def _changed_index(spark, folder):
+    path = _written_index(spark, folder)
+    french = vw.content(spark, folder).where(F.array_contains("tags", "fr") & (C("doc_id") % 10 > 0))
+    sg.bulk_delete(spark, path, french.select("content_hash"))
+    return path
+
+
+@query(_LIVE_HITS)
+def search_segments(spark, folder):
+    """Three searches of an index written in two parts and deleted from, without a rebuild."""
+    queries = spark.createDataFrame(_THREE, "query_id int, query string")
+    return sg.top_hits(spark, _changed_index(spark, folder), queries)
+
+
+@query(_LIVE_HITS)
+def search_merged(spark, folder):
+    """The same after its segments were merged and what they were made of is gone."""
+    path = _changed_index(spark, folder)
+    sg.merge(spark, path, everything=True)
+    sg.expire(spark, path)
+    return sg.top_hits(spark, path, spark.createDataFrame(_THREE, "query_id int, query string"))
+
+
+@query(
+    f"""WITH {vw.CONTENT_SQL}, {_SPARSE}, last AS ({_LAST_OF_SPARSE}),
+    halves AS (SELECT extracted_at < timestamp '2024-01-01 06:00:00' AS early,
+      coalesce(content_hash, url) AS k FROM sparse)
+    SELECT (SELECT count(DISTINCT k) FROM halves WHERE early) AS first_written,
+      (SELECT count(DISTINCT k) FROM halves WHERE NOT early) AS then_written,
+      (SELECT count(*) FROM last) AS total"""
+)
+def index_bulk_counts(spark, folder):
+    """Numbers of documents that two writes report, and of the index after them."""
+    path = new_path(spark, "index")
+    written = [sg.bulk_index(spark, path, half) for half in _halves(spark, folder)]
+    return spark.createDataFrame(
+        [(*written, sg.count(spark, path))], "first_written bigint, then_written bigint, total bigint"
+    )
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pageloom.operators import index as ix
 from pageloom.operators import search as se
+from pageloom.operators import segments as sg
 from pageloom.operators import suggest
 from pageloom.plans import views as vw
 from pageloom.session import new_path
@@ -158,18 +159,18 @@ def test_upsert_and_bulk(spark):
     after = {"h1": "b", "h2": "d", "h3": "e"}
     assert urls(ix.upsert(start, change)) == after
     path = new_path(spark, "index")
-    ix.bulk_index(spark, path, start)
-    ix.bulk_index(spark, path, change)
-    assert urls(ix.read_index(spark, path)) == after
-    ix.bulk_delete(spark, path, spark.createDataFrame([("h2",), ("no",), (None,)], "content_hash string"))
-    assert urls(ix.read_index(spark, path)) == {"h1": "b", "h3": "e"}
-    ix.bulk_index(spark, path, rows(("f", "h2", 0), ("x", None, 1), ("y", None, 1)))
-    ix.bulk_index(spark, path, rows(("x", None, 2)))
-    found = ix.read_index(spark, path)
+    sg.bulk_index(spark, path, start)
+    sg.bulk_index(spark, path, change)
+    assert urls(sg.read_index(spark, path)) == after
+    sg.bulk_delete(spark, path, spark.createDataFrame([("h2",), ("no",), (None,)], "content_hash string"))
+    assert urls(sg.read_index(spark, path)) == {"h1": "b", "h3": "e"}
+    sg.bulk_index(spark, path, rows(("f", "h2", 0), ("x", None, 1), ("y", None, 1)))
+    sg.bulk_index(spark, path, rows(("x", None, 2)))
+    found = sg.read_index(spark, path)
     assert sorted(r["url"] for r in found.collect()) == ["b", "e", "f", "x", "y"]
     other = new_path(spark, "index")
-    ix.compact(spark, path, other)
-    assert sorted(map(tuple, ix.read_index(spark, other).collect())) == sorted(map(tuple, found.collect()))
+    sg.compact(spark, path, other)
+    assert sorted(map(tuple, sg.read_index(spark, other).collect())) == sorted(map(tuple, found.collect()))
     nulls = ix.upsert(rows(("x", None, 1), ("z", None, 1)), rows(("x", None, 2), ("y", None, 2)))
     assert sorted(r["url"] for r in nulls.collect()) == ["x", "y", "z"]
     left = ix.delete(start, spark.createDataFrame([("h1",), ("no",)], "content_hash string"))
