@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom import config
 from pageloom.functions.arrays import let, top_values
-from pageloom.functions.chars import NON_WORDS, WORD_CHARS, plain_spaces
+from pageloom.functions.chars import WORD_CHARS, plain_spaces
+from pageloom.functions.words import UNSPACED, words
 
 
 def clean_text(text: Column) -> Column:
@@ -21,8 +21,8 @@ def clean_text(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The index analyzer: lower-cased word tokens, no stop words."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORDS), lambda t: t != "")
+    """The index analyzer: lower-cased words, no stop words."""
+    return words(text)
 
 
 def word_set(text: Column) -> Column:
@@ -178,17 +178,20 @@ def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """The analyzer of :func:`tokens` for a query given as an argument."""
-    return re.findall(r"\w+", query.lower())
+    """The words of :func:`tokens` for a query given as an argument."""
+    return SparkSession.active().range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]
 
 
 def hit_pattern(terms: Column) -> Column:
-    """Regular expression finding any of an array of analyzed terms as a whole word."""
-    return F.concat(
-        F.lit(f"(?iu)(?<![{WORD_CHARS}])("),
-        F.array_join(F.array_distinct(terms), "|"),
-        F.lit(f")(?![{WORD_CHARS}])"),
+    """Regular expression finding any of an array of analyzed terms as a whole word; a term of a
+    script without spaces wherever it stands."""
+    inside = F.transform(
+        F.array_distinct(terms),
+        lambda t: F.when(F.rlike(t, F.lit("^" + UNSPACED)), t).otherwise(
+            F.concat(F.lit(f"(?<![{WORD_CHARS}])"), F.regexp_replace(t, "[.]", r"\\."), F.lit(f"(?![{WORD_CHARS}])"))
+        ),
     )
+    return F.concat(F.lit("(?iu)(?:"), F.array_join(inside, "|"), F.lit(")"))
 
 
 def highlight(text: Column, pattern: Column, fragment_size: int, fragments: int) -> Column:
@@ -210,4 +213,4 @@ def highlight(text: Column, pattern: Column, fragment_size: int, fragments: int)
         ),
     )
     best = F.slice(F.sort_array(F.filter(scored, lambda s: s["k"] < 0)), 1, fragments)
-    return F.transform(best, lambda s: F.regexp_replace(s["p"], pattern, F.lit("<em>$1</em>")))
+    return F.transform(best, lambda s: F.regexp_replace(s["p"], pattern, F.lit("<em>$0</em>")))

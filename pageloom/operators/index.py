@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pageloom.functions import text as tx
 from pageloom.functions.arrays import value_counts
 from pageloom.functions.urls import url_netloc
+from pageloom.session import broadcast_if_small, cut
 
 FIELDS = ("title", "content", "description")
 
@@ -142,19 +143,26 @@ def write_postings(table: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def read_postings(
-    spark: SparkSession, path: str, terms: DataFrame | Sequence[str], buckets: int = 64
+    spark: SparkSession, path: str, terms: DataFrame | Sequence[str], buckets: int = 64, listed: int = 1_000
 ) -> DataFrame:
     """Postings of the given terms, a list or a table with a column ``term``.
 
     The buckets of the terms, at most ``buckets`` numbers, become a filter on folders, so no other
-    folder is read.
+    folder is read. Up to ``listed`` terms are a filter of the scan as well, which skips row groups by
+    it as they are sorted; more are joined, and sent to the postings if their measured size allows.
     """
     if not isinstance(terms, DataFrame):
         terms = spark.createDataFrame([(t,) for t in terms], "term string")
     asked = terms.select("term").distinct()
+    few = [r["term"] for r in asked.limit(listed + 1).collect()]
+    if len(few) > listed:
+        asked = cut(asked)
     found = sorted(r["bucket"] for r in asked.select(_bucket(buckets).alias("bucket")).distinct().collect())
     stored = spark.read.parquet(path).where(F.col("bucket").isin(found))
-    return stored.join(asked, "term", "left_semi").drop("bucket")
+    if len(few) <= listed:
+        return stored.where(F.col("term").isin(few)).drop("bucket")
+    kept = [c for c in stored.columns if c != "bucket"]
+    return stored.join(broadcast_if_small(asked), "term", "left_semi").select(*kept)
 
 
 def field_stats(index: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:

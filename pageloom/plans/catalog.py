@@ -12,6 +12,7 @@ from pageloom import config
 from pageloom.functions import text as tx
 from pageloom.functions import urls as ux
 from pageloom.functions.chars import NON_WORDS, SPACE_CHARS, SPACES, WORD_CHARS
+from pageloom.functions.words import words_sql
 from pageloom.operators import content as ct
 from pageloom.operators import dedup, extract, feeds, frontier
 from pageloom.operators import index as ix
@@ -69,7 +70,7 @@ def ranked_search(spark, folder):
 
 
 def _tokens(column: str) -> str:
-    return f"list_filter(string_split_regex(lower({column}), '{NON_WORDS}'), lambda t: t <> '')"
+    return words_sql(column)
 
 
 def _bm25_sql(

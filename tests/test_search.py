@@ -120,7 +120,11 @@ def test_postings_on_disk(spark, docs):
     assert len({r[0] for r in read.select(F.input_file_name()).distinct().collect()}) > 1
     some = ix.read_postings(spark, path, ["fox", "absent"], buckets=4)
     assert {r["term"] for r in some.collect()} == {"fox"}
-    assert "PartitionFilters: [bucket" in some._jdf.queryExecution().toString()
+    plan = some._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "(bucket" in plan and "Exchange" not in plan
+    assert "In(term, [absent,fox])" in plan.replace("[fox,absent]", "[absent,fox]")
+    joined = ix.read_postings(spark, path, ["fox", "absent"], buckets=4, listed=1)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, some.collect()))
     marked = ix.stored_field_stats(ix.postings(docs, mark=True))
     want = {r["field"]: (r["n_docs"], r["avg_dl"]) for r in ix.field_stats(docs).collect() if r["n_docs"]}
     assert {r["field"]: (r["n_docs"], r["avg_dl"]) for r in marked.collect()} == want
