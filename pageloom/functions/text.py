@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageloom import config
 from pageloom.functions.arrays import let, top_values
 from pageloom.functions.chars import WORD_CHARS, plain_spaces
+from pageloom.functions.dates import parse_date as parse_date
 from pageloom.functions.words import UNSPACED, words
 
 
@@ -136,47 +137,6 @@ def iso_date(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
 
 
-# Date spellings tried in turn; the first that fits the whole text wins.
-DATE_FORMATS = (
-    "yyyy-M-d'T'HH:mm:ss[.SSSSSS][.SSS][XXX][XX]",
-    "yyyy-M-d'T'HH:mm[XXX][XX]",
-    "yyyy-M-d HH:mm:ss[.SSSSSS][.SSS][ ][XXX][XX][z]",
-    "yyyy-M-d HH:mm",
-    "yyyy-M-d",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "yyyyMMdd",
-    "M/d/yyyy HH:mm:ss",
-    "M/d/yyyy",
-    "d.M.yyyy HH:mm",
-    "d.M.yyyy",
-    "MMMM d, yyyy HH:mm:ss",
-    "MMMM d, yyyy h:mm a",
-    "MMMM d, yyyy HH:mm",
-    "MMMM d, yyyy",
-    "MMM d, yyyy HH:mm:ss",
-    "MMM d, yyyy h:mm a",
-    "MMM d, yyyy",
-    "d MMMM yyyy HH:mm[:ss]",
-    "d MMMM yyyy",
-    "d MMM yyyy HH:mm:ss",
-    "d MMM yyyy",
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm:ss XX",
-)
-
-
-def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Timestamp from the first format that fits, else null.
-
-    Missing parts are never filled from today's date, so equal input gives equal output.
-    """
-    # A leading day name says nothing new, and the formats cannot read one.
-    trimmed = F.regexp_replace(F.trim(text), r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +", "")
-    trimmed = F.regexp_replace(trimmed, r"(?i)\b(sep)t\b\.?", "$1")
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in formats])
-
-
 def query_terms(query: str) -> list[str]:
     """The words of :func:`tokens` for a query given as an argument."""
     return SparkSession.active().range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]

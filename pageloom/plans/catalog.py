@@ -484,21 +484,30 @@ def rss_date(spark, folder):
     )
 
 
+# Patterns of the formatter, and how much of the moment each tells: all, the minute, the day, the month, nothing.
 _DATE_SPELLINGS = (
-    "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "MMMM d, yyyy",
-    "EEE, d MMM yyyy HH:mm:ss 'GMT'", "'posted' d MMMM",
+    ("yyyy-MM-dd'T'HH:mm:ss", "second"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "second"), ("yyyy-MM-dd", "day"),
+    ("MMMM d, yyyy", "day"), ("EEE, d MMM yyyy HH:mm:ss 'GMT'", "second"), ("'posted' d MMMM", None),
+    ("dd-MMM-yyyy", "day"), ("yyyy-MM-dd h:mm a", "minute"), ("h:mm a, MMM d, yyyy", "minute"), ("MMMM yyyy", "month"),
+    ("yyyy'年'M'月'd'日'", "day"), ("d.M.yy HH:mm", "minute"), ("M/d/yyyy", "day"), ("yyyyMMdd'T'HHmmss", "second"),
+    ("yyyy-DDD", "day"), ("EEE MMM d HH:mm:ss 'UTC' yyyy", "second"), ("d 'de' MMMM 'de' yyyy 'às' H'h'mm", "minute"),
+    ("'the' d'th of' MMMM yyyy", "day"), ("MMM. d yyyy, hh:mm:ss a 'EST'", "second"), ("HH:mm", None),
+)
+_READ = " ".join(
+    f"WHEN {i} THEN " + ("NULL" if part is None else f"date_trunc('{part}', extracted_at)")
+    + (" + INTERVAL 5 HOURS" if "EST" in pattern else "")
+    for i, (pattern, part) in enumerate(_DATE_SPELLINGS)
 )
 
 
 @query(
     _with(vw.CONTENT_SQL)
-    + """SELECT doc_id, CASE doc_id % 6 WHEN 5 THEN NULL WHEN 2 THEN date_trunc('day', extracted_at)
-      WHEN 3 THEN date_trunc('day', extracted_at) ELSE extracted_at END AS parsed FROM content"""
+    + f"SELECT doc_id, CASE doc_id % {len(_DATE_SPELLINGS)} {_READ} END AS parsed FROM content"
 )
 def parse_date(spark, folder):
-    kind, at = C("doc_id") % 6, C("extracted_at")
+    kind, at = C("doc_id") % len(_DATE_SPELLINGS), C("extracted_at")
     spelt = F.coalesce(
-        *[F.when(kind == i, F.date_format(at, f)) for i, f in enumerate(_DATE_SPELLINGS)]
+        *[F.when(kind == i, F.date_format(at, f)) for i, (f, _) in enumerate(_DATE_SPELLINGS)]
     )
     return vw.content(spark, folder).select(
         "doc_id", vw.ntz(tx.parse_date(spelt)).alias("parsed")
