@@ -156,43 +156,68 @@ def resolve_url(base: Column, href: Column) -> Column:
     )
 
 
+def _candidates(labels: Column) -> Column:
+    """For each tail of a host, the rules that could fit it: ``struct<rule, exception, size>``, where
+    ``size`` labels are the suffix if it does."""
+    n = F.size(labels)
+
+    def of_tail(size: Column) -> Column:
+        tail = F.array_join(F.slice(labels, n - size + 1, size), ".")
+        rest = F.array_join(F.slice(labels, n - size + 2, F.greatest(size - 1, F.lit(0))), ".")
+
+        def rule(text: Column, exception: bool, labels_of_it: Column) -> Column:
+            return F.struct(text.alias("rule"), F.lit(exception).alias("exception"), labels_of_it.alias("size"))
+
+        return F.array(
+            rule(tail, False, size),
+            rule(F.when(size > 1, F.concat(F.lit("*."), rest)), False, size),
+            rule(F.when(size > 1, F.concat(F.lit("!"), tail)), True, size - 1),
+        )
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), n), of_tail))
+
+
+def _unicode(name: Column) -> Column:
+    """``name`` with its labels that begin with ``xn--`` decoded; other names see no Python."""
+    coded = F.when(name.contains("xn--"), name)
+    return F.when(coded.isNotNull(), F.pandas_udf(workers.decode_labels, "string")(coded)).otherwise(name)
+
+
 def domain_info(urls: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFrame:
-    """Adds ``info struct<domain, subdomain, suffix, registered_domain>`` by longest suffix.
+    """Adds ``info struct<domain, subdomain, suffix, registered_domain>`` by the rules of ``suffixes``.
+
+    A rule is a suffix; ``*.`` before it stands for any one more label, and ``!`` before a name says
+    that the name is registered, although a rule with ``*.`` makes it a suffix. An exception goes before
+    all else, then the longest fit. The work is done once per distinct host, and rules are found by an
+    equi-join on the host's tails. Names may be written in Unicode or in ASCII (``xn--``) on either side;
+    the parts come as the host has them. A dot at the end of a host counts for nothing.
 
-    The work is done once per distinct host. Each host is split into its dotted tails, which are
-    equi-joined to the ``suffixes(suffix)`` table. A host without a listed suffix has neither suffix
-    nor registered domain: its last label is its domain, an address is one as a whole.
+    A host without a fitting rule has neither suffix nor registered domain: its last label is its
+    domain, an address is one as a whole. A host that is a suffix itself has no domain.
     """
     located = urls.withColumn("_netloc", url_netloc(F.col(url)))
-    host = F.lower(F.regexp_replace(F.regexp_replace("_netloc", r"^.*@", ""), r":\d*$", ""))
+    plain = F.regexp_replace(F.regexp_replace("_netloc", r"^.*@", ""), r":\d*$", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(plain), r"[\x{3002}\x{ff0e}\x{ff61}]", "."), r"\.$", "")
     hosts = located.select("_netloc").distinct().withColumn("_host", host)
-    labels = F.split("_host", r"\.")
-    tails = hosts.select(
-        "_netloc",
-        "_host",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size(labels)),
-                lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-            )
-        ).alias("suffix"),
-    )
+    hosts = hosts.withColumn("_known", _unicode(F.col("_host")))
+    rules = suffixes.select(_unicode(F.lower("suffix")).alias("rule")).distinct()
     best = (
-        tails.join(suffixes.select("suffix").distinct(), "suffix")
+        hosts.select("_netloc", "_host", F.inline(_candidates(F.split("_known", r"\."))))
+        .join(rules, "rule")
         .groupBy("_netloc", "_host")
-        .agg(F.max_by("suffix", F.length("suffix")).alias("suffix"))
+        .agg(F.max(F.struct("exception", "size"))["size"].alias("size"))
     )
-    rest = F.expr("left(_host, greatest(length(_host) - length(suffix) - 1, 0))")
-    domain = F.substring_index(rest, ".", -1)
+    labels = F.split("_host", r"\.")
+    n = F.size(labels) - F.col("size")
+    suffix = F.array_join(F.slice(labels, n + 1, F.col("size")), ".")
+    domain = F.coalesce(F.get(labels, n - 1), F.lit(""))
     info = best.select(
         "_netloc",
         F.struct(
             domain.alias("domain"),
-            F.regexp_extract(rest, r"^(.*)\.[^.]*$", 1).alias("subdomain"),
-            F.col("suffix"),
-            F.when(domain != "", F.concat(domain, F.lit("."), F.col("suffix")))
-            .otherwise("")
-            .alias("registered_domain"),
+            F.array_join(F.slice(labels, F.lit(1), F.greatest(n - 1, F.lit(0))), ".").alias("subdomain"),
+            suffix.alias("suffix"),
+            F.when(domain != "", F.concat(domain, F.lit("."), suffix)).otherwise("").alias("registered_domain"),
         ).alias("_found"),
     )
     address = host.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*)$")

@@ -164,3 +164,17 @@ def node_batches(
 
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([absolute(b, h) for b, h in zip(base, href)], dtype=object)
+
+
+def _decoded(label: str) -> str:
+    if label.startswith("xn--"):
+        try:
+            return label[4:].encode("ascii").decode("punycode")
+        except UnicodeError:  # no such name; it stays as it is
+            pass
+    return label
+
+
+def decode_labels(names: pd.Series) -> pd.Series:
+    """Names with their ASCII-coded labels in Unicode; null stays null."""
+    return names.map(lambda n: None if n is None else ".".join(map(_decoded, n.split("."))))

@@ -313,36 +313,44 @@ def same_domain_links(spark, folder):
     )
 
 
-def _suffixes(spark, folder):
-    """Suffix list derived from the data: last labels of all hosts, and one two-label suffix."""
+def _suffix_rules(pages: DataFrame) -> DataFrame:
+    """Rules derived from the hosts: their last labels, one suffix of two labels, any name under
+    another, and exceptions from that for the names that have a blog."""
     host = F.regexp_extract("url", r"^https?://([^/?#:]*)", 1)
-    pages = tb.read_table(spark, folder, "pages", ["url"])
     last = F.substring_index(host, ".", -1)
-    return (
-        pages.select(F.explode(F.array(last, F.concat(F.lit("example."), last))).alias("suffix"))
-        .where(C("suffix") != "example.com")
-        .distinct()
-    )
+    blog = host.startswith("blog.") & host.endswith(".example.net")
+    rules = F.array(
+        last, F.concat(F.lit("example."), last), F.lit("*.example.net"),
+        F.when(blog, F.concat(F.lit("!"), F.regexp_replace(host, r"^blog\.", ""))),
+    )
+    found = pages.select(F.explode(rules).alias("suffix")).distinct()
+    return found.where(C("suffix").isNotNull() & ~C("suffix").isin("example.com", "example.net"))
 
 
 @query(
-    r"""WITH hosts AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host
-      FROM pages),
-    suffixes AS (SELECT DISTINCT suffix FROM (
-      SELECT unnest([split_part(host, '.', -1), 'example.' || split_part(host, '.', -1)]) AS suffix
-      FROM hosts) WHERE suffix <> 'example.com'),
-    best AS (SELECT page_id, host, arg_max(suffix, length(suffix)) AS suffix FROM hosts
-      JOIN suffixes ON ends_with(host, '.' || suffix) GROUP BY page_id, host),
-    rest AS (SELECT *, left(host, length(host) - length(suffix) - 1) AS rest FROM best)
-    SELECT page_id, split_part(rest, '.', -1) AS domain,
-      CASE WHEN contains(rest, '.')
-        THEN left(rest, length(rest) - length(split_part(rest, '.', -1)) - 1) ELSE '' END
-        AS subdomain,
-      suffix, split_part(rest, '.', -1) || '.' || suffix AS registered_domain FROM rest"""
+    r"""WITH hosts AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host FROM pages),
+    rules AS (SELECT DISTINCT rule FROM (SELECT unnest([split_part(host, '.', -1),
+        'example.' || split_part(host, '.', -1), '*.example.net',
+        CASE WHEN starts_with(host, 'blog.') AND ends_with(host, '.example.net') THEN '!' || substr(host, 6) END])
+        AS rule FROM hosts) WHERE rule IS NOT NULL AND rule NOT IN ('example.com', 'example.net')),
+    split AS (SELECT page_id, host, string_split(host, '.') AS l FROM hosts),
+    tails AS (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM split),
+    fits AS (SELECT page_id, l, CASE WHEN starts_with(rule, '!') THEN k - 1 ELSE k END AS k,
+        starts_with(rule, '!') AS exception FROM tails JOIN rules
+      ON rule IN (array_to_string(l[len(l) - k + 1:], '.'), '!' || array_to_string(l[len(l) - k + 1:], '.'))
+        OR (k > 1 AND rule = '*.' || array_to_string(l[len(l) - k + 2:], '.'))),
+    best AS (SELECT page_id, l, arg_max(k, exception::int * 1000 + k) AS k FROM fits GROUP BY page_id, l),
+    parts AS (SELECT page_id, coalesce(l[len(l) - k], '') AS domain,
+      array_to_string(l[:len(l) - k - 1], '.') AS subdomain, array_to_string(l[len(l) - k + 1:], '.') AS suffix,
+      len(l) - k AS n FROM best)
+    SELECT page_id, CASE WHEN n > 0 THEN domain ELSE '' END AS domain, CASE WHEN n > 1 THEN subdomain ELSE '' END
+      AS subdomain, suffix, CASE WHEN n > 0 THEN domain || '.' || suffix ELSE '' END AS registered_domain FROM parts"""
 )
 def domain_info(spark, folder):
+    """Every second page's host with a dot at its end."""
     pages = tb.read_table(spark, folder, "pages", ["page_id", "url"])
-    return ux.domain_info(pages, _suffixes(spark, folder)).select("page_id", "info.*")
+    dotted = F.when(C("page_id") % 2 == 0, F.regexp_replace("url", r"^(https?://[^/?#]*)", "$1.")).otherwise(C("url"))
+    return ux.domain_info(pages.withColumn("url", dotted), _suffix_rules(pages)).select("page_id", "info.*")
 
 
 @query(

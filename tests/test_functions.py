@@ -229,3 +229,34 @@ def test_highlight(spark):
     assert got[0] == "The <em>fox</em>, the <em>dog</em>."
     assert len(got) == 2 and "<em>FOX</em> foxes" in got[1]
     assert all(len(p.replace("<em>", "").replace("</em>", "")) <= 20 for p in got)
+
+
+def test_suffix_rules(spark):
+    rules = ["com", "uk", "co.uk", "*.ck", "!www.ck", "公司.cn", "cn", "xn--p1ai", "*.kawasaki.jp", "!city.kawasaki.jp", "jp"]
+    golden = {
+        "foo.ck": ("", "", "foo.ck", ""),
+        "a.foo.ck": ("a", "", "foo.ck", "a.foo.ck"),
+        "b.a.foo.ck": ("a", "b", "foo.ck", "a.foo.ck"),
+        "www.ck": ("www", "", "ck", "www.ck"),
+        "x.www.ck": ("www", "x", "ck", "www.ck"),
+        "x.co.uk.": ("x", "", "co.uk", "x.co.uk"),
+        "X.Co.Uk": ("x", "", "co.uk", "x.co.uk"),
+        "co.uk": ("", "", "co.uk", ""),
+        "bücher.com": ("bücher", "", "com", "bücher.com"),
+        "www.xn--bcher-kva.com": ("xn--bcher-kva", "www", "com", "xn--bcher-kva.com"),
+        "a.公司.cn": ("a", "", "公司.cn", "a.公司.cn"),
+        "a.xn--55qx5d.cn": ("a", "", "xn--55qx5d.cn", "a.xn--55qx5d.cn"),
+        "пример.рф": ("пример", "", "рф", "пример.рф"),
+        "b.city.kawasaki.jp": ("city", "b", "kawasaki.jp", "city.kawasaki.jp"),
+        "b.c.kawasaki.jp": ("b", "", "c.kawasaki.jp", "b.c.kawasaki.jp"),
+        "kawasaki.jp": ("kawasaki", "", "jp", "kawasaki.jp"),
+        "a。co．uk": ("a", "", "co.uk", "a.co.uk"),
+        "host.unknown": ("unknown", "host", "", ""),
+        "xn--.unknown": ("unknown", "xn--", "", ""),
+        "127.0.0.1": ("127.0.0.1", "", "", ""),
+        "user@a.com:8080": ("a", "", "com", "a.com"),
+    }
+    urls = spark.createDataFrame([(f"http://{h}/p",) for h in golden], "url string")
+    table = spark.createDataFrame([(r,) for r in rules], "suffix string")
+    got = {r["url"][7:-2]: tuple(r["info"]) for r in ux.domain_info(urls, table).collect()}
+    assert got == golden
