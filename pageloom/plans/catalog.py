@@ -1092,9 +1092,9 @@ _SUGGEST = f"""terms AS (SELECT DISTINCT unnest({_tokens('query')}) AS term FROM
   suggested AS (SELECT *, row_number() OVER (PARTITION BY term
       ORDER BY doc_freq DESC, similarity DESC, suggestion) AS rank FROM (
     SELECT t.term, v.term AS suggestion, v.doc_freq, 1.0::double
-      - levenshtein(t.term, v.term) / least(length(t.term), length(v.term)) AS similarity
+      - damerau_levenshtein(t.term, v.term) / least(length(t.term), length(v.term)) AS similarity
     FROM terms t JOIN vocabulary v ON left(t.term, 1) = left(v.term, 1)
-      AND levenshtein(t.term, v.term) <= 2
+      AND damerau_levenshtein(t.term, v.term) <= 2
     WHERE t.term NOT IN (SELECT term FROM vocabulary) AND length(t.term) >= 4)
     WHERE similarity >= 0.5)"""
 _CORRECTED = f"""corrected AS (SELECT query_id, query,
@@ -1113,7 +1113,9 @@ _SPELL = (vw.PRODUCTS_SQL, vw.MISSPELT_SQL, _VOCABULARY, _SUGGEST)
 )
 def spell_suggest(spark, folder):
     terms = vw.misspelt(spark, folder).select(F.explode(tx.tokens(C("query"))).alias("term"))
-    found = suggest.suggestions(terms, _vocabulary(spark, folder))
+    path, known = new_path(spark, "deletions"), _vocabulary(spark, folder)
+    suggest.write_deletions(known, path)
+    found = suggest.suggestions(terms, known, index=path)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

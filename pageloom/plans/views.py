@@ -199,13 +199,15 @@ PRODUCTS_SQL = """products AS (
 
 
 def misspelt(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct part names with errors: ``query_id, query``. The last letter of each word of five
-    or more is dropped and the third of each longer word doubled."""
+    """Distinct part names with errors: ``query_id, query``. In one form the last letter of each word
+    of five or more is dropped and the third of each longer word doubled, in the other the second and
+    third letters of each word are swapped."""
     name = F.lower("p_name")
     wrong = F.regexp_replace(F.regexp_replace(name, r"([a-z]{4})[a-z](?![a-z])", "$1"), r"\b([a-z]{2})([a-z])", "$1$2$2")
+    swapped = F.regexp_replace(name, r"\b([a-z])([a-z])([a-z])", "$1$3$2")
     return (
         read_table(spark, folder, "part", ["p_name"])
-        .select(wrong.alias("query"))
+        .select(F.explode(F.array(wrong, swapped)).alias("query"))
         .distinct()
         .select(F.col("query").alias("query_id"), "query")
     )
@@ -213,6 +215,7 @@ def misspelt(spark: SparkSession, folder: str) -> DataFrame:
 
 MISSPELT_SQL = r"""misspelt AS (
   SELECT DISTINCT query AS query_id, query FROM (
-    SELECT regexp_replace(regexp_replace(lower(p_name), '([a-z]{4})[a-z]( |$)', '\1\2', 'g'),
-                          '\b([a-z]{2})([a-z])', '\1\2\2', 'g') AS query
+    SELECT unnest([regexp_replace(regexp_replace(lower(p_name), '([a-z]{4})[a-z]( |$)', '\1\2', 'g'),
+                          '\b([a-z]{2})([a-z])', '\1\2\2', 'g'),
+                   regexp_replace(lower(p_name), '\b([a-z])([a-z])([a-z])', '\1\3\2', 'g')]) AS query
     FROM part))"""

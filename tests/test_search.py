@@ -216,19 +216,48 @@ def test_corrected_search(spark, products):
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
+    """Restricted Damerau distance."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
+        row = [i]
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            row.append(min(rows[-1][j] + 1, row[j - 1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def test_edits(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [("wigdte", "widget"), ("ca", "abc"), ("", "ab"), ("a", ""), ("", ""), ("éa漢", "aé漢")]
+    pairs += [("".join(rng.choices("abc", k=rng.randrange(1, 9))), "".join(rng.choices("abc", k=rng.randrange(1, 9)))) for _ in range(500)]
+    table = spark.createDataFrame(pairs, "a string, b string")
+    got = table.select("a", "b", suggest.edits(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r["n"] for r in got] == [edits(a, b) for a, b in pairs]
+
+
+def test_deletion_index(spark, products):
+    words = tables.vocabulary(products, "spellcheck")
+    terms = spark.createDataFrame([("scotoer",), ("yamha",), ("hodna",), ("zzzz",)], "term string")
+    path = new_path(spark, "deletions")
+    suggest.write_deletions(words, path, buckets=4)
+    want = sorted(map(tuple, suggest.suggestions(terms, words).collect()))
+    assert {r[0] for r in want} == {"scotoer", "yamha", "hodna"}
+    for listed in (1_000, 1):
+        found = suggest.suggestions(terms, words, index=path, buckets=4, listed=listed)
+        assert sorted(map(tuple, found.collect())) == want
+    plan = suggest.suggestions(terms, words, index=path, buckets=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "stem" in plan
 
 
 def test_suggestions_equal_brute_force(spark):
     import random
 
     rng = random.Random(11)
-    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 15))) for _ in range(300)}
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 15))) for _ in range(1000)}
     words |= {w + "x" * 12 for w in list(words)[:20]}
     known, asked = sorted(words)[::2], sorted(words)[1::2]
     vocabulary = spark.createDataFrame([(w, len(w)) for w in known], "term string, doc_freq int")
