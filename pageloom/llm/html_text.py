@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +39,7 @@ DROPPED = frozenset(
 )
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 WHOLE = frozenset(["article", "main"])
-# Parts of the tree only inside forms.
+# Parts of the tree though no blocks; a label only inside a form.
 CONTROLS = frozenset("button select datalist label".split())
 IN_HEAD = frozenset(
     "head title base basefont bgsound link meta noframes noscript script style template html".split()
@@ -69,6 +70,7 @@ SURE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsored comment comments disqus respond "
     "replies notice notification alert cookie cookies consent gdpr".split()
 )
+COMMENTS = frozenset("comment comments disqus respond replies".split())
 SWITCHES = frozenset(
     "has with no without show hide open opened closed enabled disabled allow allowed free on off".split()
 )
@@ -88,6 +90,8 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.links = ["html"], [-1], [0]
         self.hinted, self.sure = [False], [False]
+        self.hidden, self.comment = [False], [False]
+        self.n_open: Counter[str] = Counter()  # open elements by name
         self.in_head = False
         self.implied: int | None = None  # the body that the page left out
         self.texts: list[tuple[int, str, bool]] = []
@@ -134,7 +138,7 @@ class Page:
         self.in_head = False
         heads = [k for k, node in enumerate(self.open) if self.tag[node] == "head"]
         if heads:
-            del self.open[heads[0] :]
+            self.leave(heads[0])
             if self.open == [0] and "body" not in self.tag:
                 self.implied = len(self.tag)
                 self.start("body", "")
@@ -146,22 +150,39 @@ class Page:
 
     def close(self, names: tuple[str, ...]) -> None:
         """Close the nearest open element of ``names`` in reach, with all inside it."""
+        if not any(self.n_open[n] for n in names):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.tag[self.open[k]]
             if tag in names:
-                del self.open[k:]
+                self.leave(k)
                 self.in_link = False
                 return
             if tag in SCOPES:
                 return
 
+    def leave(self, depth: int) -> None:
+        """Close the open elements from ``depth`` on."""
+        for node in self.open[depth:]:
+            self.n_open[self.tag[node]] -= 1
+        del self.open[depth:]
+
+    def enter(self) -> None:
+        self.open.append(len(self.tag) - 1)
+        self.n_open[self.tag[-1]] += 1
+
     def start(self, name: str, attributes: str) -> None:
         if self.in_head and name not in IN_HEAD and name != "body":
             self.leave_head()
-        if name in CONTROLS and any(self.tag[k] == "form" for k in self.open):
-            self.add(name, False, False)
-            self.open.append(len(self.tag) - 1)
+        if name in CONTROLS and (name != "label" or self.n_open["form"]):
+            self.add(name)
+            self.enter()
             return
+        if name not in BLOCKS and name not in VOID and name not in RAW:
+            hidden = bool(attributes) and concealed(attributes)
+            if hidden or self.n_open[name]:  # one inside a hidden one of its name has an end of its own
+                self.add(name, hidden=hidden)
+                self.enter()
         if name == "a":
             self.in_link = True
             self.links[self.open[-1]] += 1
@@ -170,9 +191,11 @@ class Page:
         if name not in BLOCKS or name == "html":
             return
         if name == "body":
-            self.open, self.in_head = [0], False
+            self.leave(1)
+            self.in_head = False
             if self.implied is not None and self.implied < len(self.tag):
                 self.open.append(self.implied)
+                self.n_open["body"] += 1
                 return
         self.in_head |= name == "head"
         self.close(("p",))
@@ -180,37 +203,50 @@ class Page:
             self.close(CLOSES[name])
         if name in HEADINGS:
             self.close(HEADINGS)
-        self.add(name, *(unwanted(name, attributes) if attributes else (False, False)))
+        self.add(name, *(unwanted(name, attributes) if attributes else ()))
         if name not in VOID:
-            self.open.append(len(self.tag) - 1)
+            self.enter()
             self.in_link = False
 
-    def add(self, name: str, hinted: bool, sure: bool) -> None:
+    def add(
+        self, name: str, hinted: bool = False, sure: bool = False, comment: bool = False, hidden: bool = False
+    ) -> None:
         self.tag.append(name)
         self.parent.append(self.open[-1])
         self.links.append(0)
         self.hinted.append(hinted)
         self.sure.append(sure)
+        self.comment.append(comment)
+        self.hidden.append(hidden)
 
     def end(self, name: str) -> None:
         if name == "a":
             self.in_link = False
-        if name not in BLOCKS and name not in CONTROLS:
+        if not self.n_open[name]:
             return
         for k in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[k]] == name:
-                del self.open[k:]
-                self.in_link &= name in CONTROLS
+                self.leave(k)
+                self.in_link &= name not in BLOCKS
                 self.in_head &= name != "head"
                 return
 
 
-def unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role say that an element is no part of an article, and whether that
-    holds whatever its size."""
-    if tag in ("body", "article", "main"):
-        return False, False
-    found = False
+def concealed(attributes: str) -> bool:
+    """Whether an element is not shown."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
+        if name == "hidden" or name == "style" and re.search(r"(display\s*:\s*none|visibility\s*:\s*hidden)", value, re.I):
+            return True
+    return False
+
+
+def unwanted(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role say that an element is no part of an article, whether that holds
+    whatever its size, and whether it is for comments. Of an article only its name as a comment counts."""
+    if tag in ("body", "main"):
+        return False, False, False
+    found = sure = comment = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -224,8 +260,28 @@ def unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
                 said = {part.lower() for part in _NAME_PARTS.findall(word)}
                 found |= not said.isdisjoint(NAMES)
                 if not said.isdisjoint(SURE) and said.isdisjoint(SWITCHES):
-                    return True, True
-    return found, False
+                    sure = True
+                    comment |= not said.isdisjoint(COMMENTS)
+    if tag == "article":
+        return comment, comment, comment
+    return found or sure, sure, comment
+
+
+def _whole(page: Page) -> list[bool]:
+    """Articles and the like that are taken whole: none for comments, and none beside the text, as in
+    an aside, where there are others."""
+    n = len(page.tag)
+    heads = [t in ("main", "h1") for t in page.tag]
+    for k in range(n - 1, 0, -1):
+        heads[page.parent[k]] |= heads[k]
+    beside, comment = [False] * n, [False] * n
+    for k in range(1, n):
+        up, named = page.parent[k], page.tag[k] in DROPPED and page.tag[k] not in ("form", "fieldset")
+        # What holds the page's heading is no list of comments, whatever its name.
+        comment[k] = comment[up] or (page.comment[k] and (not heads[k] or page.tag[k] == "article"))
+        beside[k] = beside[up] or comment[k] or named or (page.sure[k] and not heads[k])
+    first = [t in WHOLE and not b for t, b in zip(page.tag, beside)]
+    return first if any(first) else [t in WHOLE and not c for t, c in zip(page.tag, comment)]
 
 
 def _removed(page: Page, chars: list[int]) -> list[bool]:
@@ -260,16 +316,16 @@ def _large_forms(page: Page) -> list[bool]:
 
 def _without(page: Page, chars: list[int], names_suffice: bool) -> list[bool]:
     n = len(page.tag)
-    holds, inside, below = [False] * n, [False] * n, list(chars)
+    holds, inside, below, whole = [False] * n, [False] * n, list(chars), _whole(page)
     for k in range(n - 1, 0, -1):
-        holds[page.parent[k]] |= holds[k] or page.tag[k] in WHOLE
+        holds[page.parent[k]] |= holds[k] or whole[k]
         below[page.parent[k]] += below[k]
     body = next((k for k in range(n) if page.tag[k] == "body"), 0)
     large = _large_forms(page)
     gone = [False] * n
     for k in range(1, n):
         up, tag = page.parent[k], page.tag[k]
-        inside[k] = inside[up] or page.tag[up] in WHOLE
+        inside[k] = inside[up] or whole[up]
         sure = names_suffice and page.sure[k]
         named = page.hinted[k] and not holds[k] and (sure or 2 * below[k] <= below[body])
         if named and inside[k] and tag == "header":
@@ -278,6 +334,7 @@ def _without(page: Page, chars: list[int], names_suffice: bool) -> list[bool]:
             gone[up]
             or (tag in DROPPED and not holds[k] and not large[k])
             or tag in CONTROLS
+            or page.hidden[k]
             or (tag == "header" and not inside[k] and not holds[k])
             or named
         )
@@ -350,13 +407,12 @@ def _article(page: Page, gone: list[bool]) -> list[bool]:
             opened.add(up)
         if up in opened and k < last.get(up, 0) and not gone[k]:
             chosen[k] = True
+    around = [0] * n  # the nearest article
+    for k in range(1, n):
+        around[k] = k if page.tag[k] in WHOLE else around[page.parent[k]]
     for k in range(n):
-        node = k if chosen[k] else 0
-        while node > 0:  # an article is whole
-            if page.tag[node] in WHOLE:
-                chosen[node] = True
-                break
-            node = page.parent[node]
+        if chosen[k] and around[k]:  # an article is whole
+            chosen[around[k]] = True
     kept = [False] * n
     for k in range(n):
         kept[k] = not gone[k] and (chosen[k] or (k > 0 and kept[page.parent[k]]))

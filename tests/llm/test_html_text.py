@@ -1,3 +1,4 @@
+import time
 import html
 import re
 
@@ -129,3 +130,54 @@ def test_head_without_end(first):
     page = f"<html><head><meta charset=utf-8><title>T</title><style>p{{}}</style>\n{first}Text of the page"
     assert h.main_text(page) == "Text of the page"
     assert h.main_text(f"{page}</head><body><p>More text of it") == "Text of the page\n\nMore text of it"
+
+
+PROSE = "A sentence of the article itself, long enough to count as prose. " * 4
+
+
+@pytest.mark.parametrize(
+    "rest",
+    [
+        '<section class="comments"><article class="comment"><p>' + "A reader says this. " * 40 + "</p></article></section>",
+        '<ol id="comments"><li class="comment"><article><p>' + "A reader says this. " * 40 + "</p></article></li></ol>",
+        '<aside class="sidebar"><article><h2>Teaser</h2><p>Read on about it.</p></article></aside>',
+        "<button>Share</button><select><option>One<option>Two</select>",
+        '<span style="display:none">unseen <span>and this</span> too</span>',
+        "<p><em hidden>unseen</em></p>",
+    ],
+)
+def test_what_is_no_part_of_an_article(rest):
+    page = "<body><article><h1>Title</h1><p>{}</p>{}</article>{}</body>"
+    want = "Title\n\n" + " ".join(PROSE.split())
+    assert h.main_text(page.format(PROSE, "", rest)) == want
+    assert h.main_text(page.format(PROSE, rest, "")) == want
+    plain = f"<body><div id=content><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div>{rest}</body>"
+    if "Teaser" not in rest:
+        assert h.main_text(plain) == want + "\n\n" + " ".join(PROSE.split())
+
+
+def test_hidden_text_within_a_sentence():
+    page = f'<article><p>{PROSE}It is <span style="display: none">not <b>shown</b></span><span>seen</span> here.</p></article>'
+    assert h.main_text(page) == f"{PROSE}It is seen here."
+
+
+def test_names_that_hold_the_article():
+    page = f'<body><div id="comments-page"><h1>Title</h1><p>{PROSE}</p><div class="comments"><p>No!</p></div></div></body>'
+    assert h.main_text(page) == "Title\n\n" + PROSE.strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body>" + "<div>" * 50_000 + "</section>" * 50_000 + "x",
+        "<body>" + "<blockquote>" * 50_000 + "x",
+        "<body><article>" + "<div>" * 50_000 + "x",
+        "<body><form>" + "<label>" * 50_000 + "x",
+        "<body><p>" + "<span hidden>" * 50_000 + "x",
+        "<body><li>" + "<p>" * 50_000 + "x",
+    ],
+)
+def test_broken_pages_take_no_square_of_time(page):
+    start = time.process_time()
+    h.main_text(page)
+    assert time.process_time() - start < 3
