@@ -53,11 +53,12 @@ IDENTIFIER = re.compile(
 )
 TEMPORARY_ID = re.compile(r"(?<![A-Z0-9])A[SG]IA[A-Z0-9]{16}(?![A-Z0-9])")
 NAMED_SECRET = re.compile(
-    r"(?<![A-Za-z0-9])(?:pass|pwd|passphrase|auth|credentials?|private_?key|access_?key|key)"
-    + _NAMED
-    + r"([^\s\"',;]{6,})",
+    r"(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase)?|pwd|secret(?:_?access)?(?:_?key)?|token|api_?key|auth|credentials?"
+    r"|private_?key|(?<!access_)key)" + _NAMED + r"([^\s\"',;]{3,})",
     re.I | re.A,
 )
+# A longer name with one of these is that of a secret, as in secret_access_key.
+SECRET_NAME = re.compile(r"(?:secret|pass|pwd|token|private)[A-Za-z0-9_-]*$", re.I | re.A)
 RANDOM_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(
     r"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,}"
@@ -116,7 +117,11 @@ def parts(text: str, base: list[tuple[str, int, int]]) -> list[Part]:
         k = bisect_left(taken, (a + 1, 0))
         return not k or ends[k - 1] < b
 
-    found += [Part("identifier", *m.span(1), True) for m in IDENTIFIER.finditer(text)]
+    found += [
+        Part("identifier", *m.span(1), True)
+        for m in IDENTIFIER.finditer(text)
+        if not SECRET_NAME.search(text, max(m.start() - 40, 0), m.start())
+    ]
     found += [Part("identifier", *m.span(), True) for m in TEMPORARY_ID.finditer(text)]
     if not any(p.kind == "identifier" for p in found) and "://" not in text:
         return found
