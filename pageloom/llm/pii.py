@@ -44,17 +44,20 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
-# Generators of candidates.
+# Generators of candidates: whole runs, however long. What is too long is for the trees to tell.
+_DOT = r"(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?)"
 GENERATORS = {
     "address": re.compile(
-        r"[\w.%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\{at\})\s?[\w-]{1,63}"
-        r"(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[\w-]{1,63}){0,4}",
-        re.I,
+        rf"(?<![\w.%+-])[\w.%+-]++\s?(?:@|\(at\)|\[at\]|\{{at\}})\s?[\w-]++(?:{_DOT}[\w-]++)*+", re.I
+    ),
+    "number": re.compile(r"(?<![\w.])\(?[0-9][0-9()\x20./-]{5,}(?<=[0-9])(?![\w])"),
+    "account": re.compile(
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{6,}+|(?:\x20[A-Z0-9]{2,4}(?![A-Za-z0-9])){3,}+)(?![A-Za-z0-9])"
     ),
-    "number": re.compile(r"(?<![\w.])\(?[0-9][0-9()\x20./-]{5,28}[0-9](?![\w])"),
-    "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])"),
     "ip6": re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])"),
 }
+# Parts of a run of numbers that may stand for themselves.
+PART_OF_NUMBERS = re.compile(r"\(?[0-9](?:[0-9().-]|[\x20/](?=[0-9(]))*+")
 AT = re.compile(r"[@]|[(\[{]at[)\]}]", re.I)
 
 CUES = {
@@ -114,6 +117,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def parts_of_numbers(text: str, start: int, stop: int) -> list[tuple[str, int, int]]:
+    """Runs inside a run of numbers that more than one space or other mark sets apart."""
+    inner = [m.span() for m in PART_OF_NUMBERS.finditer(text, start, stop)]
+    inner = [(a, a + len(text[a:b].rstrip("().-"))) for a, b in inner]
+    return [("number", a, b) for a, b in inner if b - a >= 7 and (a, b) != (start, stop)]
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """What the generators propose outside the base spans."""
     found = []
@@ -121,6 +131,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     for kind, pattern in GENERATORS.items():
         if (AT.search(text) if kind == "address" else digits):
             found += [(kind, *m.span()) for m in pattern.finditer(text)]
+    found += [s for c in found if c[0] == "number" for s in parts_of_numbers(text, *c[1:])]
     if not found or not base:
         return found
     taken = sorted((a, b) for _, a, b in base)

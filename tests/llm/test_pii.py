@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -90,3 +91,27 @@ def test_whole_table(shared, small, model):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in pii.scan(docs, model=model).collect():
         assert [tuple(s) for s in r.spans if s.kind in pii.BASE_KINDS] == brute(text[r.doc_id])
+
+
+def test_candidates_are_whole_runs():
+    for text, kind, want in [
+        (f"mail {'a' * 80} (at) example.com now", "address", f"{'a' * 80} (at) example.com"),
+        ("bob (at) a.b.c.d.e.f.org. The end", "address", "bob (at) a.b.c.d.e.f.org"),
+        ("x [at] one [dot] two [dot] org", "address", "x [at] one [dot] two [dot] org"),
+        (f"bob @ {'h' * 90}.org", "address", f"bob @ {'h' * 90}.org"),
+        ("no 1234 5678 9012 3456 7890 1234 5678 9012 3456 end", "number", "1234 5678 9012 3456 7890 1234 5678 9012 3456"),
+        ("iban MT84MALT011000012345MTLCAST001S1234 ok", "account", "MT84MALT011000012345MTLCAST001S1234"),
+        ("iban MT84 MALT 0110 0001 2345 MTLC AST0 01S1 1234 ok", "account", "MT84 MALT 0110 0001 2345 MTLC AST0 01S1 1234"),
+    ]:
+        assert [text[a:b] for k, a, b in pii.candidates(text, []) if k == kind] == [want], text
+    several = "call 555-123-4567  or: 1 2  555-765-4321."
+    found = {several[a:b] for k, a, b in pii.candidates(several, []) if k == "number"}
+    assert {"555-123-4567", "555-765-4321"} <= found
+
+
+@pytest.mark.parametrize("text", ["1 " * 100_000, "a." * 100_000, "AB12" + "C" * 200_000 + "d", "AB12" + " CDE" * 50_000 + "f",
+                                  "a@" * 100_000, "1" * 200_000, "(1" * 100_000, "x (at) " * 50_000])
+def test_runs_are_found_in_linear_time(text):
+    start = time.process_time()
+    pii.candidates(text, [])
+    assert time.process_time() - start < 5
