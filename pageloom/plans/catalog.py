@@ -19,7 +19,7 @@ from pageloom.operators import index as ix
 from pageloom.operators import robots as rb
 from pageloom.operators import search as se
 from pageloom.operators import segments as sg
-from pageloom.operators import stats, suggest
+from pageloom.operators import seen, stats, suggest
 from pageloom.plans import views as vw
 from pageloom.session import cut, new_path
 from pageloom.sources import store
@@ -1193,6 +1193,21 @@ def frontier_add(spark, folder):
     return details.select("url", "url_hash", "domain", "priority")
 
 
+@query(
+    _with(vw.URLS_SQL)
+    + """SELECT page_id, variant, url FROM urls WHERE md5(url) NOT IN (
+      SELECT md5(url) FROM urls WHERE variant IN (0, 3) AND page_id % 3 <> 1)"""
+)
+def frontier_unseen(spark, folder):
+    """All spellings of the URLs against a set of some, behind a filter that is built in two rounds."""
+    urls = vw.urls(spark, folder).withColumn("url_hash", ux.url_hash(C("url")))
+    first = urls.where((C("variant") == 0) & (C("page_id") % 3 != 1)).select("url_hash")
+    then = urls.where((C("variant") == 3) & (C("page_id") % 3 != 1)).select("url_hash")
+    blocks = seen.blocks_for(urls.count())
+    table = cut(seen.extended(seen.seen_filter(first, blocks), then, blocks))
+    return seen.not_seen(urls, first.unionByName(then), table, blocks).drop("url_hash")
+
+
 @query(
     "SELECT DISTINCT md5(url) AS url_hash FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0"
 )
