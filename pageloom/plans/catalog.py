@@ -19,7 +19,7 @@ from pageloom.operators import index as ix
 from pageloom.operators import robots as rb
 from pageloom.operators import search as se
 from pageloom.operators import segments as sg
-from pageloom.operators import seen, stats, suggest
+from pageloom.operators import readability, seen, stats, suggest
 from pageloom.plans import views as vw
 from pageloom.session import cut, new_path
 from pageloom.sources import store
@@ -442,6 +442,27 @@ _text_query(
     tx.flesch_reading_ease,
     _FLESCH,
 )
+_CONSONANTS, _VOWELS = "bcdfghjklmnpqrstvwxz", "aeiouy"
+
+
+@query(
+    f"""WITH counted AS (SELECT doc_id, {_WORDS} AS words,
+      greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS sentences,
+      regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]+') AS runs FROM documents),
+    broken AS (SELECT *, list_sum(list_transform(runs, lambda w: 1 + len(regexp_extract_all(
+      substr(regexp_replace(w, 'st([{_VOWELS}])', 's_\\1', 'g'), 3), '[{_CONSONANTS}][{_VOWELS}]')))) AS syllables FROM counted),
+    exact AS (SELECT *, 206.835::double - 1.015::double * (words / sentences)
+      - 84.6::double * (coalesce(syllables, 0) / words) AS x FROM broken)
+    SELECT doc_id, CASE WHEN words = 0 THEN 206.84::double ELSE sign(x) * (floor(abs(x) * 100 + 0.5) / 100) END AS score
+    FROM exact"""
+)
+def flesch_patterns(spark, folder):
+    """By a table of patterns made by a rule: a break before a consonant and a vowel, but not in "st"."""
+    rule = [f"1{c}{v}" for c in _CONSONANTS for v in _VOWELS] + [f"s2t{v}" for v in _VOWELS]
+    patterns = spark.createDataFrame([(p,) for p in rule], "pattern string")
+    return readability.flesch_reading_ease(vw.documents(spark, folder), patterns)
+
+
 _STOP = ", ".join(f"'{w}'" for w in config.STOP_WORDS)
 
 
