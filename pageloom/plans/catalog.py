@@ -12,6 +12,7 @@ from pageloom import config
 from pageloom.functions import text as tx
 from pageloom.functions import urls as ux
 from pageloom.functions.chars import NON_WORDS, SPACE_CHARS, SPACES, WORD_CHARS
+from pageloom.functions.passages import SENTENCE, passages
 from pageloom.functions.words import words_sql
 from pageloom.operators import content as ct
 from pageloom.operators import dedup, extract, feeds, frontier
@@ -191,6 +192,45 @@ def search_highlight(spark, folder):
     )
 
 
+_DOC_TERMS = sorted(DOC_QUERY.split())
+
+
+def _over_terms(form: str, joined: str) -> str:
+    return joined.join(form.format(t=t) for t in _DOC_TERMS)
+
+
+@query(
+    _with(
+        vw.CONTENT_SQL,
+        _SCORED,
+        f"""hits AS (SELECT url, content FROM scored JOIN content USING (url)
+      ORDER BY score DESC, publish_date DESC NULLS LAST, url LIMIT 20),
+    cut AS (SELECT url, regexp_extract_all(regexp_replace(content, '{SPACES}', ' ', 'g'),
+      '{SENTENCE.replace("'", "''")}') AS found FROM hits),
+    pieces AS (SELECT url, trim(unnest(found)) AS passage, generate_subscripts(found, 1) - 1 AS position FROM cut),
+    pwords AS (SELECT *, {_tokens('passage')} AS ws FROM pieces),
+    ptf AS (SELECT *, len(ws) AS dl, {_over_terms("len(list_filter(ws, lambda w: w = '{t}')) AS tf_{t}", ", ")} FROM pwords),
+    pstats AS (SELECT *, count(*) OVER w AS n, avg(dl) OVER w AS average,
+      {_over_terms("count(*) FILTER (tf_{t} > 0) OVER w AS df_{t}", ", ")} FROM ptf WINDOW w AS (PARTITION BY url)),
+    pranked AS (SELECT *, {_over_terms("(tf_{t} > 0)::int", " + ")} AS coverage, round({_over_terms(
+      "CASE WHEN tf_{t} > 0 THEN ln(1 + (n - df_{t} + 0.5) / (df_{t} + 0.5)) * tf_{t} * 2.2"
+      " / (tf_{t} + 1.2 * (0.25 + 0.75 * dl / average)) ELSE 0 END", " + ")}, 6) AS score FROM pstats)""",
+    )
+    + """SELECT url, cast(rank AS int) AS rank, cast(position AS int) AS position, coverage, score, passage FROM (
+      SELECT *, row_number() OVER (PARTITION BY url ORDER BY coverage DESC, score DESC, position) AS rank
+      FROM pranked WHERE coverage > 0) WHERE rank <= 3"""
+)
+def search_passages(spark, folder):
+    """The best sentences of the first page of hits."""
+    docs = vw.content(spark, folder)
+    best = passages(C("content"), tx.query_terms(DOC_QUERY))
+    page = se.scan_search(docs, DOC_QUERY, key="url").select("url")
+    found = docs.select("url", "content").join(F.broadcast(page), "url")
+    return found.select("url", F.posexplode(best).alias("at", "p")).select(
+        "url", (C("at") + 1).alias("rank"), "p.position", "p.coverage", "p.score", "p.passage"
+    )
+
+
 _BENCH_TERMS = f"SELECT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark"
 
 
