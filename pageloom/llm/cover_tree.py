@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -353,7 +354,8 @@ def duplicates(
     precision. ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest
     key that links lead to, the row's own included, and the row with that key is ``kept``. A
     vector that is null, empty or zero, or has a null, NaN or infinite component, links with
-    nothing. All other vectors must be of one length. Repeated rows are rows of their own. Null keys
+    nothing, and no vector with one of another length; the lengths in use should be few, as each is
+    compared by itself. Repeated rows are rows of their own. Null keys
     are never the smallest; where all keys of a component are null, so is its id, and all are kept.
     """
     value = F.col(vector).cast("array<double>")
@@ -371,11 +373,14 @@ def duplicates(
         alone = [F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id")]
         return rows.select(F.col("key").alias(key), *alone, F.lit(True).alias("kept"))
 
-    trees, pairs = _tiles(nodes, tile, math.sqrt(2.0 - 2.0 * least))
-    compared = _route(trees, pairs).groupBy("i", "p", "j", "q").applyInArrow(
-        _pair(least), "a long, b long, links long"
-    )
-    found = stored(compared, "links")
+    def compared(length: int) -> DataFrame:
+        own = nodes.filter(F.size("vector") == length)
+        trees, pairs = _tiles(own, tile, math.sqrt(2.0 - 2.0 * least))
+        grouped = _route(trees, pairs).groupBy("i", "p", "j", "q")
+        return grouped.applyInArrow(_pair(least), "a long, b long, links long")
+
+    lengths = sorted(r["n"] for r in nodes.select(F.size("vector").alias("n")).distinct().collect())
+    found = stored(reduce(DataFrame.unionByName, map(compared, lengths)), "links")
     links = found.filter("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     group = components(found.filter("b is not null").select("a", "b"))
     facts = (

@@ -12,6 +12,7 @@ some rank has reached. All of it is DataFrame operations.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,10 @@ REFERENCE = (
     r"(?i)\s(?:href|src|action|data-href)\s*=\s*[\"']?\s*((?:https?:)?//[^\s\"'<>]+)"
 )
 DAMPING = 0.85
-ROUNDS = 30
 CHANGE = 1e-6
+# A round changes ranks by at most twice the mass times the damping to the power of the rounds before,
+# so the bound on the change holds after these, however long the chains of links are.
+ROUNDS = math.ceil(math.log(CHANGE / 2) / math.log(DAMPING))
 DOUBT = 1.0
 THRESHOLD = 0.5
 
@@ -84,7 +87,7 @@ def personalised_rank(
     """``(host, rank)`` from ``seeds(host, mass)`` over ``shares(at, to, share)``.
 
     Ranks add up to the mass of the seeds: what does not go on over a link goes back to them. Stops
-    after ``rounds`` or when ranks change by less than a millionth in all. A host with very many
+    when ranks change by less than a millionth in all, which ``ROUNDS`` rounds suffice for. A host with very many
     links meets a side that has it once, so its rows can be dealt out.
     """
     mass = seeds.agg(F.sum("mass")).first()[0] or 0.0

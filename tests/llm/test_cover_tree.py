@@ -81,3 +81,10 @@ def test_tables_without_usable_vectors(shared):
     assert c.duplicates(empty).collect() == []
     null = shared.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in c.duplicates(null).collect()] == [(1, 0, 1, True)]
+
+
+def test_vectors_of_several_lengths(shared):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.1]), (5, [1.0]), (6, [3.0]), (7, [0.0, 1.0])]
+    table = shared.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in c.duplicates(table).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
