@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -38,6 +39,9 @@ ARROW_NODE = pa.struct(
         ("text", pa.string()),
         ("hidden", pa.bool_()),
         ("apart", pa.bool_()),
+        # How many texts that cleaning leaves stand before the node, and before its end.
+        ("first", pa.int32()),
+        ("last", pa.int32()),
     ]
 )
 
@@ -55,6 +59,7 @@ class NodeReader(HTMLParser):
         self.removed_tags, self.removed_class = removed_tags, removed_class
         self.nodes: list[dict] = []
         self.open: list[dict] = []
+        self.names: Counter[str] = Counter()  # of the open elements
         self.pending: list[str] = []
 
     def handle_starttag(self, tag, attrs):
@@ -66,17 +71,19 @@ class NodeReader(HTMLParser):
         node = self.add(tag, values, None, gone)
         if tag not in VOID_TAGS:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if all(node["tag"] != tag for node in self.open):
+        if not self.names[tag]:
             return
         self.flush()
         while True:
             node = self.open.pop()
+            self.names[node["tag"]] -= 1
             node["stop"] = len(self.nodes)
             if node["tag"] == tag:
                 return
@@ -120,6 +127,11 @@ class NodeReader(HTMLParser):
         self.flush()
         for node in self.open:
             node["stop"] = len(self.nodes)
+        before = [0]
+        for node in self.nodes:
+            before.append(before[-1] + (node["text"] is not None and not node["hidden"]))
+        for node in self.nodes:
+            node["first"], node["last"] = before[node["pos"]], before[node["stop"]]
         return self.nodes
 
 

@@ -21,7 +21,7 @@ from pageloom.functions.workers import node_batches
 
 NODE_TYPE = (
     "struct<pos:int,stop:int,tag:string,attrs:map<string,string>,classes:array<string>,"
-    "link:string,text:string,hidden:boolean,apart:boolean>"
+    "link:string,text:string,hidden:boolean,apart:boolean,first:int,last:int>"
 )
 def page_nodes(
     pages: DataFrame,
@@ -111,11 +111,12 @@ def _filled(value: str) -> str:
 
 
 def node_text(element: str, separator: str = "") -> str:
-    """Text inside ``element``: each text node trimmed, empty ones dropped."""
-    inside = (
-        f"filter(texts, t -> t.pos > {element}.pos and t.pos < {element}.stop"
-        f" and (not t.apart or {element}.apart))"
-    )
+    """Text inside ``element``: each text node trimmed, empty ones dropped.
+
+    Texts are in document order, so those inside an element are a slice.
+    """
+    own = f"slice(texts, {element}.first + 1, {element}.last - {element}.first)"
+    inside = f"filter({own}, t -> not t.apart or {element}.apart)"
     return f"array_join(transform({inside}, t -> t.text), {_quote(separator)})"
 
 
@@ -130,7 +131,7 @@ def visible_nodes(nodes: DataFrame, keep: Sequence[str] = ("url",)) -> DataFrame
         F.expr("filter(nodes, n -> n.tag is not null and not n.hidden)").alias("elements"),
         F.expr(
             "transform(filter(nodes, n -> n.text is not null and not n.hidden),"
-            " n -> struct(n.pos, n.text, n.apart))"
+            " n -> struct(n.text, n.apart))"
         ).alias("texts"),
     )
 

@@ -1569,12 +1569,13 @@ def stream_ingest(spark, folder):
     return store.read_content(spark, table).select("url", "content_hash")
 
 
-@query(_with(vw.CONTENT_SQL) + "SELECT DISTINCT content_hash FROM content")
+@query(_with(vw.CONTENT_SQL) + _STREAMED)
 def stream_dedup(spark, folder):
-    kept = st.deduplicated(_content_stream(spark, folder), "extracted_at", "36500 days")
+    """Keys are remembered for thirty days of the documents' own time, which span a week."""
+    kept = st.deduplicated(_content_stream(spark, folder), "extracted_at", "30 days")
     path = new_path(spark, "dedup")
     st.write_files(kept, path, new_path(spark, "state")).awaitTermination()
-    return spark.read.parquet(path).select("content_hash")
+    return spark.read.parquet(path).select("url", "content_hash")
 
 
 @query(

@@ -132,3 +132,18 @@ def test_fetched_and_useful(spark):
     rows = spark.createDataFrame([("a" * 99,), ("a" * 100,), (None,)], "content string")
     assert extract.useful(rows).count() == 1
     assert extract.useful(rows, 10).agg(F.count("*")).first()[0] == 2
+
+
+def test_broken_and_deep_pages_take_no_square_of_time(spark):
+    import time
+
+    from pageloom.functions.workers import NodeReader
+
+    start = time.process_time()
+    for html in ("<div>" * 20_000 + "</section>" * 20_000, "<p>" * 20_000 + "x", "<i>a</b>" * 20_000):
+        NodeReader("", frozenset(), None).read(html)
+    assert time.process_time() - start < 5
+    many = "<article>" + "".join(f"<p>{'word ' * 12}{i}</p>" for i in range(5_000)) + "</article>"
+    pages = spark.createDataFrame([("http://a.com/x", many.replace("article", "div"))], "url string, html string")
+    record = extract.extract_pages(pages).first()
+    assert record["content"].startswith("word word") and record["word_count"] == 5_000 * 13
