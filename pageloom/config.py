@@ -43,23 +43,22 @@ DATE_SELECTORS = (
 TAG_SELECTORS = (".tags a", ".categories a", ".tag", '[property="article:tag"]')
 
 # English words that are never keywords.
-STOP_WORDS = tuple(
-    """
-    the and or but in on at to for of with by from up about into through during before after
-    above below between among this that these those i me my myself we our ours ourselves you
-    your yours yourself yourselves he him his himself she her hers herself it its itself they
-    them their theirs themselves what which who whom am is are was were be been being have has
-    had having do does did doing a an will would should could can may might must shall
-    """.split()
+STOP_WORDS = (
+    "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about",
+    "into", "through", "during", "before", "after", "above", "below", "between", "among", "this", "that",
+    "these", "those", "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours",
+    "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its",
+    "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "am", "is",
+    "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did",
+    "doing", "a", "an", "will", "would", "should", "could", "can", "may", "might", "must", "shall",
 )
 
 
 @dataclass(frozen=True)
 class Settings:
-    max_pages: int = 1000
     min_content_length: int = 100
-    feed_title: str = "Web Crawler Feed"
-    feed_description: str = "Curated content from web crawling"
+    feed_title: str = "New pages"
+    feed_description: str = "What the last crawl found worth reading"
     feed_home: str = "https://example.com"
     feed_url: str = "https://example.com/feed.json"
     max_feed_items: int = 50
