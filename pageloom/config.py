@@ -57,8 +57,9 @@ STOP_WORDS = (
 @dataclass(frozen=True)
 class Settings:
     min_content_length: int = 100
-    feed_title: str = "New pages"
-    feed_description: str = "What the last crawl found worth reading"
+    # The feed's title and description, which subscribers see.
+    feed_title: str = "Web Crawler Feed"
+    feed_description: str = "Curated content from web crawling"
     feed_home: str = "https://example.com"
     feed_url: str = "https://example.com/feed.json"
     max_feed_items: int = 50
