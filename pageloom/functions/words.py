@@ -33,7 +33,10 @@ def _run(one: str) -> str:
     return rf"{one}++(?:[{EXTENDING}]++{one}*+)*+"
 
 
-_LETTERS, _DIGITS = _run(rf"[^\P{{L}}{_SCRIPTS}{LONG_VOWEL}]"), _run(r"\p{N}")
+# Lower-case Latin letters stand first, as looking up a script for each letter takes longer than all else.
+_LATIN = r"a-z\x{df}-\x{f6}\x{f8}-\x{ff}"
+_OTHERS = rf"[^\P{{L}}{_SCRIPTS}{LONG_VOWEL}]"
+_LETTERS, _DIGITS = _run(f"[{_LATIN}{_OTHERS}]"), _run(r"\p{N}")
 # Connectors alone match too, so that a long run of them is read once; they are left out afterwards.
 _WORD = (
     rf"(?:{CONNECTORS}++|{_LETTERS}(?:[{MID_LETTER}{MID_BOTH}]{_LETTERS})*+"
@@ -41,11 +44,14 @@ _WORD = (
 )
 WORD = rf"{_WORD}|{UNSPACED}(?:{UNSPACED}|[{EXTENDING}])*+"
 _CONNECTORS_ALONE = rf"^{CONNECTORS}++$"
+# All scripts without spaces lie beyond the first of them.
+_SPECIAL = rf"[{CONNECTORS}[\x{{e00}}-\x{{10ffff}}&&{UNSPACED}]]"
 
 
 def portable(pattern: str) -> str:
-    """``pattern`` for engines without possessive quantifiers, with their names of scripts."""
-    return pattern.replace("++", "+").replace("*+", "*").replace(r"\p{Is", r"\p{")
+    """``pattern`` for engines without possessive quantifiers and classes in classes, with their names
+    of scripts."""
+    return pattern.replace(f"[{_LATIN}{_OTHERS}]", _OTHERS).replace("++", "+").replace("*+", "*").replace(r"\p{Is", r"\p{")
 
 
 def _pairs(run: Column) -> Column:
@@ -66,7 +72,7 @@ def words(text: Column) -> Column:
         joined = F.filter(F.array(w), lambda x: ~F.rlike(x, F.lit(_CONNECTORS_ALONE)))
         return F.when(alone, joined).otherwise(_pairs(w))
 
-    special = F.coalesce(F.rlike(text, F.lit(f"{CONNECTORS}|{UNSPACED}")), F.lit(False))
+    special = F.coalesce(F.rlike(text, F.lit(_SPECIAL)), F.lit(False))
     return F.when(special, F.flatten(F.transform(found, parts))).otherwise(found)
 
 
