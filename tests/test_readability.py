@@ -6,7 +6,7 @@ from pageloom.operators import readability as rd
 
 # The patterns that Liang's thesis shows for one word, and some for others.
 ENGLISH = ["hy3ph", "he2n", "hena4", "hen5at", "1na", "n2at", "1tio", "2io", "o2n", ".ta4b", "1ta", "ta1ble", "4le.", "com1p", "1put", "4er.", "pu1ter"]
-GERMAN = ["1kö", "2nig", "1nig.", "ö1n", "1sche", "s2ch", "1gart", "r1t", "n1g", "1ten", "kin1d", "1der"]
+GERMAN = ["1kö", "n2ig", "1nig.", "ö1n", "1sche", "s2ch", "1gart", "r1t", "n1g", "1ten", "kin1d", "1der"]
 
 
 def table(spark, patterns):
