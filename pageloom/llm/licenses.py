@@ -1,12 +1,13 @@
 """Licence notices in text, by a trained paragraph classifier.
 
-Lines with one of the anchor words are judged, alone and with their neighbours in a paragraph, which
-ends at an empty line or one of marks alone. Their words, alone and in runs of two and
-three, are the features of a sparse multinomial logistic regression over licence families and
-*none*. Its probabilities are calibrated on held-out paragraphs. A line that is likely to be a notice
-but has no family over the threshold is of *unknown* licence. A prediction counts as confirmed only
-if the line shares enough word pairs with one of the family's templates; otherwise it too is
-unknown.
+A paragraph ends at an empty line or one of marks alone. Within it, neighbouring lines that mostly hold
+word pairs of known notices form one unit, however many they are; any other line with an anchor word is a unit
+of its own. The words of a unit, alone and in runs of two and three, are the features of a sparse multinomial
+logistic regression over licence families and *none*. Its probabilities are calibrated on held-out paragraphs.
+A unit that is likely to be a notice but has no family over the threshold is of *unknown* licence. A
+prediction counts as confirmed only if the unit shares enough word pairs with one of the family's
+templates, and, where it has several lines, more with that family than with any other, so that the version and
+the first word of the name decide; otherwise it too is unknown.
 
 The regression is trained on the driver from the templates below, varied by a seeded rule. Scoring
 is array expressions inside the row: nothing is shuffled and no Python runs on executors.
@@ -29,8 +30,9 @@ NGRAMS = 3
 SEEN = 3  # times that a feature is seen in training at least
 NOTICE = 0.2  # a notice has at most this probability of being none
 LEAST_SHARED = 0.5
-BEFORE, AFTER = 3, 4  # lines of a paragraph around an anchor that may belong to its notice
+LEAST_TOLD = 0.8  # part of its word pairs that a family of the text must know to have told a unit
 SEED = 11
+MARK = "\u0001"  # between the number of a line and the line
 NONE, UNKNOWN = "none", "unknown"
 
 # The public wording of licence notices, by family.
@@ -42,6 +44,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "Released under the Apache 2.0 license",
+        "Licensed under the Apache License",
     ),
     "MIT": (
         "Released under the MIT License",
@@ -50,29 +53,48 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
         'associated documentation files (the "Software"), to deal in the Software without restriction',
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        'associated documentation files (the "Software"), to deal in the Software without restriction, including '
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions:",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
         "General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
         "Licensed under the GPL v3",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2",
         "under the terms of the GNU General Public License as published by the Free Software Foundation; "
         "either version 2 of the License, or (at your option) any later version",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation; either version 2 of the License, or "
+        "(at your option) any later version.",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
         "Licensed under the GPL v2",
     ),
     "LGPL": (
         "licensed under the GNU Lesser General Public License, version 2.1",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
     "AGPL-3.0": (
         "licensed under the GNU Affero General Public License, version 3",
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version.",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "BSD": (
@@ -88,6 +110,18 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Mozilla Public License 2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "ISC": (
+        "Licensed under the ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "EPL-2.0": (
+        "Licensed under the Eclipse Public License 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "CC-BY": (
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -115,11 +149,79 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited",
     ),
 }
+# The public wording that follows a notice, by family. It confirms no family by itself.
+FURTHER: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": (
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "MIT": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER "
+        "IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "GPL-3.0": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License "
+        "for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see "
+        "<https://www.gnu.org/licenses/>.",
+    ),
+    "GPL-2.0": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License "
+        "for more details.",
+        "You should have received a copy of the GNU General Public License along with this program; if not, write to "
+        "the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see "
+        "<https://www.gnu.org/licenses/>.",
+    ),
+    "LGPL": (
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public "
+        "License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, "
+        "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    ),
+    "AGPL-3.0": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public "
+        "License for more details.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, "
+        "see <https://www.gnu.org/licenses/>.",
+    ),
+    "BSD": (
+        "Copyright (c) 2020, The Authors. All rights reserved.",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    "MPL-2.0": (
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "ISC": (
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+}
 # Notices of no family above, from which the threshold of the unknown class is learnt.
 OTHERS = (
     "Licensed under the zlib license",
     "Released under the Do What The Fuck You Want To Public License",
-    "Licensed under the Eclipse Public License 2.0",
     "This file is covered by the PostgreSQL License",
     "Distributed under the Boost Software License, Version 1.0",
     "Licensed under the European Union Public Licence",
@@ -154,6 +256,19 @@ ANCHORS = (
     "agpl", "bsd", "mpl", "gnu", "mozilla", "creative", "cc0", "permission", "redistribution", "redistribute",
     "proprietary", "rights", "unencumbered", "domain",
 )
+# "2.1" is one word, so that versions differ.
+WORD = r"[0-9]+(?:\.[0-9]+)+|[a-z0-9]+"
+NEGATED = (
+    r"(?i)\b(?:not|never|neither|no longer)\s+(?:been\s+|being\s+|currently\s+)?"
+    r"(?:licen[sc]ed|released|available|distributed|covered)\s+(?:under|by)\b"
+)
+# What stands before the first name of a list of licences, and what parts the names.
+HEAD = (
+    r"(?i)^.*?\b(?:licen[sc]ed|released|available|distributed)\s+under(?:\s+(?:the|a|either|both|of|terms))*(?=\s)"
+    r"|(?i)^.*?\blicense-identifier:"
+)
+BETWEEN = r"(?i)\s*(?:\s(?:and/or|and|or)\s(?:\s*(?:the|under|a)\s)*|/)\s*"
+LIST = rf"(?:{HEAD}).*?(?:{BETWEEN})"
 GATE = rf"(?<![A-Za-z0-9])(?:(?i:{'|'.join(ANCHORS)})|MIT|CC)(?![A-Za-z0-9])"
 
 
@@ -167,7 +282,7 @@ class Model:
 
 
 def tokens(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+    return re.findall(WORD, text.lower())
 
 
 def ngrams(words: list[str]) -> list[str]:
@@ -324,6 +439,169 @@ def shared(words: Column, family: Column) -> Column:
     )[0]
 
 
+def known_pairs() -> dict[str, list[int]]:
+    """Hashes of the word pairs in the wording of each family; the whole of *unknown* is of ``OTHERS``."""
+    texts = {f: (*t, *FURTHER.get(f, ())) for f, t in TEMPLATES.items()} | {UNKNOWN: OTHERS}
+    return {f: sorted({hashed(p) for t in ts for p in _pairs_of(tokens(t))}) for f, ts in texts.items()}
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
+
+
+def _pair_hashes(words: Column) -> Column:
+    each = F.transform(
+        F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 2), " "))
+    )
+    return F.when(F.size(words) < 2, F.array().cast("array<long>")).otherwise(each)
+
+
+def _numbered(line: Column, text: Column) -> Column:
+    return F.concat(line.cast("string"), F.lit(MARK), text)
+
+
+def _lines(unit: Column) -> Column:
+    return F.transform(
+        F.split(unit, "\n"),
+        lambda t: F.struct(
+            F.substring_index(t, MARK, 1).cast("int").alias("line"),
+            F.regexp_replace(t, f"^[0-9]+{MARK}", "").alias("text"),
+        ),
+    )
+
+
+def _blocks(lines: Column) -> Column:
+    """Runs of numbered lines that no empty one parts, with an anchor word in them."""
+    parts = F.transform(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda x: F.btrim(x, F.lit("\n")))
+    return F.filter(parts, lambda x: x.rlike(GATE))
+
+
+def _plain(text: Column) -> Column:
+    """A line without the word that marks a comment."""
+    return F.regexp_replace(text, r"(?i)^\s*(?:dnl|rem)\s", "")
+
+
+def units(paragraph: Column) -> Column:
+    """The units of a paragraph of numbered lines: runs of lines of which half the words or more lie in word pairs
+    of known notices, pairs over a line's end included, and each other line with an anchor word."""
+    everything = _constant(np.array(sorted({h for hs in known_pairs().values() for h in hs}), np.int64))
+
+    def line_words(l: Column) -> Column:
+        return F.struct(l["line"], l["text"], _words(_plain(l["text"])).alias("words"))
+
+    def covered(l: Column, before: Column, after: Column, known: Column) -> Column:
+        nothing = F.array().cast("array<string>")
+        # the neighbours' nearest words
+        left = F.when(F.size(before) > 0, F.slice(before, -1, 1)).otherwise(nothing)
+        right = F.when(F.size(after) > 0, F.slice(after, 1, 1)).otherwise(nothing)
+        n, off = F.size(l["words"]), F.size(left)
+
+        def half(flags: Column) -> Column:
+            at = F.filter(
+                F.sequence(F.lit(0), n - 1),
+                lambda w: F.coalesce(F.get(flags, off + w - 1), F.lit(False))
+                | F.coalesce(F.get(flags, off + w), F.lit(False)),
+            )
+            return 2 * F.size(at) >= n
+
+        flags = F.transform(_pair_hashes(F.concat(left, l["words"], right)), lambda h: F.array_contains(known, h))
+        return F.when(n == 0, F.lit(False)).otherwise(_let(flags, half))
+
+    def runs(ls: Column) -> Column:
+        whole = F.flatten(F.transform(ls, lambda l: l["words"]))
+
+        def marked(known: Column) -> Column:
+            def mark(l: Column, i: Column) -> Column:
+                own = _numbered(l["line"], l["text"])
+                alone = F.when(l["text"].rlike(GATE), F.concat(F.lit("\n"), own, F.lit("\n"))).otherwise("")
+                inside = covered(l, F.get(ls, i - 1)["words"], F.get(ls, i + 1)["words"], known)
+                return F.when(inside, own).otherwise(alone)
+
+            return _blocks(F.transform(ls, mark))
+
+        return _let(F.array_intersect(_let(whole, _pair_hashes), everything), marked)
+
+    several = _let(F.transform(_lines(paragraph), line_words), runs)
+    return F.when(F.contains(paragraph, F.lit("\n")), several).otherwise(F.array(paragraph))
+
+
+def judge(text: Column, model: Model, least_shared: float, rivals: bool) -> Column:
+    """Struct of ``family``, ``probability``, ``shared``, ``both``, ``sure`` and ``pairs`` (hashes) for a text.
+    With ``rivals`` no other family may know as many of its pairs."""
+    families = F.from_json(F.lit(json.dumps(known_pairs())), "map<string,array<long>>")
+
+    def compared(x: Column) -> Column:
+        family = x["best"]["family"]
+        nothing = F.struct(F.lit(0.0).alias("part"), F.lit(0).alias("both"))
+        hits = F.transform(F.map_values(families), lambda ps: F.size(F.array_intersect(x["pairs"], ps)))
+        own = F.size(F.array_intersect(x["pairs"], F.element_at(families, family)))
+        alone = _let(F.array(own), lambda o: F.size(F.filter(hits, lambda h: h >= o[0])) == 1)
+        told_apart = F.when(family == NONE, F.lit(False)).otherwise(alone) if rivals else F.lit(True)
+        return F.struct(
+            x["best"].alias("best"),
+            x["pairs"].alias("pairs"),
+            told_apart.alias("apart"),
+            F.when(family == NONE, nothing).otherwise(shared(x["words"], family)).alias("s"),
+        )
+
+    def checked(x: Column) -> Column:
+        family, p, part = x["best"]["family"], x["best"]["probability"], x["s"]["part"]
+        meant = ~text.rlike(NEGATED)
+        likely = (family != NONE) & (p >= model.threshold) & (part >= least_shared)
+        sure = likely & x["apart"] & meant
+        none = ~meant | (~likely & (x["best"]["none"] > NOTICE))
+        return F.struct(
+            F.when(sure, family).when(none, F.lit(NONE)).otherwise(F.lit(UNKNOWN)).alias("family"),
+            F.round(p, 6).alias("probability"),
+            F.round(part, 6).alias("shared"),
+            x["s"]["both"].alias("both"),
+            sure.alias("sure"),
+            x["pairs"].alias("pairs"),
+        )
+
+    def start(words: Column) -> Column:
+        return F.struct(
+            words.alias("words"),
+            classify(words, model).alias("best"),
+            F.array_distinct(_pair_hashes(words)).alias("pairs"),
+        )
+
+    return _let(_let(_let(_words(text), start), compared), checked)
+
+
+def listed(text: Column, model: Model, least_shared: float) -> Column:
+    """Judgements of the parts of a list such as "under the MIT license or the Apache License", each read with
+    what stands before the list; empty unless two parts are surely of different families."""
+
+    def parts(head: Column) -> Column:
+        names = F.split(F.substring(text, F.length(head) + F.lit(1), F.length(text)), BETWEEN)
+
+        def statement(name: Column) -> Column:
+            name = F.regexp_replace(F.btrim(name, F.lit(" \t()[]\"',.;*")), r"(?i)^(?:(?:the|either|a)\s+)+", "")
+            of_license = F.when(name.rlike("(?i)licen[sc]e"), F.lit("")).otherwise(F.lit(" license"))
+            return F.when(head.rlike(":$"), F.concat(head, F.lit(" "), name)).otherwise(
+                F.concat(F.regexp_replace(head, r"(?i)\bunder\b.*$", "under the "), name, of_license)
+            )
+
+        found = F.transform(names, lambda name: judge(statement(name), model, least_shared, rivals=False))
+        return F.filter(found, lambda x: x["sure"])
+
+    none = F.filter(F.array(judge(F.lit(""), model, least_shared, rivals=False)), lambda x: F.lit(False))
+    found = _let(F.regexp_extract(text, HEAD, 0), parts)
+    several = _let(
+        found,
+        lambda xs: F.when(
+            F.size(F.array_distinct(F.transform(xs, lambda x: x["family"]))) > 1, xs
+        ).otherwise(none),
+    )
+    return F.when(text.rlike(LIST) & ~text.rlike(NEGATED), several).otherwise(none)
+
+
 def scan(
     docs: DataFrame,
     key: str = "doc_id",
@@ -333,132 +611,135 @@ def scan(
 ) -> DataFrame:
     """``(key, licenses, n_notices, notices)`` for each row of ``docs``.
 
-    ``notices`` are structs ``(line, family, probability, shared)`` of the lines, counted from 0,
-    that the classifier takes for a licence notice; ``family`` is ``unknown`` where none reaches the
-    model's threshold, or no template of the family shares ``least_shared`` of its word pairs.
-    A notice may be wrapped: of the runs of up to ``BEFORE`` and ``AFTER`` lines of the paragraph
-    around an anchor's line, the one that shares most with a template counts, once, at the first
-    such line. ``licenses`` are the distinct families in order. Lines are those between line feeds, of any
-    length. A null or empty text has no notices. Rows are judged one by one: repeated rows and null
-    keys come out as they are put in, an empty table gives an empty result, and other columns are
-    left out.
+    ``notices`` are structs ``(line, family, probability, shared)`` of the units that the classifier takes for a
+    licence notice, by their first line, counted from 0; ``family`` is ``unknown`` where none reaches the
+    model's threshold, or no template of the family shares ``least_shared`` of its word pairs. A unit of several
+    lines is one notice if it is sure and shares more with a template than any of its lines does; a line
+    in it stays a notice beside it only if it says what that family's wording does not. Otherwise its lines
+    are judged one by one. Names in a list ("MIT or Apache") are notices each. A unit whose pairs another family of
+    the same text knows all of, as the paragraphs after the first one of a header, belongs to that notice.
+    What a text says it is *not* licensed under is no notice. ``licenses`` are the distinct families in order.
+    Lines are those between line feeds, of any length; paragraphs have any number of lines. A null or empty text has
+    no notices. Rows are judged one by one: repeated rows and null keys come out as they are put in, an empty table
+    gives an empty result, and other columns are left out.
     """
     model = model or train()
+    families = F.from_json(F.lit(json.dumps(known_pairs())), "map<string,array<long>>")
     value = F.coalesce(F.col(text), F.lit(""))
-    texts = F.when(value.rlike(GATE), F.split(value, "\n")).otherwise(F.array().cast("array<string>"))
-    split = docs.select(F.col(key).alias("key"), texts.alias("texts"))
-    placed = F.transform("texts", lambda t, i: F.struct(i.alias("line"), t.alias("text")))
-    shapes = F.array(
-        *(
-            F.struct(F.lit(b).alias("before"), F.lit(a).alias("after"))
-            for b in range(BEFORE + 1)
-            for a in range(AFTER + 1)
-        )
+    lines = F.transform(
+        F.split(value, "\n"), lambda t, i: F.when(t.rlike(r"[\p{L}\p{N}]"), _numbered(i, t)).otherwise("")
     )
-
-    def windows(x: Column) -> Column:
-        """The line alone, and runs of lines around it that no empty line cuts."""
-
-        def window(s: Column) -> Column:
-            first, n = x["line"] - s["before"], s["before"] + s["after"] + 1
-            run = F.slice("texts", F.greatest(first + 1, F.lit(1)), n)
-            return F.struct(
-                x["line"].alias("line"),
-                first.alias("first"),
-                (first + n - 1).alias("last"),
-                (F.size(run) == n).alias("whole"),
-                run.alias("run"),
-                x["text"].alias("own"),
-            )
-
-        return F.filter(
-            F.transform(shapes, window),
-            lambda w: (w["first"] == w["last"])
-            | ((w["first"] >= 0) & w["whole"] & F.forall(w["run"], lambda t: t.rlike(r"[\p{L}\p{N}]"))),
+    paragraphs = F.when(value.rlike(GATE), _blocks(lines)).otherwise(F.array().cast("array<string>"))
+    found = docs.select(F.col(key).alias("key"), paragraphs.alias("paragraphs"))
+    found = found.select("key", F.flatten(F.transform("paragraphs", units)).alias("units"))
+
+    def judged(ls: Column) -> Column:
+        whole = F.array_join(F.transform(ls, lambda l: _plain(l["text"])), " ")
+        bare = F.regexp_replace(whole, r"\s[#*/;%!-]+\s", " ")  # comment marks
+        gated = F.filter(ls, lambda l: l["text"].rlike(GATE))
+        alone = F.transform(
+            gated,
+            lambda l: F.struct(
+                l["line"].alias("line"),
+                judge(l["text"], model, least_shared, rivals=False).alias("j"),
+            ),
+        )
+        several = F.size(ls) > 1
+        return F.struct(
+            ls[0]["line"].alias("first"),
+            alone.alias("alone"),
+            F.when(several, judge(bare, model, least_shared, rivals=True)).alias("whole"),
+            _let(bare, lambda t: listed(t, model, least_shared)).alias("listed"),
         )
 
-    def words_of(text: Column) -> Column:
-        return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+    found = found.select("key", F.transform("units", lambda u: _let(_lines(u), judged)).alias("units"))
 
-    def judged(w: Column) -> Column:
-        several = F.transform(w["run"], lambda t: F.regexp_replace(t, r"(?i)^\s*(?:dnl|rem)\s", ""))
-        text = F.when(w["first"] == w["last"], w["own"]).otherwise(F.array_join(several, " "))
-        both = F.transform(
-            F.array(words_of(text)),
-            lambda words: F.struct(words.alias("words"), classify(words, model).alias("best")),
+    def notice(line: Column, j: Column) -> Column:
+        return F.struct(
+            line.alias("line"),
+            *(j[n].alias(n) for n in ("family", "probability", "shared")),
+            j["sure"].alias("sure"),
+            j["pairs"].alias("pairs"),
         )
 
-        def compared(x: Column) -> Column:
-            family = x["best"]["family"]
-            nothing = F.struct(F.lit(0.0).alias("part"), F.lit(0).alias("both"))
-            return F.struct(
-                x["best"].alias("best"),
-                F.when(family == NONE, nothing).otherwise(shared(x["words"], family)).alias("s"),
-                F.when((family == NONE) | (w["first"] == w["last"]), F.lit(0))
-                .otherwise(shared(words_of(w["own"]), family)["both"])
-                .alias("own"),
-            )
+    def decided(u: Column) -> Column:
+        """The notices of a unit, and whether it is one notice of several lines."""
+        whole, lone = u["whole"], F.filter(u["alone"], lambda x: x["j"]["family"] != NONE)
+        same = F.filter(lone, lambda x: x["j"]["sure"] & (x["j"]["family"] == whole["family"]))
+        most = F.coalesce(F.array_max(F.transform(same, lambda x: x["j"]["both"])), F.lit(0))
+        strong = F.coalesce(whole["sure"] & (whole["both"] > most), F.lit(False))
+        of_whole = F.element_at(families, whole["family"])
 
-        def checked(x: Column) -> Column:
-            family, p, part = x["best"]["family"], x["best"]["probability"], x["s"]["part"]
-            sure = (family != NONE) & (p >= model.threshold) & (part >= least_shared)
-            no_notice = ~sure & (x["best"]["none"] > NOTICE)
-            return F.struct(
-                sure.alias("sure"),
-                F.when(sure, x["s"]["both"]).otherwise(F.lit(0)).alias("both"),
-                (w["first"] - w["last"]).alias("short"),
-                (-w["line"]).alias("early"),
-                w["first"].alias("first"),
-                w["last"].alias("last"),
-                x["own"].alias("own"),
-                F.when(sure, family)
-                .when(no_notice, F.lit(NONE))
-                .otherwise(F.lit(UNKNOWN))
-                .alias("family"),
-                F.round(p, 6).alias("probability"),
-                F.round(part, 6).alias("shared"),
-            )
+        def differs(x: Column) -> Column:
+            own = F.array_intersect(x["j"]["pairs"], F.element_at(families, x["j"]["family"]))
+            return x["j"]["sure"] & (F.size(F.array_except(own, of_whole)) > 0)
 
-        return F.transform(F.transform(both, compared), checked)[0]
+        beside = F.filter(lone, lambda x: differs(x) & (x["j"]["family"] != whole["family"]))
 
-    def chosen(ws: Column) -> Column:
-        """The line alone, or the lines around it that share more with a template to which the
-        line itself belongs no less than to that of its own family."""
-        return F.array_max(
-            F.filter(
-                ws,
-                lambda w: (w["short"] == 0)
-                | (w["sure"] & (w["own"] > 0) & (w["own"] >= ws[0]["both"])),
+        def with_whole(others: Column) -> Column:
+            named = F.transform(others, lambda x: x["line"])
+            free = F.filter(
+                F.transform(u["alone"], lambda x: x["line"]), lambda n: ~F.array_contains(named, n)
+            )
+            first = F.when(F.array_contains(named, u["first"]), F.coalesce(free[0], u["first"])).otherwise(u["first"])
+            return F.array_sort(
+                F.concat(F.array(notice(first, whole)), F.transform(others, lambda x: notice(x["line"], x["j"])))
             )
+
+        each = F.transform(lone, lambda x: notice(x["line"], x["j"]))
+        # of unknown lines that are one unknown unit, the unit
+        unsure = F.coalesce(whole["family"] == UNKNOWN, F.lit(False))
+        joined = F.concat(F.filter(each, lambda n: n["sure"]), F.array(notice(u["first"], whole)))
+        return (
+            F.when(F.size(u["listed"]) > 1, F.transform(u["listed"], lambda j: notice(u["first"], j)))
+            .when(strong, _let(beside, with_whole))
+            .when(unsure & F.forall(each, lambda n: ~n["sure"]), joined)
+            .otherwise(each)
         )
 
-    gated = F.filter(placed, lambda x: x["text"].rlike(GATE))
-    judgements = F.transform(gated, lambda x: F.transform(windows(x), judged))
-    lines = split.select("key", judgements.alias("judgements"))
-    lines = lines.select("key", F.transform("judgements", chosen).alias("found"))
+    found = found.select(
+        "key",
+        F.transform(
+            "units", lambda u: F.struct(decided(u).alias("notices"), u["whole"]["pairs"].alias("pairs"))
+        ).alias("units"),
+    )
+    sure = F.flatten(F.transform("units", lambda u: F.filter(u["notices"], lambda n: n["sure"])))
+
+    def told(family: Column, pairs: Column, names: Column) -> Column:
+        """Whether another of the families knows all that a notice has of its own family's wording."""
+
+        def knows(other: Column) -> Column:
+            theirs = F.element_at(families, other)
+            return (other != family) & (F.size(F.array_intersect(pairs, theirs)) >= LEAST_TOLD * F.size(pairs))
+
+        def says_more(other: Column) -> Column:
+            own = F.array_intersect(pairs, F.element_at(families, family))
+            return F.size(F.array_except(own, F.element_at(families, other))) > 0
 
-    def told(x: Column, found: Column) -> Column:
-        """Whether a wider or earlier notice has what this one says."""
-        better = F.struct(*(x[n] for n in ("sure", "both", "short", "early")))
+        return (F.size(pairs) > 0) & F.exists(names, lambda other: knows(other) & ~says_more(other))
 
-        def covers(y: Column) -> Column:
-            same = (y["family"] == x["family"]) | ~x["sure"]
-            over = (y["first"] <= x["last"]) & (x["first"] <= y["last"])
-            several = (y["short"] < 0) | (x["short"] < 0)
-            more = F.struct(*(y[n] for n in ("sure", "both", "short", "early"))) > better
-            return y["sure"] & same & over & several & more
+    def names_of(notices: Column) -> Column:
+        return F.array_distinct(F.transform(notices, lambda n: n["family"]))
 
-        return F.exists(found, covers)
+    # only a notice that no other tells may tell others, so that two alike do not both go
+    own_word = F.filter("sure", lambda n: ~told(n["family"], n["pairs"], F.col("names")))
+    found = (
+        found.select("key", "units", sure.alias("sure"))
+        .select("key", "units", "sure", names_of(F.col("sure")).alias("names"))
+        .select("key", "units", names_of(own_word).alias("names"))
+    )
+
+    def left(u: Column) -> Column:
+        gone = F.coalesce(told(F.lit(UNKNOWN), u["pairs"], F.col("names")), F.lit(False))
+        doubtful = F.forall(u["notices"], lambda n: ~n["sure"])
+        kept = F.filter(u["notices"], lambda n: ~told(n["family"], n["pairs"], F.col("names")))
+        return F.when(gone & doubtful, F.filter(kept, lambda n: F.lit(False))).otherwise(kept)
 
-    kept = F.filter("found", lambda x: (x["family"] != NONE) & ~told(x, F.col("found")))
+    kept = F.flatten(F.transform("units", left))
     notices = F.transform(
-        kept,
-        lambda x: F.struct(
-            (-x["early"]).alias("line"),
-            *(x[n].alias(n) for n in ("family", "probability", "shared")),
-        ),
+        kept, lambda n: F.struct(*(n[c].alias(c) for c in ("line", "family", "probability", "shared")))
     )
-    return lines.select("key", notices.alias("notices")).select(
+    return found.select("key", F.array_sort(notices).alias("notices")).select(
         F.col("key").alias(key),
         F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"]))).alias("licenses"),
         F.size("notices").cast("long").alias("n_notices"),
