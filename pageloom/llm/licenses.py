@@ -15,6 +15,7 @@ is array expressions inside the row: nothing is shuffled and no Python runs on e
 
 from __future__ import annotations
 
+import functools
 import json
 import random
 import re
@@ -249,6 +250,11 @@ PLAIN = (
     "the source of the river is free for all persons and may be used with care",
     "in this section the version of the software is described in general terms",
     "the terms of the contract were changed without notice",
+    "copyright 2019 jane roe",
+    "copyright c 2021 the project authors and contributors",
+    "copyright c 2015 2018 example inc",
+    "copyright 2020",
+    "copyright c 2019",
 )
 # A notice holds one of these; the short ones are words of some language in lower case.
 ANCHORS = (
@@ -259,17 +265,21 @@ ANCHORS = (
 # "2.1" is one word, so that versions differ.
 WORD = r"[0-9]+(?:\.[0-9]+)+|[a-z0-9]+"
 NEGATED = (
-    r"(?i)\b(?:not|never|neither|no longer)\s+(?:been\s+|being\s+|currently\s+)?"
-    r"(?:licen[sc]ed|released|available|distributed|covered)\s+(?:under|by)\b"
+    r"(?i:\b(?:not|never|neither|no longer)\s+(?:been\s+|being\s+|currently\s+)?"
+    r"(?:licen[sc]ed|released|available|distributed|covered)\s+(?:under|by)\b)"
 )
 # What stands before the first name of a list of licences, and what parts the names.
 HEAD = (
-    r"(?i)^.*?\b(?:licen[sc]ed|released|available|distributed)\s+under(?:\s+(?:the|a|either|both|of|terms))*(?=\s)"
-    r"|(?i)^.*?\blicense-identifier:"
+    r"(?i:^.*?\b(?:licen[sc]ed|released|available|distributed)\s+under(?:\s+(?:the|a|either|both|of|terms))*(?=\s)"
+    r"|^.*?\blicense-identifier:)"
 )
-BETWEEN = r"(?i)\s*(?:\s(?:and/or|and|or)\s(?:\s*(?:the|under|a)\s)*|/)\s*"
+BETWEEN = r"(?i:\s*(?:\s(?:and/or|and|or)\s(?:\s*(?:the|under|a)\s)*|/)\s*)"
 LIST = rf"(?:{HEAD}).*?(?:{BETWEEN})"
-GATE = rf"(?<![A-Za-z0-9])(?:(?i:{'|'.join(ANCHORS)})|MIT|CC)(?![A-Za-z0-9])"
+# The first letter is looked at first, which rules out most places at once.
+GATE = (
+    rf"(?=[{''.join(sorted({c for a in ANCHORS for c in a[0] + a[0].upper()}))}])(?<![A-Za-z0-9])"
+    rf"(?:(?i:{'|'.join(ANCHORS)})|MIT|CC)(?![A-Za-z0-9])"
+)
 
 
 @dataclass(frozen=True)
@@ -439,6 +449,7 @@ def shared(words: Column, family: Column) -> Column:
     )[0]
 
 
+@functools.cache
 def known_pairs() -> dict[str, list[int]]:
     """Hashes of the word pairs in the wording of each family; the whole of *unknown* is of ``OTHERS``."""
     texts = {f: (*t, *FURTHER.get(f, ())) for f, t in TEMPLATES.items()} | {UNKNOWN: OTHERS}
@@ -591,7 +602,9 @@ def listed(text: Column, model: Model, least_shared: float) -> Column:
         found = F.transform(names, lambda name: judge(statement(name), model, least_shared, rivals=False))
         return F.filter(found, lambda x: x["sure"])
 
-    none = F.filter(F.array(judge(F.lit(""), model, least_shared, rivals=False)), lambda x: F.lit(False))
+    none = F.array().cast(
+        "array<struct<family:string,probability:double,shared:double,both:int,sure:boolean,pairs:array<long>>>"
+    )
     found = _let(F.regexp_extract(text, HEAD, 0), parts)
     several = _let(
         found,
@@ -709,8 +722,10 @@ def scan(
         """Whether another of the families knows all that a notice has of its own family's wording."""
 
         def knows(other: Column) -> Column:
+            """All of a doubtful notice; of a sure one what makes it one, as its holder's name may be anyone's."""
             theirs = F.element_at(families, other)
-            return (other != family) & (F.size(F.array_intersect(pairs, theirs)) >= LEAST_TOLD * F.size(pairs))
+            most = F.size(F.array_intersect(pairs, theirs)) >= LEAST_TOLD * F.size(pairs)
+            return (other != family) & ((family != UNKNOWN) | most)
 
         def says_more(other: Column) -> Column:
             own = F.array_intersect(pairs, F.element_at(families, family))
