@@ -12,8 +12,8 @@ megabytes is no trouble; results for short ones are kept.
 from __future__ import annotations
 
 import base64
-import gc
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import by_value
+from pageloom.llm.common import by_value, uncollected
 
 by_value(__name__)
 
 _WORD = 6  # a bitmap word covers 2 ** 6 ranks
 _MASK = (1 << _WORD) - 1
-_CACHED_TOKENS, _CACHED_LENGTH, _ROWS = 1_000_000, 48, 1_000
+# What a worker keeps: so many bytes, of tokens up to this length; a token's place in the table takes _SLOT.
+_CACHED_BYTES, _CACHED_LENGTH, _SLOT, _ROWS = 160 << 20, 48, 105, 1_000
 # White space to the tokenizer's own pattern engine; Python's adds four control characters.
 _SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # Letters and numbers below U+0250, and a test for characters beyond it that are not punctuation.
@@ -78,10 +79,12 @@ class Coder:
         plain = spelled(pattern, latin)
         self.latin = self.pattern if "\\p" in plain.lower() else re.compile(plain)
         self.known: dict[str, bytes] = {}
+        self.held: dict[str, int] = {}  # the bytes of what is known
         if find_spec("pageloom"):  # as where executors have the package
             from pageloom.llm.kept import cache
 
             self.known = cache(f"bpe {path} {pattern}")
+            self.held = cache(f"bpe {path} {pattern} held")
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token. The queue's steps are written out here, as calls would double
@@ -159,26 +162,31 @@ class Coder:
         for t in fresh:
             known[t] = array("i", self.merge(t.encode("utf-8", "surrogatepass"))).tobytes()
         ids = b"".join(map(known.__getitem__, tokens))
+        held = self.held.get("bytes", 0)
         for t in fresh:
             if len(t) > _CACHED_LENGTH:
                 del known[t]
-        if len(known) > _CACHED_TOKENS:
+            else:
+                held += sys.getsizeof(t) + sys.getsizeof(known[t]) + _SLOT
+        if held > _CACHED_BYTES:
             known.clear()
+            held = 0
+        self.held["bytes"] = held
         return ids
 
 
 def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, pattern)
-        gc.disable()  # nothing here is cyclic, and walking the known tokens costs more than all else
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                rows = [coder.encode(t.as_py()) for t in part.column(1)]
-                ends = np.cumsum([0, *[len(r) // 4 for r in rows]])
-                values = pa.array(np.frombuffer(b"".join(rows), np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["key", "ids"])
+        with uncollected():
+            for batch in batches:
+                for at in range(0, batch.num_rows, _ROWS):
+                    part = batch.slice(at, _ROWS)
+                    rows = [coder.encode(t.as_py()) for t in part.column(1)]
+                    ends = np.cumsum([0, *[len(r) // 4 for r in rows]])
+                    values = pa.array(np.frombuffer(b"".join(rows), np.int32))
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids], ["key", "ids"])
 
     return run
 
