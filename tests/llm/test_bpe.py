@@ -1,9 +1,7 @@
-import gc
 import random
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,24 +63,3 @@ def test_whole_table(shared, small):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in bpe.encode(docs, PATH, public_tokenizers.PATTERN).collect():
         assert r.ids == TRUE.encode_ordinary(text[r.doc_id] or "")
-
-
-def test_known_tokens_are_bounded_by_bytes(monkeypatch):
-    monkeypatch.setattr(bpe, "_CACHED_BYTES", 4_000)
-    coder = bpe.Coder(PATH, public_tokenizers.PATTERN)
-    monkeypatch.setattr(coder, "known", {})
-    monkeypatch.setattr(coder, "held", {})
-    for k in range(300):
-        text = f"word{k} und{k}\n漢字{k} " + "long" * 30
-        assert np.frombuffer(coder.encode(text), np.int32).tolist() == TRUE.encode_ordinary(text)
-        assert coder.held["bytes"] <= 4_000 and (coder.known or not coder.held["bytes"])
-
-
-def test_collection_is_as_before():
-    gc.enable()
-    steps = bpe._encoder(PATH, public_tokenizers.PATTERN)(
-        iter([pa.RecordBatch.from_pydict({"key": [1], "text": ["some words"]})])
-    )
-    next(steps)
-    assert not gc.isenabled()
-    assert list(steps) == [] and gc.isenabled()
