@@ -12,12 +12,11 @@ from pageloom.sources import store
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: str, files: int = 1000) -> DataFrame:
-    """New files of one table in ``folder`` as a stream."""
+    """New files of one table in ``folder`` as a stream; a table is a file or a folder of files."""
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}*.parquet")
         .option("maxFilesPerTrigger", files)
-        .parquet(folder)
+        .parquet(f"{folder.rstrip('/')}/{name}*.parquet")
     )
 
 

@@ -69,3 +69,31 @@ def test_late_rows_are_counted(spark):
     query.awaitTermination()
     # One more row repeats a key.
     assert st.late_rows(query) == 2 and spark.read.parquet(path).count() == 3
+
+
+def table(spark, rows, parts):
+    """A table as a folder of files, the later rows in the earlier files."""
+    folder = new_path(spark, "tables")
+    for number in range(parts):
+        mine = rows[number::parts]
+        spark.createDataFrame(mine, SCHEMA).coalesce(1).write.parquet(f"{folder}/rows.parquet", mode="append")
+    return folder
+
+
+def test_a_table_may_be_a_folder_of_files(spark):
+    rows = [(f"u{n:02}", f"h{n % 5}", at(40 - n), ["a"]) for n in range(40)]
+    folder = table(spark, rows, 4)
+    stream_of = lambda: st.read_stream(spark, folder, "rows", SCHEMA)
+    first, path = {("u35", "h0"), ("u36", "h1"), ("u37", "h2"), ("u38", "h3"), ("u39", "h4")}, new_path(spark, "d")
+    st.write_files(st.deduplicated(stream_of(), "extracted_at", "100 days"), path, new_path(spark, "s")).awaitTermination()
+    assert {(r["url"], r["content_hash"]) for r in spark.read.parquet(path).collect()} == first
+    saved = new_path(spark, "t")
+    st.ingest(stream_of(), saved, new_path(spark, "s")).awaitTermination()
+    assert {(r["url"], r["content_hash"]) for r in store.read_content(spark, saved).collect()} == first
+
+
+def test_a_table_may_be_a_single_file(spark, small):
+    stream_of = st.read_stream(spark, small, "documents", "doc_id bigint")
+    path = new_path(spark, "d")
+    st.write_files(stream_of, path, new_path(spark, "s")).awaitTermination()
+    assert spark.read.parquet(path).count() == spark.read.parquet(f"{small}/documents.parquet").count()
