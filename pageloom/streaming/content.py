@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
+from pageloom.functions.workers import in_order
 from pageloom.sources import store
 
+IN_ORDER = 128  # parts of a batch that are put in order, each held by one task
+
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: str, files: int = 1000) -> DataFrame:
     """New files of one table in ``folder`` as a stream; a table is a file or a folder of files."""
@@ -39,11 +43,18 @@ def deduplicated(content: DataFrame, time: str, delay: str, key: str = "content_
 
     Records older than the newest one by more than ``delay`` are not taken any more, as their key
     may be forgotten; ``late_rows`` counts them. So ``delay`` has to cover the spread of a backfill.
+    Of equal keys in one batch the earliest by ``time`` and url is the first, whichever of the batch's
+    files it stands in: rows are put in that order among those of like keys, in ``IN_ORDER`` parts, as a
+    stream cannot be sorted.
     """
     own = F.when(F.col(key).isNull(), F.col("url"))
-    return (
+    ordered = (
         content.withColumn("_own", own)
-        .withWatermark(time, delay)
+        .repartition(IN_ORDER, key, "_own")
+        .mapInArrow(in_order([time, "url"]), StructType([*content.schema, StructField("_own", StringType())]))
+    )
+    return (
+        ordered.withWatermark(time, delay)
         .dropDuplicatesWithinWatermark([key, "_own"])
         .drop("_own")
     )
