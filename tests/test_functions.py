@@ -260,3 +260,20 @@ def test_suffix_rules(spark):
     table = spark.createDataFrame([(r,) for r in rules], "suffix string")
     got = {r["url"][7:-2]: tuple(r["info"]) for r in ux.domain_info(urls, table).collect()}
     assert got == golden
+
+
+def test_pair_test_makes_each_word_set_once(spark):
+    rows = [("A  b\tc, d!", "d! c, b a"), ("x y", "x z"), ("", ""), (None, "a"), (" é* _b", "é _b"), (" ", "a")]
+    table = spark.createDataFrame(rows, "first string, second string")
+    found = table.select(tx.is_content_duplicate(F.col("first"), F.col("second")).alias("d"))
+    assert [r["d"] for r in found.collect()] == [True, False, False, False, True, False]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2
+
+
+def test_word_set_is_that_of_the_cleaned_text(spark):
+    texts = ["A  b\tb c, *d* -  E\n", " \n ", "", None, "​ x ​", "a*b a b"]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = F.filter(F.split(F.lower(tx.clean_text(F.col("t"))), " "), lambda w: w != "")
+    for r in table.select(tx.word_set(F.col("t")).alias("a"), F.sort_array(F.array_distinct(words)).alias("b")).collect():
+        assert r["a"] == r["b"]
