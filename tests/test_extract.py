@@ -1,8 +1,10 @@
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.functions import workers
 from pageloom.operators import extract
 from pageloom.sources import tables
 
@@ -147,3 +149,11 @@ def test_broken_and_deep_pages_take_no_square_of_time(spark):
     pages = spark.createDataFrame([("http://a.com/x", many.replace("article", "div"))], "url string, html string")
     record = extract.extract_pages(pages).first()
     assert record["content"].startswith("word word") and record["word_count"] == 5_000 * 13
+
+
+def test_few_pages_are_held_as_nodes_at_a_time():
+    html = "<p>" + "<b>x</b> " * 20_000 + "</p>"
+    batch = pa.RecordBatch.from_pydict({"url": ["u"] * 12, "_url": ["u"] * 12, "html": [html] * 12})
+    parts = list(workers.node_batches(["url"], (), ())(iter([batch])))
+    assert [p.num_rows for p in parts] == [2] * 6
+    assert max(p.nbytes for p in parts) < 30 * 2 * len(html)
