@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pageloom.functions import plain
 from pageloom.functions import text as tx
+from pageloom.functions import workers
 from pageloom.functions.arrays import value_counts
 from pageloom.operators.index import FIELDS, postings, upsert
 from pageloom.operators.search import BOOSTS, DECIMALS, saturation, weight
@@ -30,13 +32,16 @@ from pageloom.session import broadcast_if_small, stored
 from pageloom.sources import commits
 
 RANGE_BITS = 7
-CHUNK_DOCS = 8_192  # documents whose postings of one bucket one task gathers
 BUCKET_DOCS = 200_000
 FAN = 8  # segments of like size that are merged into one
 LISTED = 1_000  # terms or ranges that are named in a filter; more are joined
 PROBE = 16  # ranges with the highest bounds, read first for each query
 
 _OWN = ("_key", "_doc", "_dl")
+_BLOCK = (
+    "term string, field string, range bigint, n int, impacts array<struct<tf: int, dl: int>>,"
+    " postings array<struct<_doc: bigint, tf: int, dl: int>>"
+)
 
 
 def _key() -> Column:
@@ -55,28 +60,11 @@ def _range(doc: str = "_doc") -> Column:
 # Writing
 
 
-def _impacts(found: Column) -> Column:
-    """The pairs ``(tf, dl)`` that no other pair has a larger count and a smaller length than."""
-    ordered = F.array_sort(F.transform(found, lambda p: F.struct((-p["tf"]).alias("less"), p["dl"].alias("dl"))))
-    start = F.struct(
-        F.array().cast("array<struct<tf: int, dl: int>>").alias("pairs"), F.lit(2**31 - 1).alias("least")
-    )
-
-    def added(kept: Column, p: Column) -> Column:
-        pair = F.struct((-p["less"]).alias("tf"), p["dl"].alias("dl"))
-        return F.when(
-            p["dl"] < kept["least"],
-            F.struct(F.array_append(kept["pairs"], pair).alias("pairs"), p["dl"].alias("least")),
-        ).otherwise(kept)
-
-    return F.aggregate(ordered, start, added, lambda kept: kept["pairs"])
-
-
 def _write_segment(spark: SparkSession, path: str, documents: DataFrame) -> dict | None:
     """Write ``documents``, one for each key, as a segment that no commit names yet."""
     part = f"segments/{uuid.uuid4().hex}"
     fields = [f for f in FIELDS if f in documents.columns]
-    sizes = F.struct(*[(F.size(tx.tokens(F.col(f))) if f in fields else F.lit(0)).alias(f) for f in FIELDS])
+    sizes = F.struct(*[(plain.word_number(F.col(f)) if f in fields else F.lit(0)).alias(f) for f in FIELDS])
     documents.select(
         "*", _key().alias("_key"), F.monotonically_increasing_id().alias("_doc"), sizes.alias("_dl")
     ).write.parquet(_at(path, f"{part}/documents"))
@@ -89,22 +77,16 @@ def _write_segment(spark: SparkSession, path: str, documents: DataFrame) -> dict
     if not fields:
         return entry
     buckets = 1 << max(0, math.ceil(math.log2(rows / BUCKET_DOCS)))
-    chunks = max(1, rows // (CHUNK_DOCS * buckets))
-    place = ["bucket", "chunk", "term", "field", "range"]
+    # Neighbouring documents lie together in their file, so their postings need no shuffle. A range that is
+    # cut where the file is has two blocks for a term; bounds then add up to more, never to less.
     (
         postings(docs, fields, key="_doc")
+        .mapInArrow(workers.blocks(RANGE_BITS), _BLOCK)
         .withColumn("bucket", _bucket(buckets))
-        .withColumn("range", _range())
-        .withColumn("chunk", F.pmod(F.xxhash64("range"), F.lit(chunks)))
-        .repartition("bucket", "chunk")
-        .groupBy(*place)
-        .agg(F.sort_array(F.collect_list(F.struct("_doc", "tf", "dl"))).alias("postings"))
-        .select("bucket", "term", "field", "range", F.size("postings").alias("n"),
-                _impacts(F.col("postings")).alias("impacts"), "postings")
         .sortWithinPartitions("bucket", "term", "field", "range")
         .write.partitionBy("bucket")
         .parquet(_at(path, f"{part}/blocks"))
-    )
+    )
     return {**entry, "buckets": buckets}
 
 
@@ -305,9 +287,7 @@ def _blocks(
             table = table.where(_within(sorted(spans[s["part"]])))
         parts.append(table.drop("bucket").withColumn("segment", F.lit(s["part"])))
     if not parts:
-        empty = "term string, field string, range bigint, n int, impacts array<struct<tf: int, dl: int>>,"
-        empty += " postings array<struct<_doc: bigint, tf: int, dl: int>>, segment string"
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], f"{_BLOCK}, segment string")
     blocks = reduce(DataFrame.unionByName, parts)
     if not listed:
         blocks = blocks.join(terms, "term", "left_semi")
