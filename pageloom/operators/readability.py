@@ -8,11 +8,10 @@ by an equi-join of its pieces with the patterns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions import text as tx
-from pageloom.functions.arrays import let, value_counts
+from pageloom.functions import plain
 from pageloom.session import broadcast_if_small, cut, stored
 
 LETTERS = r"[\p{L}\p{M}]+"
@@ -48,23 +47,15 @@ def breaks(words: DataFrame, patterns: DataFrame, word: str = "word") -> DataFra
     longest = table.agg(F.coalesce(F.max("size"), F.lit(1))).first()[0]
     distinct = words.select(F.lower(word).alias("word")).where(F.col("word").isNotNull()).distinct()
 
-    def pieces(chars: Column) -> Column:
-        n = F.size(chars)
-        return F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), n),
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)),
-                    lambda size: F.struct(F.array_join(F.slice(chars, i, size), "").alias("piece"), (i - 1).alias("start")),
-                ),
-            )
-        )
-
-    dotted = F.split(F.concat(F.lit("."), "word", F.lit(".")), "")
+    # Generators of numbers are compiled, which functions of arrays are not.
+    dotted, at = F.concat(F.lit("."), "word", F.lit(".")), F.col("start")
+    places = F.explode(F.sequence(F.lit(0), F.length("word") + 1)).alias("start")
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") + 2 - at))).alias("size")
     n = F.length("word")
     found = (
-        distinct.select("word", F.explode(let(dotted, pieces)).alias("p"))
-        .select("word", "p.*")
+        distinct.select("word", places)
+        .select("word", "start", sizes)
+        .select("word", "start", F.substring(dotted, at + 1, F.col("size")).alias("piece"))
         .join(broadcast_if_small(table.select("piece", "marks")), "piece")
         .select("word", "start", F.explode("marks").alias("m"))
         # Before the first letter stands the dot.
@@ -87,14 +78,14 @@ def flesch_reading_ease(docs: DataFrame, patterns: DataFrame, key: str = "doc_id
     and one. A text without words scores as there; repeated rows and null keys come out as they went in.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    runs = F.regexp_extract_all(F.lower(value), F.lit(LETTERS), F.lit(0))
+    found = plain.reading_counts(value, LETTERS).alias("c")
     counted = stored(
-        docs.select(
-            F.monotonically_increasing_id().alias("_row"),
-            F.col(key).alias("key"),
-            tx.word_count(value).alias("words"),
-            F.greatest(F.lit(1), F.regexp_count(value, F.lit("[.!?]+"))).alias("sentences"),
-            value_counts(runs).alias("counts"),
+        docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("key"), found).select(
+            "_row",
+            "key",
+            F.col("c.words").alias("words"),
+            F.greatest(F.lit(1), "c.sentences").alias("sentences"),
+            F.col("c.runs").alias("counts"),
         ),
         "counts",
     )
