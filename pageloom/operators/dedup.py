@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pageloom.functions.text import word_set, word_set_similarity
-from pageloom.session import cut, stored
+from pageloom.session import broadcast_if_small, cut, stored
 
 # Tokens ordered by their exact frequency: at most this many, so the table sent to every executor
 # stays under about 20 MB whatever the data (an 8-byte hash and an 8-byte count each).
@@ -17,6 +17,7 @@ COMMON_TOKENS = 1_000_000
 SMALL_GROUP = 64
 FIRST_STEP = 4
 SIGNATURE = 16  # 64-bit words; a power of two
+PAIRED_CHARS = 50_000_000  # of the ids of sets in pairs, to be sent to every executor: some millions
 _EPSILON = 1e-9
 
 
@@ -39,12 +40,11 @@ def exact_dedup(
 
 
 def _prefix_entries(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(token, id, size, short)`` for the rarest words of each set.
+    """``(token, id, size, place)`` for the rarest words of each set, ``place`` being 1 for the rarest.
 
     Two sets reach the threshold only if they share a word among the first
-    ``size - ceil(threshold * size) + 1`` of each, in any order of words common to both; and of
-    the smaller set it is among its first ``size - ceil(2 threshold / (1 + threshold) * size) +
-    1``, marked ``short``. Rare words first keeps the groups small. Only words that are frequent need their exact place:
+    ``size - ceil(threshold * size) + 1`` of each, in any order of words common to both. Rare words
+    first keeps the groups small. Only words that are frequent need their exact place:
     those with a count of at least total / COMMON_TOKENS, of which there cannot be more than
     COMMON_TOKENS. All others come before them, in hash order.
     """
@@ -62,14 +62,12 @@ def _prefix_entries(sets: DataFrame, threshold: float) -> DataFrame:
         .where((F.col("df") > 1) & (F.col("df") >= least))
     )
     length = F.col("size") - F.ceil(F.col("size") * threshold - _EPSILON) + 1
-    both = 2 * threshold / (1 + threshold)
-    short = F.col("size") - F.ceil(F.col("size") * both - _EPSILON) + 1
     rarest = W.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "token")
     return (
         words.join(F.broadcast(common), "token", "left")
-        .withColumn("_n", F.row_number().over(rarest))
-        .where(F.col("_n") <= length)
-        .select("token", "id", "size", (F.col("_n") <= short).alias("short"))
+        .withColumn("place", F.row_number().over(rarest))
+        .where(F.col("place") <= length)
+        .select("token", "id", "size", "place")
     )
 
 
@@ -186,16 +184,17 @@ def _first_partners(sets: DataFrame, threshold: float) -> DataFrame:
             ahead = ahead.join(pending.select("token").distinct(), "token", "left_semi")
         order = W.partitionBy("token").orderBy("id")
         leaders = cut(
-            ahead.select("token", "id", "size", "short", "step")
+            ahead.select("token", "id", "size", "place", "step")
             .withColumn("_n", F.row_number().over(order))
             .where(F.col("_n") <= window)  # also cuts each task's rows before the shuffle
             .where(F.col("_n") <= F.col("step"))
         )
         small, large = F.least("l.size", "p.size"), F.greatest("l.size", "p.size")
-        placed = ((F.col("l.size") == small) & F.col("l.short")) | (
-            (F.col("p.size") == small) & F.col("p.short")
-        )
-        near = (small >= large * threshold - _EPSILON) & placed
+        # Of the words two sets share, none but the first counts: what is shared then is at most what
+        # follows it in either set, and itself.
+        shared = F.least(F.col("l.size") - F.col("l.place"), F.col("p.size") - F.col("p.place")) + 1
+        enough = shared >= (small + large) * (threshold / (1 + threshold)) - _EPSILON
+        near = (small >= large * threshold - _EPSILON) & enough
         candidates = (
             pending.alias("p")
             .join(leaders.alias("l"), "token")
@@ -232,7 +231,7 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataF
     """Candidates that reach the threshold. Signatures, a hundred bytes a set, first rule out most
     others; only for the rest are the words fetched and compared."""
 
-    def paired(pairs: DataFrame, *columns: str) -> DataFrame:
+    def paired(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
         for side, name in (("id", "a"), ("partner", "b")):
             facts = sets.select(
                 F.col("id").alias(side), F.struct(*columns).alias(name)
@@ -247,14 +246,17 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataF
     )
     # Similarity t leaves at most (1 - t) / (1 + t) of both sizes outside the intersection.
     allowed = (F.col("a.size") + F.col("b.size")) * ((1 - threshold) / (1 + threshold))
-    likely = (
-        paired(candidates, "size", "signature")
+    likely = cut(
+        paired(candidates, sets, "size", "signature")
         .where(apart <= allowed + _EPSILON)
         .select("id", "partner")
     )
+    # Only the words of sets in a pair are moved.
+    paired_ids = cut(likely.select(F.explode(F.array("id", "partner")).alias("id")).distinct())
+    worded = sets.select("id", "words").join(broadcast_if_small(paired_ids, PAIRED_CHARS), "id", "left_semi")
     similarity = word_set_similarity(F.col("a.words"), F.col("b.words"))
     return (
-        paired(likely, "words")
+        paired(likely, worded, "words")
         .select("id", "partner", F.explode(F.array(similarity)).alias("similarity"))
         .where(F.col("similarity") >= F.lit(threshold))
     )
