@@ -83,6 +83,24 @@ def test_scan_equals_postings(spark, docs):
     assert {r["query_id"]: r["total"] for r in se.totals(scores).collect()}[1] == 4
 
 
+def test_scattered_postings_are_scored_in_place(spark, docs, monkeypatch):
+    monkeypatch.setattr(se, "TASK_PARTS", 100)
+    # Terms of a document in tasks of their own; a posting is shuffled once, and no sum of a query is.
+    table = ix.postings(docs).repartition(3, "term").checkpoint()
+    queries = spark.createDataFrame([(i, "fox red dog tale") for i in range(50)], "query_id int, query string")
+    stats = ix.field_stats(docs), ix.term_stats(table)
+    got = se.score(table, *stats, queries, scattered=True).collect()
+    assert sorted(got) == sorted(se.score(table, *stats, queries).collect())
+    plan = se.score(table, *stats, queries, scattered=True)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "content_hash#" in line]
+    # One by document, and one for the sums of rows without a key.
+    assert [("REPARTITION_BY_NUM" in line, "query_id" in line) for line in dealt] == [(True, False), (False, True)]
+    # Rows without a key are one document, as before.
+    bare = table.withColumn("content_hash", F.when(F.col("content_hash") > "h2", F.col("content_hash")))
+    got = se.score(bare, *stats, queries, scattered=True).collect()
+    assert sorted(got, key=str) == sorted(se.score(bare, *stats, queries).collect(), key=str)
+
+
 def test_order_puts_missing_dates_last(docs):
     got = [r["url"] for r in se.scan_search(docs, "fox").collect()]
     assert got.index("u5") + 1 == got.index("u4")
