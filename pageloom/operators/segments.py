@@ -26,7 +26,7 @@ from pageloom.functions import plain
 from pageloom.functions import text as tx
 from pageloom.functions import workers
 from pageloom.functions.arrays import value_counts
-from pageloom.operators.index import FIELDS, postings, upsert
+from pageloom.operators.index import FIELDS, upsert
 from pageloom.operators.search import BOOSTS, DECIMALS, saturation, weight
 from pageloom.session import broadcast_if_small, stored
 from pageloom.sources import commits
@@ -61,12 +61,14 @@ def _range(doc: str = "_doc") -> Column:
 
 
 def _write_segment(spark: SparkSession, path: str, documents: DataFrame) -> dict | None:
-    """Write ``documents``, one for each key, as a segment that no commit names yet."""
+    """Write ``documents``, one for each key, as a segment that no commit names yet. Those of other
+    segments bring their lengths along in ``_dl``."""
     part = f"segments/{uuid.uuid4().hex}"
     fields = [f for f in FIELDS if f in documents.columns]
     sizes = F.struct(*[(plain.word_number(F.col(f)) if f in fields else F.lit(0)).alias(f) for f in FIELDS])
-    documents.select(
-        "*", _key().alias("_key"), F.monotonically_increasing_id().alias("_doc"), sizes.alias("_dl")
+    sized = documents if "_dl" in documents.columns else documents.withColumn("_dl", sizes)
+    sized.select(
+        "*", _key().alias("_key"), F.monotonically_increasing_id().alias("_doc")
     ).write.parquet(_at(path, f"{part}/documents"))
     docs = spark.read.parquet(_at(path, f"{part}/documents"))
     rows, stats = _facts(docs)
@@ -79,9 +81,10 @@ def _write_segment(spark: SparkSession, path: str, documents: DataFrame) -> dict
     buckets = 1 << max(0, math.ceil(math.log2(rows / BUCKET_DOCS)))
     # Neighbouring documents lie together in their file, so their postings need no shuffle. A range that is
     # cut where the file is has two blocks for a term; bounds then add up to more, never to less.
+    texts = [c for f in fields for c in (F.col(f).alias(f"text_{f}"), plain.other_counts(F.col(f)).alias(f"counted_{f}"))]
     (
-        postings(docs, fields, key="_doc")
-        .mapInArrow(workers.blocks(RANGE_BITS), _BLOCK)
+        docs.select("_doc", *texts)
+        .mapInArrow(workers.text_blocks(fields, RANGE_BITS), _BLOCK)
         .withColumn("bucket", _bucket(buckets))
         .sortWithinPartitions("bucket", "term", "field", "range")
         .write.partitionBy("bucket")
@@ -224,7 +227,7 @@ def merge(spark: SparkSession, path: str, fan: int = FAN, everything: bool = Fal
         return 0
     names = [s["part"] for s in chosen]
     docs = _alive(_documents(spark, path, chosen), _dead(spark, path, before, names))
-    entry = _write_segment(spark, path, docs.drop("_segment", *_OWN))
+    entry = _write_segment(spark, path, docs.drop("_segment", "_key", "_doc"))
 
     def change(state: dict) -> dict | None:
         kept = [s for s in state["segments"] if s["part"] not in names]

@@ -4,9 +4,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.functions import plain, workers
 from pageloom.operators import index as ix
 from pageloom.operators import search as se
 from pageloom.operators import segments as sg
+from pageloom.operators.index import FIELDS, postings
 from pageloom.session import new_path
 from pageloom.sources import commits
 
@@ -205,3 +207,33 @@ def test_postings_equal_those_of_the_documents(spark, many):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     stats = {r["field"]: (r["n_docs"], r["avg_dl"]) for r in ix.field_stats(docs).collect() if r["n_docs"]}
     assert {f: (n, t / n) for f, (n, t) in state["fields"].items() if n} == stats
+
+
+def test_blocks_are_made_from_texts(spark):
+    """What is plain is counted where blocks are made, the rest by Columns; both as ``postings`` does."""
+    rows = [(n, f"red fox {n % 7} fox", "Привет мир мир" if n % 3 else "don't _ 3.5", None if n % 5 else "") for n in range(400)]
+    docs = spark.createDataFrame(rows, "_doc bigint, title string, content string, description string").coalesce(1)
+    texts = [c for f in FIELDS for c in (F.col(f).alias(f"text_{f}"), plain.other_counts(F.col(f)).alias(f"counted_{f}"))]
+    blocks = docs.select("_doc", *texts).mapInArrow(workers.text_blocks(FIELDS, 7), sg._BLOCK).collect()
+    got = sorted((p["_doc"], b["field"], b["term"], p["tf"], p["dl"]) for b in blocks for p in b["postings"])
+    wanted = postings(docs, FIELDS, key="_doc").select("_doc", "field", "term", "tf", "dl").collect()
+    assert got == sorted(map(tuple, wanted)) and any(b["term"] == "мир" for b in blocks)
+    # Each range has one block for a term and field.
+    assert len({(b["range"], b["field"], b["term"]) for b in blocks}) == len(blocks)
+
+
+def test_merged_segments_keep_lengths(spark, monkeypatch):
+    path = new_path(spark, "index")
+    rows = [(f"u{n}", f"h{n}", "red fox", "a fox " * n, None, datetime(2024, 1, 1)) for n in range(1, 9)]
+    docs = spark.createDataFrame(
+        rows, "url string, content_hash string, title string, content string, description string, indexed_at timestamp"
+    )
+    sg.bulk_index(spark, path, docs.where("url < 'u5'"))
+    sg.bulk_index(spark, path, docs.where("url >= 'u4'"))
+    before = sg.commits.read(spark, path)[1]["fields"]
+    # No text is taken apart for its length again.
+    monkeypatch.setattr(sg.plain, "word_number", lambda text: F.raise_error(F.lit("counted again")).cast("int"))
+    assert sg.merge(spark, path, everything=True) == 2
+    state = sg.commits.read(spark, path)[1]
+    assert state["fields"] == before == state["segments"][0]["fields"]
+    assert before["content"] == [8, 72]
